@@ -39,14 +39,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _cuts(data: np.ndarray, at: np.ndarray) -> list[int]:
+def _cuts(data: np.ndarray, at: np.ndarray, space: np.ndarray) -> list[int]:
     """Piece limits within data[at[0]:at[-1]], none of them inside a word."""
     end, cuts = int(at[-1]), [int(at[0])]
     while end - cuts[-1] > _PIECE:
         x = cuts[-1] + _PIECE
         doc = int(at[np.searchsorted(at, x)])
         while x < doc:
-            step = SPACE[data[x : min(x + 65536, doc)]]
+            step = space[data[x : min(x + 65536, doc)]]
             if step.any():
                 x += int(step.argmax())
                 break
@@ -57,15 +57,15 @@ def _cuts(data: np.ndarray, at: np.ndarray) -> list[int]:
     return [*cuts, end]
 
 
-def tokenize(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tokenize(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word, and the first word of each document (one more at the end)."""
     hashes, starts, ends = [], [], []
-    cuts = _cuts(data, at)
+    cuts = _cuts(data, at, space)
     for a, b in zip(cuts, cuts[1:]):
         if a == b:
             continue
         x = LOWER[data[a:b]]
-        n, word = b - a, ~SPACE[x]
+        n, word = b - a, ~space[x]
         opens = np.zeros(n + 1, bool)
         inner = at[(at >= a) & (at <= b)] - a
         opens[inner] = True
