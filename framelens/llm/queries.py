@@ -38,6 +38,13 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelens.llm.suffix import repeated_spans
+
+    out = repeated_spans(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("froms").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelens.llm.exact_dedup import exact_duplicates
 
@@ -69,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
