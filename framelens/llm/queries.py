@@ -51,6 +51,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from framelens.llm.wrappers import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelens.llm.simhash import near_duplicates
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_mixing": op10_mixing,
