@@ -11,12 +11,14 @@ all its windows do.  What is left are anchors with different segments, at the en
 passages: the distinct segments of some anchors at a time are joined to one text, whose suffix array
 is built by the difference cover modulo 3 (sort the sampled triples, recurse on their names, merge the
 remaining suffixes); windows that are repeated are neighbours there with an equal prefix.  An anchor
-with more distinct segments than one such text may hold is parted by the hash of the window instead.
+with more distinct segments than one such text may hold is parted further first, by the bytes that
+neighbouring windows share, so that no group grows with a passage's copies.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +106,7 @@ def spans(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Anchor, segment hash, document, first window and number of windows of every run."""
+    """Anchor, segment hash, document, first window, number of windows and the first one's distance to the anchor of every run."""
     found = []
     for lo, hi, d in _slices(at, length):
         base, x = int(at[lo]) if d < 0 else lo, data[int(at[lo]) : int(at[hi])] if d < 0 else data[lo:hi]
@@ -138,9 +140,9 @@ def runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRA
         e = s + count - 1 + length
         segment = mix((total[e] - total[s]) * down[s] + mix((e - s).astype(np.uint64)))
         doc = doc[first]
-        found.append((grams[anchor[first]], segment, doc, s + base - at[doc], count))
-    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
-    return tuple(np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(list(zip(*found)) or [()] * 5, kinds))
+        found.append((grams[anchor[first]], segment, doc, s + base - at[doc], count, anchor[first] - s))
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)
+    return tuple(np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(list(zip(*found)) or [()] * 6, kinds))
 
 
 def _slices(at: np.ndarray, length: int):
@@ -156,32 +158,32 @@ def _slices(at: np.ndarray, length: int):
         lo = hi
 
 
-_RUN = "anchor long, segment long, id long, print long, start int, windows int"
+_RUN = "anchor long, segment long, id long, print long, start int, windows int, lead int"
 
 
 def _runs(length, gram):
     def run(batches):
         for batch in batches:
             for group in text_groups(batch):
-                h, seg, doc, start, count = runs(*text_buffers(group.column(2)), length, gram)
+                h, seg, doc, start, count, lead = runs(*text_buffers(group.column(2)), length, gram)
                 doc = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), group.column(0).take(doc), group.column(1).take(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], ["anchor", "segment", "id", "print", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), group.column(0).take(doc), group.column(1).take(doc), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(lead.astype(np.int32))], ["anchor", "segment", "id", "print", "start", "windows", "lead"])
 
     return run
 
 
 def _cutter(length):
-    """Segments' bytes out of texts: columns text, anchors, segments, starts, windows (lists)."""
+    """Segments' bytes out of texts: columns text, anchors, segments, starts, windows, leads (lists)."""
 
     def run(batches):
         for batch in batches:
             for group in text_groups(batch):
                 data, at = text_buffers(group.column(0))
-                a, s, p, w = (c.flatten().to_numpy(zero_copy_only=False) for c in group.columns[1:5])
+                a, s, p, w, lead = (c.flatten().to_numpy(zero_copy_only=False) for c in group.columns[1:6])
                 per = np.array([len(x) for x in group.column(1)])
                 begin = np.repeat(at[:-1], per) + p
                 raw = [data[x : x + n].tobytes() for x, n in zip(begin, w + length - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(raw, pa.binary())], ["anchor", "segment", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(s), pa.array(lead), pa.array(raw, pa.binary())], ["anchor", "segment", "lead", "bytes"])
 
     return run
 
@@ -215,24 +217,58 @@ def _sorter(length):
     return run
 
 
-def _hasher(length):
+def _splitter(length, width):
+    """Parts a piece's windows by their distance to the anchor, ``width`` distances to a class.
+
+    All windows of a class hold its core, so windows can be equal only where class and core are.
+    """
+
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                a, s = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                raw, rows, offsets = [], [], []
-                for i, text in enumerate(part.column(2).to_pylist()):
-                    for o in range(len(text) - length + 1):
-                        raw.append(hashlib.blake2b(text[o : o + length], digest_size=16).digest())
-                        rows.append(i)
-                        offsets.append(o)
-                rows = np.array(rows, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a[rows]), pa.array(s[rows]), pa.array(raw, pa.binary()), pa.array(np.array(offsets, np.int32))], ["anchor", "segment", "window", "offset"])
+            rows = []
+            for key, segment, lead, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                last = lead - (len(raw) - length)  # distance of the last window
+                for c in range(last // width, lead // width + 1):
+                    core = raw[lead - c * width : lead + length + 1 - (c + 1) * width]
+                    far = min(lead, (c + 1) * width - 1)
+                    near = max(last, c * width)
+                    part = raw[lead - far : lead - near + length]
+                    digest = hashlib.blake2b(core + struct.pack("<qq", key, c), digest_size=8).digest()
+                    own = hashlib.blake2b(part + struct.pack("<q", far), digest_size=8).digest()
+                    rows.append((key, segment, lead - far, *struct.unpack("<q", digest), *struct.unpack("<q", own), far, part))
+            columns = list(zip(*rows)) if rows else [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["of", "of_segment", "base", "anchor", "segment", "lead", "bytes"])
 
     return run
 
 
+def _repeated(pieces: DataFrame, crowded: DataFrame, length: int, width: int, most: int) -> DataFrame:
+    """(anchor, segment, froms, tos): windows that repeat among the different pieces of an anchor.
+
+    ``pieces``: anchor, segment, lead, bytes; ``crowded``: the anchors with more than ``most`` of
+    them, which are parted further until the pieces are single windows.
+    """
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = pieces.join(crowded, "anchor", "left_anti")
+    found = few.select("anchor", "segment", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_sorter(length), _FOUND)
+    if width == 1 or crowded.isEmpty():
+        return found
+    width = -(-width // 4)
+    hot = pieces.join(crowded, "anchor", "left_semi").select("anchor", "segment", "lead", "bytes")
+    split = stage(hot.mapInArrow(_splitter(length, width), "of long, of_segment long, base int, anchor long, segment long, lead int, bytes binary"), "split")
+    unlike = split.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
+    unlike = stage(unlike, "unlike")
+    per_core = stage(unlike.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "cores")
+    live = unlike.join(per_core.select("anchor"), "anchor", "left_semi")
+    inner = _repeated(live, per_core.where(F.col("kinds") > most).select("anchor"), length, width, most)
+    spans_of = unlike.where("n > 1").select("anchor", "segment", F.array(F.lit(0)).alias("froms"), F.array(F.octet_length("bytes").cast("int")).alias("tos"))
+    met = split.select("of", "of_segment", "base", "anchor", "segment").join(spans_of.unionByName(inner), ["anchor", "segment"])
+    moved = met.select("of", "of_segment", *(F.transform(c, lambda o: o + F.col("base")).alias(c) for c in ("froms", "tos")))
+    moved = moved.groupBy("of", "of_segment").agg(F.flatten(F.collect_list("froms")).alias("froms"), F.flatten(F.collect_list("tos")).alias("tos"))
+    return found.unionByName(moved.select(F.col("of").alias("anchor"), F.col("of_segment").alias("segment"), "froms", "tos"))
+
+
 def _keeper(length):
     def run(batches):
         for batch in batches:
@@ -259,35 +295,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
     A null text is empty; texts shorter than ``length`` keep all.  Repeated rows are copies of each
     other like any equal texts, so all of them lose their bytes.  Other columns are not read.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("print"), text.alias("text"))
     met = keyed.mapInArrow(_runs(length, gram), _RUN)
     anchors = met.groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("a"), F.max("segment").alias("b")).where("n > 1")
     anchors = stage(anchors.select("anchor", (F.col("a") == F.col("b")).alias("alike")), "anchors")
     met = stage(met.join(anchors, "anchor"), "met")
-    segments = met.where("NOT alike").groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("id", "print", "start", "windows")).alias("at"))
+    segments = met.where("NOT alike").groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("id", "print", "start", "windows", "lead")).alias("at"))
     segments = stage(segments, "segments")
-    crowded = segments.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > sort_segments).select("anchor", F.lit(True).alias("crowded"))
-    crowded = stage(crowded, "crowded")
-    asked = segments.groupBy("at.id", "at.print").agg(F.collect_list(F.struct("anchor", "segment", "at.start", "at.windows")).alias("x"))
+    crowded = stage(segments.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > sort_segments).select("anchor"), "crowded")
+    asked = segments.groupBy("at.id", "at.print").agg(F.collect_list(F.struct("anchor", "segment", "at.start", "at.windows", "at.lead")).alias("x"))
     of = lambda c: F.col(f"x.{c}").alias(c)
-    pieces = keyed.join(asked, ["id", "print"]).select("text", of("anchor"), of("segment"), of("start"), of("windows"))
-    # rows that repeat both id and text would cut each piece twice
-    pieces = pieces.mapInArrow(_cutter(length), "anchor long, segment long, bytes binary").groupBy("anchor", "segment").agg(F.first("bytes").alias("bytes"))
-    pieces = pieces.join(crowded, "anchor", "left")
-    if crowded.isEmpty():
-        sortable, hot = pieces, None
-    else:
-        pieces = stage(pieces, "pieces")
-        sortable, hot = pieces.where("crowded IS NULL"), pieces.where("crowded").select("anchor", "segment", "bytes")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = sortable.select("anchor", "segment", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_sorter(length), _FOUND)
-    if hot is not None:
-        windows = hot.mapInArrow(_hasher(length), "anchor long, segment long, window binary, offset int")
-        twice = windows.groupBy("window").agg(F.count("*").alias("n"), F.collect_list(F.struct("anchor", "segment", "offset")).alias("x")).where("n > 1")
-        twice = twice.select(F.explode("x").alias("x")).groupBy("x.anchor", "x.segment").agg(F.sort_array(F.collect_list("x.offset")).alias("froms"))
-        found = found.unionByName(twice.select("anchor", "segment", "froms", F.transform("froms", lambda o: o + length).alias("tos")))
+    pieces = keyed.join(asked, ["id", "print"]).select("text", of("anchor"), of("segment"), of("start"), of("windows"), of("lead"))
+    # rows that repeat both id and text cut each piece twice
+    pieces = pieces.mapInArrow(_cutter(length), "anchor long, segment long, lead int, bytes binary").groupBy("anchor", "segment").agg(F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
+    found = _repeated(pieces, crowded, length, length - gram + 1, sort_segments)
     whole = segments.where("n > 1").select("anchor", "segment", F.lit(True).alias("whole"))
     known = found.join(whole, ["anchor", "segment"], "full_outer")
     fine = met.where("NOT alike").join(known, ["anchor", "segment"])
