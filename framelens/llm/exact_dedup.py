@@ -61,8 +61,9 @@ def exact_duplicates(docs: DataFrame, max_bits: int = 1 << 27) -> DataFrame:
         hit = hit & F.coalesce(F.getbit(word, (F.col(f"slot{i}") % 64).cast("int")) == 1, F.lit(False))
     probe = probe.select("doc_id", "text_sha256", hit.alias("hit"))
     alone = probe.where(~F.col("hit")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    rows_of = probe.where("hit").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n"))
-    groups = rows_of.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    # both sides of the join are staged, so that a large group's rows can be split over tasks
+    rows_of = stage(probe.where("hit").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n")), "candidates")
+    groups = stage(rows_of.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
     met = rows_of.join(groups, "text_sha256").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     met = met.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
     return alone.unionByName(met)
