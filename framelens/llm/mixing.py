@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.llm.common import text_or_empty
+from framelens.llm.common import stage, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 #: Most times that a source, and a document, may be taken.
@@ -82,8 +82,8 @@ def quotas(sizes: list[int], goal: list[Fraction], shards: int, block: int, repe
     return np.diff(np.stack([np.zeros(len(sizes), np.int64), *upto]), axis=0)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK_WORDS, shards: int = 16, seed: int = 7, rows_per_bucket: int = 100_000) -> DataFrame:
-    """Every row of ``docs`` with size, source_size, target, taken, and the stretch of its words that is taken once more.
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK_WORDS, shards: int = 16, seed: int = 7, rows_per_bucket: int = 10_000, whole: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, full, more, taken of every row of ``docs``; with ``whole`` also ``row``, all its columns.
 
     Sources by code point, null last, have the weights in turn.  ``full`` is how often the whole
     document is taken; ``more`` lists word ranges [from, to) that are taken once more.  A document
@@ -91,7 +91,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
     sum on the driver; all else stays distributed, and a large source is spread over hashed buckets.
     Repeated rows are rows of their own; an empty table gives no row.
     """
-    rows = docs.withColumn("size", word_count())
+    rows = stage(docs.select("doc_id", "source", word_count().alias("size")), "words")
     found = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     sizes = [r.words for r in found]
@@ -107,11 +107,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPE
         plan.append((r.source, size, float(g), full, *one, *two))
     plan = docs.sparkSession.createDataFrame(plan, "of string, source_size long, target double, full int, a1 long, b1 long, a2 long, b2 long")
     buckets = max(1, min(1 << 16, -(-sum(r.n for r in found) // rows_per_bucket)))
-    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("int"))
-    ahead = docs.withColumn("size", word_count()).select("source", "size", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.lit(buckets)).cast("int").alias("bucket")).groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    drawn = lambda df: df.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("int"))
+    ahead = drawn(rows).groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = ahead.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
-    return _taken(rows, ahead, plan)
+    if whole:
+        rows = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*docs.columns).alias("row"))
+    return _taken(drawn(rows), ahead, plan)
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each time that a document is taken.
+
+    A part of a document has the words of its stretch, joined by spaces; n_chars, where there is one,
+    follows the text.
+    """
+    out = mix(docs, whole=True, **options)
+    every = F.struct(F.lit(0).cast("long").alias("from"), F.col("size").alias("to"))
+    out = out.select("row", "size", F.explode(F.concat(F.array_repeat(every, F.when(F.col("size") > 0, F.col("full")).otherwise(0)), "more")).alias("piece"))
+    words = F.filter(F.split(F.translate(F.col("row.text"), _BREAKS, " " * len(_BREAKS)), " "), lambda w: w != "")
+    part = F.array_join(F.slice(words, (F.col("piece.from") + 1).cast("int"), (F.col("piece.to") - F.col("piece.from")).cast("int")), " ")
+    entire = (F.col("piece.from") == 0) & (F.col("piece.to") == F.col("size"))
+    out = out.withColumn("cut", F.when(~entire, part))
+    new = {"text": F.coalesce("cut", "row.text"), "n_chars": F.when(F.col("cut").isNotNull(), F.char_length("cut").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return out.select(*((new[c] if new.get(c) is not None else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def _taken(rows: DataFrame, ahead: DataFrame, plan: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from framelens.llm.mixing import mix
 
-    out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
