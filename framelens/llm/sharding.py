@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.llm.common import stage, text_or_empty
@@ -112,8 +112,8 @@ def group_key(text):
     return F.shiftrightunsigned(F.xxhash64(text, F.crc32(text.cast("binary"))), 64 - DIGIT_BITS * LEVELS)
 
 
-def shard(docs: DataFrame, shards: int = 16, rows_per_bucket: int = 100_000) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot, text_key of every row of ``docs``.
+def shard(docs: DataFrame, shards: int = 16, rows_per_bucket: int = 10_000, whole: bool = False) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot, text_key of every row of ``docs``; with ``whole`` also ``row``, all its columns.
 
     A row's size is its text's UTF-8 bytes plus one; a null text is empty.  Equal texts share a shard,
     and the largest shard is as small as cuts in key order allow.  Slots are gapless from 0 in each
@@ -121,21 +121,27 @@ def shard(docs: DataFrame, shards: int = 16, rows_per_bucket: int = 100_000) ->
     task.  Repeated rows get a slot each; an empty table gives no row; other columns are not read.
     """
     text = text_or_empty()
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_key(text).alias("text_key"))
-    rows = stage(rows, "sizes")
+    columns = ["doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_key(text).alias("text_key")]
+    rows = stage(docs.select(*columns), "sizes")
     groups = stage(rows.groupBy(F.col("text_key").alias("key")).agg(F.sum("size").alias("bytes")), "groups")
     _, cuts = minimax_cuts(groups, shards)
     number = F.lit(0)
     for c in cuts:
         number = number + F.when(F.col("text_key") >= c, 1).otherwise(0)
     buckets = max(1, min(1 << 16, -(-rows.count() // rows_per_bucket)))
+    if whole:
+        rows = docs.select(*columns, F.struct(*docs.columns).alias("row"))
     return numbered(rows.withColumn("shard", number.cast("int")), "shard", ["doc_id", "text_key", "size"], buckets)
 
 
+def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """The rows of ``docs`` with their shard and slot, which replace columns of these names."""
+    out = shard(docs, shards, whole=True)
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
+
+
 def numbered(rows: DataFrame, key: str, order: list[str], buckets: int) -> DataFrame:
     """Adds ``slot``, from 0 in each ``key``; the order is that of hashed buckets, then of ``order``."""
-    from pyspark.sql import Window
-
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     ahead = rows.groupBy(key, "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy(key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
