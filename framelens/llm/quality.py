@@ -86,12 +86,12 @@ def statistics_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         doc = np.repeat(np.arange(hi - lo), np.diff(rel[lo : hi + 1]))
         h = np.bincount(doc * 256 + x[rel[lo] : rel[hi]], minlength=(hi - lo) * 256).reshape(-1, 256)
         p = h / np.maximum(h.sum(axis=1, keepdims=True), 1)
-        entropy[lo:hi] = -(p * np.log2(np.where(p > 0, p, 1))).sum(axis=1)
+        entropy[lo:hi] = (p * -np.log2(np.where(p > 0, p, 1))).sum(axis=1) + 0.0
     return np.stack([
         np.log1p(count), chars / per_word, _sums(upper, rel) / letters, _sums(shout, first) / per_word, _sums(symbol, rel) / per_char,
         _sums(in_word(syms) > 0, first) / per_word, _sums(_DIGIT[x], rel) / per_char, _sums(x == 44, rel) / per_word, _sums(x == 46, rel) / per_word,
         _sums((e - s) <= 2, first) / per_word, distinct / per_word, _sums(same, first) / per_word, most / per_word, n_lines / per_word,
-        1 - unlike / np.maximum(n_lines, 1), entropy,
+        (n_lines - unlike) / np.maximum(n_lines, 1), entropy,
     ], axis=1)
 
 
