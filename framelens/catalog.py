@@ -1,10 +1,8 @@
-"""All queries of the library and their SQL, by the operator they apply."""
+"""All queries of the library and their SQL, by the operators they apply."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from framelens.queries import data, metrics
+from framelens.queries.base import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "data", "metrics"]

@@ -1,0 +1,15 @@
+"""Incremental scoring: new feature rows arrive as a stream, finished clips are scored batch by batch."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from framelens.operators.temporal import view_scores
+
+
+def score_stream(features: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Scores each micro-batch's clips with the batch operator; a clip must arrive within one batch."""
+    return features.writeStream.foreachBatch(lambda df, i: sink(view_scores(df), i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
