@@ -215,9 +215,9 @@ def prt1(spark, sf):
     return c.withColumn("r", rank).join(ahead, "b").select("c_custkey", ((F.col("r") + F.col("ahead")) % 4).alias("shard"))
 
 
-@query("SET5", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SET5", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def set5(spark, sf):
-    return fx.table(spark, sf, "customer").select("c_custkey").join(fx.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return fx.table(spark, sf, "customer").select("c_custkey").join(fx.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 # Enrichment
