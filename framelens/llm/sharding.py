@@ -9,6 +9,8 @@ only of bins that a cut falls into, each from one job over the staged table of g
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -50,7 +52,9 @@ class _Order:
         shift = DIGIT_BITS * (LEVELS - level)
         prefix = F.shiftright("key", shift) if level else F.lit(0).cast("long")
         code = {sum(d << DIGIT_BITS * (level - 1 - i) for i, d in enumerate(p)): p for p in paths}
-        rows = self.table.where(prefix.isin(list(code))) if level else self.table
+        rows = self.table
+        if level:  # as ranges of the key, which Parquet's statistics of the sorted table can prune by
+            rows = rows.where(reduce(or_, (F.col("key").between(c << shift, ((c + 1) << shift) - 1) for c in code)))
         bins = rows.groupBy(prefix.alias("prefix"), (F.shiftright("key", shift - DIGIT_BITS) % FANOUT).alias("digit")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
         found: dict[tuple[int, ...], list] = {p: [] for p in paths}
         for r in bins.collect():  # FANOUT rows a path at most
@@ -123,7 +127,7 @@ def shard(docs: DataFrame, shards: int = 16, rows_per_bucket: int = 10_000, whol
     text = text_or_empty()
     columns = ["doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group_key(text).alias("text_key")]
     rows = stage(docs.select(*columns), "sizes")
-    groups = stage(rows.groupBy(F.col("text_key").alias("key")).agg(F.sum("size").alias("bytes")), "groups")
+    groups = stage(rows.groupBy(F.col("text_key").alias("key")).agg(F.sum("size").alias("bytes")).sort("key"), "groups")
     _, cuts = minimax_cuts(groups, shards)
     number = F.lit(0)
     for c in cuts:
