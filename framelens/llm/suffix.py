@@ -293,7 +293,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
     """doc_id, n_bytes, n_removed, froms, tos (maximal removed runs), kept_sha256 of every row of ``docs``.
 
     A null text is empty; texts shorter than ``length`` keep all.  Repeated rows are copies of each
-    other like any equal texts, so all of them lose their bytes.  Other columns are not read.
+    other like any equal texts, so all of them lose their bytes.  A null doc_id stays null.  An empty
+    table gives no row.  Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("print"), text.alias("text"))

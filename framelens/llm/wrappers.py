@@ -31,7 +31,7 @@ RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title",
 #: Elements that a start tag of the same set closes, with those that bound the search.
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 BOUNDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "p": ("div", "td", "li", "article", "section", "blockquote", "body", "main")}
-NO_TEXT = frozenset("head nav footer aside form button select menu dialog iframe object embed script style noscript template textarea title svg noembed noframes xmp figure canvas audio video map".split()) - {"figure"}
+NO_TEXT = frozenset("head nav footer aside form button select menu dialog iframe object embed script style noscript template textarea title svg noembed noframes xmp canvas audio video map".split())
 CONTAINERS = ("article", "main")
 #: Words in class, id or role that mark what is no main text.
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments respond reply replies disqus consent cookie cookies gdpr footer header masthead nav navbar navigation menu sidebar aside notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended promo promotion promoted sponsor sponsored toolbar widget pagination pager skip search form disclaimer complementary contentinfo hidden".split())
