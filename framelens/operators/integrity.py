@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions.numeric import positive
-from framelens.schema import VIEWS, views
+from framelens.schema import VIEWS, each_view
 
 CHECKS = ("presence", "readability", "frame_count_consistency", "fps_consistency", "duration_consistency", "resolution_consistency")
 
 
 def grid(samples: DataFrame, inventory: DataFrame, names=VIEWS) -> DataFrame:
     """Every sample with every expected view, and the inventory's row where there is one."""
-    spark = samples.sparkSession
-    return samples.select("sample_id").crossJoin(views(spark, names)).join(inventory, ["sample_id", "view"], "left")
+    return each_view(samples.select("sample_id"), names).join(inventory, ["sample_id", "view"], "left")
 
 
 def consistent(values: str, expected: int, tolerance: float):

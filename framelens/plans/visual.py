@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions.numeric import finite
-from framelens.schema import VIEWS, views
+from framelens.schema import VIEWS, each_view
 
 
 def first_frame_gray(pixels: DataFrame, keys=("sample_id", "view")) -> DataFrame:
@@ -27,7 +27,7 @@ def mosaic(tiles: DataFrame, names=VIEWS) -> DataFrame:
     """
     size = tiles.where(F.col("view") == names[0]).groupBy("sample_id").agg(F.max("h").alias("th"), F.max("w").alias("tw"))
     complete = tiles.groupBy("sample_id").agg(F.count_distinct(F.when(F.col("view").isin(*names), F.col("view"))).alias("n")).where(F.col("n") == len(names)).select("sample_id")
-    at = size.join(complete, "sample_id").crossJoin(views(tiles.sparkSession, names))
+    at = each_view(size.join(complete, "sample_id"), names)
     at = at.withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("th") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("tw") - 1)))
     shape = tiles.groupBy("sample_id", "view").agg(F.max("h").alias("vh"), F.max("w").alias("vw"))
     at = at.join(shape, ["sample_id", "view"]).withColumn("y", F.floor((F.col("ty") + 0.5) * F.col("vh") / F.col("th")).cast("int")).withColumn("x", F.floor((F.col("tx") + 0.5) * F.col("vw") / F.col("tw")).cast("int"))

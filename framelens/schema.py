@@ -21,9 +21,9 @@ SAMPLE = f"sample_id string, generated_video string, reference_video string, pro
 OUTCOME = "metric string, sample_id string, score double, status string, reason string"
 
 
-def views(spark: SparkSession, names=VIEWS) -> DataFrame:
-    """(view_rank, view): one row a view; a handful, so it is always broadcast."""
-    return F.broadcast(spark.createDataFrame(list(enumerate(names)), "view_rank int, view string"))
+def each_view(df: DataFrame, names=VIEWS) -> DataFrame:
+    """Every row once for each view, with view_rank and view; the list is a constant, so nothing is joined."""
+    return df.select("*", F.posexplode(F.array(*[F.lit(v) for v in names])).alias("view_rank", "view"))
 
 
 def camera_pairs(spark: SparkSession) -> DataFrame:
