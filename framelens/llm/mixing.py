@@ -82,7 +82,7 @@ def quotas(sizes: list[int], goal: list[Fraction], shards: int, block: int, repe
     return np.diff(np.stack([np.zeros(len(sizes), np.int64), *upto]), axis=0)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK_WORDS, shards: int = 16, seed: int = 7, rows_per_bucket: int = 10_000, whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK_WORDS, shards: int = 16, seed: int = 7, rows_per_bucket: int = 2000, whole: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, full, more, taken of every row of ``docs``; with ``whole`` also ``row``, all its columns.
 
     Sources by code point, null last, have the weights in turn.  ``full`` is how often the whole
