@@ -5,7 +5,9 @@ Control is on the driver; every stage is one plan over DataFrames.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +15,7 @@ from framelens.operators import enrich, outcomes
 from framelens.plans.registry import GENERATORS, METRICS, build, enabled
 from framelens.sources import manifest, sinks
 
+LOG = logging.getLogger("framelens")
 STAGES = ("inspect_data", "prepare_reference", "evaluate", "summarize", "visualize")
 DEFAULT_STAGES = {"evaluate": True, "summarize": True}
 
@@ -58,6 +61,22 @@ def probe(spark: SparkSession) -> dict:
     return {"version": sc.version, "master": sc.master, "default_parallelism": sc.defaultParallelism, "answers": spark.range(8).count() == 8}
 
 
+def log_to(folder: str) -> None:
+    """Messages go to the console and to run.log in the folder."""
+    LOG.setLevel(logging.INFO)
+    for old in list(LOG.handlers):
+        LOG.removeHandler(old)
+        old.close()
+    for handler in (logging.StreamHandler(), logging.FileHandler(f"{folder}/run.log", encoding="utf-8")):
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+        LOG.addHandler(handler)
+
+
+def manifest_to_use(raw: str, enriched: str) -> str:
+    """The enriched manifest if there is one, else the raw one."""
+    return enriched if Path(enriched).exists() else raw
+
+
 def prepare(samples: DataFrame, configs: dict[str, dict]) -> tuple[DataFrame, DataFrame]:
     """Enriched samples and patches of all enabled generators, which run by default."""
     names = enabled(configs, default=True)
@@ -81,6 +100,9 @@ def run(spark: SparkSession, manifest_path: str, tables: dict[str, DataFrame], c
     """Runs the stages that are on, writes the reports, and gives the overall status."""
     stages = stage_switches(config.get("stages"), config.get("stage"))
     sinks.make_layout(output)
+    log_to(f"{output}/logs")
+    LOG.info("stages: %s", ", ".join(s for s, on in stages.items() if on))
+    manifest_path = manifest_to_use(manifest_path, f"{output}/enriched_manifest.json")
     rows = manifest.records(manifest.read_payload(spark, manifest_path))
     if stages["inspect_data"]:
         sinks.write_report(f"{output}/data_inspection.json", sinks.one_row(manifest.inspection(rows)))
@@ -102,4 +124,6 @@ def run(spark: SparkSession, manifest_path: str, tables: dict[str, DataFrame], c
     sinks.metrics_report(summary, found, f"{output}/metrics.json")
     if stages["summarize"]:
         sinks.summary_reports(summary, outcomes.failed_samples(found), output)
-    return outcomes.overall_status(summary).first()[0]
+    status = outcomes.overall_status(summary).first()[0]
+    LOG.info("status: %s", status)
+    return status

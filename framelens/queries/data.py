@@ -53,6 +53,12 @@ def src7(spark, sf):
     return c.select("c_custkey", manifest.container(F.col("payload")).alias("c")).select("c_custkey", "c.name", F.when(F.col("c").isNotNull(), F.size("c.items")).alias("n"))
 
 
+@query("PRJ6_preview", """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '[BIGINT, STRING]' WHEN 1 THEN '{a: BIGINT, b: STRING}' WHEN 2 THEN '{x: ARRAY, y: OBJECT}' ELSE 'VOID' END AS preview FROM customer""")
+def prj6(spark, sf):
+    body = F.expr("""CASE c_custkey % 4 WHEN 0 THEN '[1, "s", true]' WHEN 1 THEN '{"c": 1, "b": "t", "a": 2}' WHEN 2 THEN '{"y": {"z": 1}, "x": []}' ELSE 'null' END""")
+    return fx.table(spark, sf, "customer").select("c_custkey", manifest.preview(F.parse_json(body), 2).alias("preview"))
+
+
 @query("SRC2_records", """SELECT c_custkey, CAST(i AS INTEGER) AS index FROM customer, (SELECT unnest(range(0, 3)) AS i) WHERE i < 1 + c_custkey % 3""")
 def src2(spark, sf):
     n = F.sequence(F.lit(0), (F.col("c_custkey") % 3).cast("int"))
@@ -198,7 +204,7 @@ def prj5(spark, sf):
     return selection.payload(c, "ds").select("sample_id", "generated_video", "prompt", "metadata.source_video_dir")
 
 
-@query("LIM1_PRJ6", "SELECT region, names FROM (SELECT o_orderpriority AS region, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS names FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey, o_custkey) <= 3) GROUP BY 1)")
+@query("LIM1", "SELECT region, names FROM (SELECT o_orderpriority AS region, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS names FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey, o_custkey) <= 3) GROUP BY 1)")
 def lim1(spark, sf):
     n = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey", "o_custkey"))
     o = fx.table(spark, sf, "orders").withColumn("n", n).where("n <= 3")

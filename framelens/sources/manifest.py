@@ -56,6 +56,16 @@ def tagged_items(payload: Column) -> Column:
     return F.map_entries(F.try_variant_get(payload, "$", "map<string,variant>"))
 
 
+def preview(value: Column, most: int = 3) -> Column:
+    """The first keys of an object, or items of a list, each with its type; of anything else its own type."""
+    entries = F.slice(F.array_sort(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"), ), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), 1, most)
+    items = F.slice(F.try_variant_get(value, "$", "array<variant>"), 1, most)
+    short = lambda v: F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    keyed = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), short(e["value"]))), ", "), F.lit("}"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform(items, short), ", "), F.lit("]"))
+    return F.when(kind(value).startswith("OBJECT"), keyed).when(kind(value).startswith("ARRAY"), listed).otherwise(short(value))
+
+
 def record_id(record: Column) -> Column:
     """The trimmed id, as text: a JSON null is 'None', a missing one empty."""
     raw = at(record, "$.sample_id")

@@ -32,7 +32,13 @@ class Dataset:
         return require_all_valid(self.records(spark), self.views)
 
 
-DATASETS: dict[str, type[Dataset]] = {name: Dataset for name in ("cosmos", "geely", "real", "sample")}
+#: Kinds of datasets by name; a configuration file names its own with ``register_datasets``.
+DATASETS: dict[str, type[Dataset]] = {"sample": Dataset}
+
+
+def register_datasets(config: dict, kind: type[Dataset] = Dataset) -> None:
+    """Makes every dataset of a configuration's ``datasets`` known."""
+    DATASETS.update({name: kind for name in config.get("datasets") or {}})
 
 
 def build_dataset(name: str, config: dict) -> Dataset:

@@ -12,7 +12,7 @@ from framelens.operators import enrich, selection
 from framelens.plans import registry, runner, visual
 from framelens.schema import VIEWS
 from framelens.sources import files, manifest, sinks
-from framelens.sources.registry import build_dataset, load_config
+from framelens.sources.registry import build_dataset, load_config, register_datasets
 from framelens.streaming.incremental import score_stream
 
 FULL = {v: f"{v}.mp4" for v in VIEWS}
@@ -49,6 +49,7 @@ def test_manifest(spark, manifest_path):
     n = {r.sample_id: r for r in manifest.normalized(rows).collect()}
     assert set(n) == {"a", "None"} and n["a"].camera_videos == FULL and n["a"].generated_video == "g" and n["a"].prompt == "" and [o.object_id for o in n["a"].objects] == ["o"] and n["None"].objects == []
     assert manifest.view_paths(manifest.normalized(rows)).count() == 12 and manifest.only_objects(rows).count() == 9
+    register_datasets({"datasets": {"real": {}}})
     dataset = build_dataset("real", {"data_file": manifest_path})
     assert dataset.valid(spark).count() == 2
     with pytest.raises(Exception, match="invalid sample"):
@@ -177,6 +178,8 @@ def test_plans(spark, manifest_path, tmp_path, monkeypatch):
     report = json.loads((tmp_path / "out/summary.json").read_text())
     assert report["temporal_consistency"]["evaluated_count"] == 1 and report["temporal_consistency"]["skipped_count"] == 1 and report["_failed_metrics"] == []
     assert json.loads((tmp_path / "out/data_inspection.json").read_text())["num_valid"] == 2 and json.loads((tmp_path / "out/reference_summary.json").read_text())[0]["prepared"] == 2
+    assert "status: success" in (tmp_path / "out/logs/run.log").read_text()
+    assert runner.manifest_to_use("raw.json", str(tmp_path / "none.json")) == "raw.json" and runner.manifest_to_use("raw.json", manifest_path) == manifest_path
     assert (tmp_path / "out/metrics.json").read_text().endswith("}\n")
     sinks.enveloped(spark.createDataFrame([(1, "é")], "i int, t string"), {"n": 1, "samples": []}, str(tmp_path / "e.json"))
     assert json.loads((tmp_path / "e.json").read_text()) == {"n": 1, "samples": [{"i": 1, "t": "é"}]} and "é" in (tmp_path / "e.json").read_text()
