@@ -17,9 +17,8 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from framelens.llm.common import stage, text_buffers, text_groups
 from framelens.llm.graph import components
@@ -175,7 +174,7 @@ def _labels(prints: DataFrame, threshold: int, home_limit: int) -> DataFrame:
     roots = components(links(distinct, threshold, home_limit))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "root", "component_id")
+    return rooted.join(least, "root").select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 2, k: int = 3, seed: int = 42, home_limit: int = 256) -> DataFrame:
@@ -186,27 +185,4 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, k: int = 3, seed: int =
     stay; an empty table gives no row.  Other columns of the input are not read.
     """
     prints = stage(fingerprints(docs, k, seed), "prints")
-    return prints.join(_labels(prints, threshold, home_limit).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def representatives(docs: DataFrame, threshold: int = 2, k: int = 3, seed: int = 42, home_limit: int = 256) -> DataFrame:
-    """One row of ``docs``, all columns, of each component: that with the smallest doc_id, a null last.
-
-    Of rows that repeat both doc_id and fingerprint the one with the first text stays.
-    """
-    prints = stage(fingerprints(docs, k, seed), "prints")
-    labels = stage(_labels(prints, threshold, home_limit).select("fp", "root"), "labels")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "fp")
-    won = prints.join(labels, "fp").groupBy("root").agg(F.min(order).alias("x")).select("x.no_id", "x.id", "x.fp")
-    run = _fingerprints(k, seed)
-
-    def printed(batches):
-        for batch in batches:
-            for group in text_groups(batch, "row_text"):
-                fp = [b.column(1) for b in run([group.select(["id", "row_text"]).rename_columns(["id", "text"])])]
-                yield pa.RecordBatch.from_arrays([*group.columns, pa.concat_arrays(fp)], [*group.schema.names, "fp"])
-
-    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("row_text"), F.struct(*docs.columns).alias("row"))
-    rows = rows.mapInArrow(printed, T.StructType([*rows.schema.fields, T.StructField("fp", T.LongType())])).drop("row_text")
-    first = F.row_number().over(Window.partitionBy("no_id", "id", "fp").orderBy("row.text"))
-    return rows.join(won, ["no_id", "id", "fp"], "left_semi").withColumn("n", first).where("n = 1").select("row.*")
+    return prints.join(_labels(prints, threshold, home_limit), "fp").select("doc_id", "fp", "component_id")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from framelens.llm import containment, decontam, exact_dedup, graph, licenses, lm, mixing, quality, sharding, simhash, suffix, tokens, wrappers
+from framelens.llm import containment, decontam, exact_dedup, graph, licenses, lm, mixing, quality, sharding, similar, simhash, suffix, tokens, wrappers
 from framelens.llm.mixing import word_count
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, stats string, row string, shard string, target string, fp string"
@@ -140,10 +140,7 @@ def test_simhash(spark, rows, limit):
     expected = Counter((i, p, least.get(root[p])) for (i, _, _), p in zip(near, prints))
     assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in out) == expected
     assert len(set(root.values())) < len(root)
-    kept = simhash.representatives(frame(spark, near), home_limit=limit)
-    assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(least.get(x) for x in set(root.values()))
-    assert simhash.near_duplicates(frame(spark, [])).count() == simhash.representatives(frame(spark, [])).count() == 0
+    assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
 def test_every_near_pair_meets_at_a_home_anchor():
@@ -157,6 +154,90 @@ def test_every_near_pair_meets_at_a_home_anchor():
         assert home[i] in own and len(set(own.tolist())) == len(own) and is_home[row == i].sum() == 1
 
 
+def shingle_set(text, k=5):
+    w = words_of(text)
+    return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_similar_texts(spark, rows):
+    rng = np.random.default_rng(11)
+    near = [r for r in rows if len(r[1] or "") < 100_000]
+    for i in range(40):
+        w = prose(rng, 400).split()
+        near.append((1000 + 10 * i, " ".join(w), "s0"))
+        for j in range(1, 4):
+            edits = w.copy()
+            for at in rng.choice(len(w), 2 * j * (1 + i % 8), replace=False):
+                edits[at] = f"edit{at}"
+            near.append((1000 + 10 * i + j, " ".join(edits), "s1"))
+    kept = similar.representatives(frame(spark, near))
+    assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    found = kept.collect()
+    sets = [shingle_set(r.text) for r in found]
+    far = [(a, b) for a in range(len(sets)) for b in range(a) if similarity(sets[a], sets[b]) >= 0.85]
+    assert not far
+    own = [(r.doc_id, s) for r, s in zip(found, sets)]
+    gone = list((Counter(i for i, _, _ in near) - Counter(r.doc_id for r in found)).elements())
+    texts = [(i, shingle_set(t)) for i, t, _ in near]
+    for doc in gone:
+        mine = [s for i, s in texts if i == doc]
+        assert any(similarity(m, s) >= 0.7 for m in mine for i, s in texts if i != doc) or len(mine) > 1
+    ids = {i for i, _ in own}
+    assert {1000 + 10 * i for i in range(40)} | {3, 300, 400} <= ids and not ids & {*range(201, 212), 301, 302}
+    assert sum((i or 0) >= 1000 for i in ids) > 60 and similar.representatives(frame(spark, [])).count() == 0
+
+
+def test_meetings_are_what_brute_force_finds(monkeypatch):
+    rng = np.random.default_rng(12)
+    for several in (False, True):
+        n = 600
+        key = np.sort(rng.integers(0, 40, n))
+        root = rng.integers(0, 60, n) if several else rng.permutation(n)
+        order = np.lexsort((root, key))
+        root, node = root[order], np.arange(n)
+        base = rng.integers(-(1 << 62), 1 << 62, 25)
+        sketch = base[rng.integers(0, 25, n)] ^ (1 << rng.integers(0, 62, n)) ^ (rng.integers(-(1 << 62), 1 << 62, n) * (rng.random(n) < 0.3))
+        near = (np.bitwise_count(sketch[:, None] ^ sketch) <= similar.SKETCH) & (key[:, None] == key) & (root[:, None] != root)
+        monkeypatch.setattr(similar, "_PAIRS", 50)
+        k, count, found = similar._meeting(key, node, root, sketch)
+        assert set(found.tolist()) == set(np.flatnonzero(near.any(axis=1)).tolist()) and len(found) == len(set(found.tolist()))
+        assert dict(zip(k.tolist(), count.tolist())) == Counter(key[found].tolist())
+
+
+@pytest.mark.parametrize("most", [10, 1 << 18])
+def test_runs_of_anchors_are_held_whole(monkeypatch, most):
+    monkeypatch.setattr(similar, "RUN_ROWS", most)
+    key = np.repeat(np.arange(12), [1, 2, 40, 3, 1, 7, 12, 1, 90, 2, 2, 4])
+    node = np.arange(len(key))
+    whole = similar.pa.RecordBatch.from_arrays([similar.pa.array(x) for x in (key, node, node, np.zeros(len(key), np.int64))], ["key", "node", "root", "sketch"])
+    out = [tuple(r.values()) for b in similar._meetings(whole.slice(i, 9) for i in range(0, len(key), 9)) for r in b.to_pylist()]
+    size = Counter(key.tolist())
+    assert sorted((k, v) for k, _, v in out) == [(k, v) for k, v in zip(key.tolist(), node.tolist()) if size[k] > 1]
+    for k, n, _ in out:
+        assert n in (size[k], -1) and (n == size[k] or size[k] > most)
+    assert len({(k, n) for k, n, _ in out}) == len({k for k, _, _ in out})
+
+
+def test_links_connect_all_that_is_near():
+    rng = np.random.default_rng(13)
+    prints = np.packbits(rng.integers(0, 2, (8, similar.BITS)).astype(np.uint8), axis=1)[rng.integers(0, 8, 200)]
+    for i in range(200):
+        bits = np.unpackbits(prints[i])
+        bits[rng.choice(similar.BITS, rng.integers(0, 160), replace=False)] ^= 1
+        prints[i] = np.packbits(bits)
+    wide = prints.view(np.uint64)
+    key = np.sort(rng.integers(0, 6, 200))
+    out = similar._linked(similar.THRESHOLD, np.zeros(200, np.int64), key, np.arange(200), wide)
+    near = (np.bitwise_count(wide[:, None] ^ wide).sum(axis=2) <= similar.THRESHOLD) & (key[:, None] == key)
+    a, b = np.nonzero(near)
+    node, root = graph.local_roots(a, b)
+    assert dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist())) == {n: r for n, r in zip(node.tolist(), root.tolist()) if n != r}
+
+
 # containment
 
 
