@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelens.queries import data, metrics
+from framelens.queries import data, metrics, roundtrips
 from framelens.queries.base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "data", "metrics"]
+__all__ = ["ORACLE_SQL", "QUERIES", "data", "metrics", "roundtrips"]

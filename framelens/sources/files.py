@@ -51,10 +51,11 @@ def _array(path: str, content: bytes) -> np.ndarray:
     return np.asarray(json.loads(content)) if path.endswith(".json") else np.load(io.BytesIO(content), allow_pickle=False)
 
 
-def tensors(spark: SparkSession, path: str, kind: str = "int") -> DataFrame:
-    """(path, t, h, w, values, error) a frame of every .npy or .json tensor of three dimensions.
+def tensors_of(contents: DataFrame, kind: str = "int") -> DataFrame:
+    """``contents`` (path, content) to (path, t, h, w, values, error), a frame of every tensor of three dimensions.
 
-    What can't be read gives one row with an error. Pickled contents are refused.
+    A path that ends in .json holds nested lists, any other .npy. What can't be read gives one row with
+    an error. Pickled contents are refused.
     """
     dtype = np.int32 if kind == "int" else np.float64
 
@@ -71,8 +72,12 @@ def tensors(spark: SparkSession, path: str, kind: str = "int") -> DataFrame:
                 except Exception as e:  # noqa: BLE001  any unreadable file is a row
                     yield pd.DataFrame({"path": [p], "t": [None], "h": [None], "w": [None], "values": [None], "error": [f"{type(e).__name__}: {e}"]}).astype({"t": "Int32", "h": "Int32", "w": "Int32"})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{npy,json}").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, f"path string, t int, h int, w int, values array<{kind}>, error string")
+    return contents.select("path", "content").mapInPandas(run, f"path string, t int, h int, w int, values array<{kind}>, error string")
+
+
+def tensors(spark: SparkSession, path: str, kind: str = "int") -> DataFrame:
+    """The frames of all .npy and .json files below."""
+    return tensors_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.{npy,json}").option("recursiveFileLookup", "true").load(path), kind)
 
 
 def frames(spark: SparkSession, path: str, decode: Callable[[bytes], list[bytes]]) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import io
 import json
+import re
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LAYOUT = ("logs", "metrics", "summaries", "failed_samples", "references/depth", "references/semantic", "references/tracks", "visualizations/depth", "visualizations/semantic", "visualizations/match")
@@ -22,9 +23,19 @@ def make_layout(root: str) -> dict[str, Path]:
 
 
 def write_report(path: str, value) -> None:
-    """Indented, non-ASCII kept, with a newline at the end."""
+    """Indented, non-ASCII kept, with a newline at the end; a path with a scheme goes through Spark's file systems."""
+    text = json.dumps(value, ensure_ascii=False, indent=2, default=str) + "\n"
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        spark = SparkSession.active()
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        try:
+            stream.write(bytearray(text.encode("utf-8")))
+        finally:
+            stream.close()
+        return
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=2, default=str) + "\n", encoding="utf-8")
+    Path(path).write_text(text, encoding="utf-8")
 
 
 def one_row(df: DataFrame) -> dict:

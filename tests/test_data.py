@@ -218,3 +218,9 @@ def test_the_library_does_not_import_the_training_data_operators():
 
     root = Path(framelens.__file__).parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and re.search(r"framelens\.llm|from \.llm", p.read_text())]
+
+
+def test_reports_to_a_path_with_a_scheme(spark, tmp_path):
+    sinks.write_report(f"file://{tmp_path}/deep/r.json", {"é": [1]})
+    sinks.write_report(f"{tmp_path}/plain/r.json", {"é": [1]})
+    assert (tmp_path / "deep/r.json").read_bytes() == (tmp_path / "plain/r.json").read_bytes() == '{\n  "é": [\n    1\n  ]\n}\n'.encode()
