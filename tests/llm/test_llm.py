@@ -238,6 +238,21 @@ def test_links_connect_all_that_is_near():
     assert dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist())) == {n: r for n, r in zip(node.tolist(), root.tolist()) if n != r}
 
 
+def test_similar_texts_link_by_their_exact_sets(spark):
+    words = iter(f"w{i}" for i in range(1 << 20))
+    rows, kept, pairs = [], set(), [(5, 4), (6, 5), (10, 8), (500, 400), (8, 6), (16, 12), (7, 5), (400, 300), (499, 399), (4, 3), (1, 1)]
+    for _ in range(12):
+        for whole, part in pairs:  # shingles of a text, and of its beginning
+            text = [next(words) for _ in range(whole + 4)]
+            rows += [(len(rows), " ".join(text), "s"), (len(rows) + 1, " ".join(text[: part + 4]), "s")]
+            kept |= {len(rows) - 2, *([len(rows) - 1] if part * 5 < whole * 4 else [])}
+    base = [next(words) for _ in range(144)]
+    chain = [base[i * 10 : i * 10 + 104] for i in range(5)]  # 90 of 110 shared with the next, 80 of 120 with the one after
+    kept.add(len(rows))
+    rows += [(len(rows) + i, " ".join(x), "s") for i, x in enumerate(chain)]
+    assert {r.doc_id for r in similar.representatives(frame(spark, rows)).collect()} == kept
+
+
 # containment
 
 
