@@ -7,8 +7,8 @@ normalise to log-probabilities by batched matrix products.  Within a bucket a wo
 share of the bucket's training counts, with one further share for all unseen words.
 
 Word counts are exact over all training documents.  Training runs in every partition from the same
-parameters, on a fixed share of all word positions, and averages the results; so work and what is
-gathered grow with the corpus.  Scoring holds the counts of frequent words in memory, at most
+parameters and averages the results; each position is in one of the rounds, drawn by the hash of its
+whole document, so that the rounds together train on all.  Scoring holds the counts of frequent words in memory, at most
 ``HEAD_TYPES`` of them by a threshold on the count, and joins the rest in one shuffle.
 """
 
@@ -28,8 +28,8 @@ from framelens.llm.tokens import LOWER, mix, tokenize
 WORDS, BUCKETS, SIZE, CONTEXT = 191, 64, 16, 3
 #: Most words whose counts are held in memory.
 HEAD_TYPES = 1 << 19
-#: One of so many positions is trained on in each round.
-SHARE, ROUNDS, BATCH, NOISE = 8, 2, 512, 64
+#: Every position is trained on in one of the rounds.
+ROUNDS, BATCH, NOISE = 2, 512, 64
 _SCORE_ROWS = 1 << 14
 
 
@@ -224,7 +224,7 @@ def log_probabilities(tables, target: np.ndarray, before: np.ndarray) -> np.ndar
     return out
 
 
-def _trainer(flat: np.ndarray, words: np.ndarray, probabilities: np.ndarray, buckets: int, size: int, context: int, rate: float, round_: int):
+def _trainer(flat: np.ndarray, words: np.ndarray, probabilities: np.ndarray, buckets: int, size: int, context: int, rate: float, round_: int, rounds: int = ROUNDS):
     def run(batches):
         outputs = len(probabilities)
         model = Parameters(outputs, size, context, np.zeros(outputs)).load(flat)
@@ -236,11 +236,12 @@ def _trainer(flat: np.ndarray, words: np.ndarray, probabilities: np.ndarray, buc
                 h, bucket, first = _words(*text_buffers(group.column(0)), buckets)
                 target, before, at = _contexts(_outputs(h, bucket, words), first, context)
                 place = np.arange(len(target)) - np.repeat(at[:-1], np.diff(at))
-                document = np.zeros(len(at) - 1, np.uint64)
-                filled = first[1:] > first[:-1]
-                document[filled] = h[first[:-1][filled]]
-                draw = mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.repeat(document, np.diff(at)))
-                own = np.flatnonzero(draw % np.uint64(SHARE) == np.uint64(round_ % SHARE))
+                place = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                own = np.delete(np.arange(len(target)), at[1:] - 1)  # all but the ends
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ place[own]), dtype=np.uint64)])
+                document = sums[first[1:] - first[0]] - sums[first[:-1] - first[0]]
+                draw = mix(place ^ np.repeat(document, np.diff(at)))
+                own = np.flatnonzero(draw % np.uint64(rounds) == np.uint64(round_))
                 own = own[np.argsort(draw[own], kind="stable")]
                 for lo in range(0, len(own), BATCH):
                     part = own[lo : lo + BATCH]
@@ -254,12 +255,12 @@ def _trainer(flat: np.ndarray, words: np.ndarray, probabilities: np.ndarray, buc
 
 
 def train(texts: DataFrame, vocab: Vocabulary, buckets: int = BUCKETS, size: int = SIZE, context: int = CONTEXT, rounds: int = ROUNDS, rate: float = 0.1) -> Parameters:
-    """Parameters after ``rounds`` passes over ``texts`` (text); without texts all outputs are alike."""
+    """Parameters after one pass over all positions of ``texts`` (text), in ``rounds`` parts; without texts all outputs are alike."""
     counts = vocab.outputs + (vocab.outputs == 0) * 0.5
     probabilities = counts / counts.sum()
     model = Parameters(len(counts), size, context, np.log(probabilities))
     for r in range(rounds if vocab.ends else 0):
-        run = _trainer(model.flat(), vocab.words, probabilities, buckets, size, context, rate, r)
+        run = _trainer(model.flat(), vocab.words, probabilities, buckets, size, context, rate, r, rounds)
         sums = texts.select("text").mapInArrow(run, "k long, v double, n double").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).orderBy("k").toArrow()
         if sums.num_rows:
             model.load(sums.column("v").to_numpy())

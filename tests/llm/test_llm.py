@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -446,6 +447,16 @@ def test_nce_learns_a_pattern():
 # suffix arrays
 
 
+def test_nce_trains_on_every_position():
+    texts = pa.array([f"the {' '.join(WORDS[:i % 7])} end{i}" for i in range(300)] + ["", "same", "same"])
+    n, trained = 4 + 8, 0.0
+    for round_ in range(lm.ROUNDS):
+        run = lm._trainer(lm.Parameters(n, 4, 2, np.zeros(n)).flat(), np.zeros(0, np.uint64), np.full(n, 1 / n), n - 1, 4, 2, 0.1, round_)
+        trained += sum(b.column(2)[0].as_py() for b in run([pa.RecordBatch.from_arrays([texts], ["text"])]))
+    assert trained == sum(len(x.split()) + 1 for x in texts.to_pylist())
+
+
+
 def test_suffix_array():
     rng = np.random.default_rng(9)
     for n in [*range(1, 30), 700]:
