@@ -37,6 +37,8 @@ CONTAINERS = ("article", "main")
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments respond reply replies disqus consent cookie cookies gdpr footer header masthead nav navbar navigation menu sidebar aside notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended promo promotion promoted sponsor sponsored toolbar widget pagination pager skip search form disclaimer complementary contentinfo hidden".split())
 CONTENT = frozenset("article post entry story content main body text".split())
 MAX_DEPTH = 80
+#: Unlike pages of a host that are told apart, by digest.
+PAGES = 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -239,15 +241,21 @@ def program(wrapper: list, pages: int) -> dict:
 
 
 def extract(root: Node, rules: dict) -> str:
-    """The text of the article's elements, or without any all text that is neither noise nor template."""
+    """The text of the article's elements, or without any all text that is neither noise nor template.
+
+    Template texts stay where nothing else is left.
+    """
     articles, template = set(rules["article"]), {tuple(x) for x in rules["template"]}
     for use in (articles, {"article"}, {"main"}) if articles else ({"article"}, {"main"}):
         out: list[str] = []
         _collect(root, "", use, False, out, template)
         if out:
             return " ".join(out)
-    out = []
-    _collect(root, "", None, False, out, template)
+    for drop in (template, set()) if template else (set(),):
+        out = []
+        _collect(root, "", None, False, out, drop)
+        if out:
+            break
     return " ".join(out)
 
 
@@ -268,7 +276,7 @@ def host(url: str | None) -> str:
 
 def _inferrer(most: int = 1000):
     def out(held):
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in held]), pa.array([i for _, i in held], pa.int32()), pa.array([json.dumps(w) for w, _, _ in held.values()]), pa.array([len(n) for _, n, _ in held.values()], pa.int64())], ["host", "part", "wrapper", "pages"])
+        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in held]), pa.array([i for _, i in held], pa.int32()), pa.array([json.dumps(w) for w, _, _ in held.values()]), pa.array([sorted(n) for _, n, _ in held.values()], pa.list_(pa.int64()))], ["host", "part", "wrapper", "pages"])
 
     def run(batches):
         from pyspark import TaskContext
@@ -282,7 +290,7 @@ def _inferrer(most: int = 1000):
                     if own not in held:
                         held[own] = [made, {digest}, None]
                     else:
-                        if len(held[own][1]) < 4:
+                        if len(held[own][1]) < PAGES:
                             held[own][1].add(digest)
                         held[own][0] = merge(held[own][0], made)
                 if len(held) >= most:
@@ -298,7 +306,7 @@ def _merger(keys: int):
     """Rows come sorted by host; each is merged into one expression at a time."""
 
     def run(batches):
-        last, held, pages = None, None, 0
+        last, held, pages = None, None, set()
         rows = []
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
@@ -306,27 +314,27 @@ def _merger(keys: int):
                 made = json.loads(wrapper)
                 if key[:keys] != last:
                     if last is not None:
-                        rows.append((*last, *([0] * (2 - keys)), json.dumps(held), pages))
-                    last, held, pages = key[:keys], made, n
+                        rows.append((*last, *([0] * (2 - keys)), json.dumps(held), sorted(pages)[:PAGES]))
+                    last, held, pages = key[:keys], made, set(n)
                 else:
-                    held, pages = merge(held, made), pages + n
+                    held, pages = merge(held, made), pages if len(pages) >= PAGES else pages | set(n)
         if last is not None:
-            rows.append((*last, *([0] * (2 - keys)), json.dumps(held), pages))
+            rows.append((*last, *([0] * (2 - keys)), json.dumps(held), sorted(pages)[:PAGES]))
         columns = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["host", "part", "wrapper", "pages"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64())))], ["host", "part", "wrapper", "pages"])
 
     return run
 
 
-_WRAPPER = "host string, part int, wrapper string, pages long"
+_WRAPPER = "host string, part int, wrapper string, pages array<long>"
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, part, wrapper, pages): the expression of every host, as JSON, and about how many unlike pages it had."""
+    """(host, part, wrapper, pages): the expression of every host, as JSON, and how many unlike pages it had, counted up to four."""
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = pages.select("url", "html").mapInArrow(_inferrer(), _WRAPPER)
     found = found.repartition(parts, "host", "part").sortWithinPartitions("host", "part", "wrapper").mapInArrow(_merger(2), _WRAPPER)
-    return found.repartition(parts, "host").sortWithinPartitions("host", "wrapper").mapInArrow(_merger(1), _WRAPPER)
+    return found.repartition(parts, "host").sortWithinPartitions("host", "wrapper").mapInArrow(_merger(1), _WRAPPER).withColumn("pages", F.size("pages").cast("long"))
 
 
 def _extractor(batches):

@@ -504,6 +504,15 @@ def test_template_texts_are_dropped_without_an_article():
     assert wrappers.extract(wrappers.parse(sources[1]), wrappers.program(made, 6)) == "T1 Body 1. More"
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_copies_of_a_page_are_one_page(spark, parts):
+    page, other = "<body><div><h1>Title</h1><p>Only text.</p></div></body>", "<body><div><h1>Title</h1><p>Other.</p></div></body>"
+    rows = [(i, "http://c.example.org/", page) for i in range(12)] + [(20 + i, "http://d.example.org/", x) for i in range(6) for x in (page, other)]
+    out = wrappers.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts))
+    assert {(r.url[7], r.text) for r in out.collect()} == {("c", "Title Only text."), ("d", "Title Only text."), ("d", "Title Other.")}
+    assert wrappers.extract(wrappers.parse(page), wrappers.program(wrappers.expression(wrappers.parse(page)), 3)) == "Title Only text."
+
+
 def test_alignment_finds_optional_and_repeated_groups():
     tree = lambda s: wrappers.expression(wrappers.parse(s))
     merged = wrappers.merge(tree("<h1>a</h1><p>b</p>"), tree("<h1>a</h1><table>t</table><p>c</p><p>d</p>"))
