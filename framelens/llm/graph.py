@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import stage
+from framelens.llm.common import stage, unstage
 
 _BLOCK = 1 << 20
 
@@ -63,6 +63,8 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stage(large, "large-star")
+        unstage(now)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("x"))
         now = stage(small.select("x.a", F.col("x.m").alias("b")).where("a <> b").distinct(), "small-star")
+        unstage(large)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import ranges, stage, text_buffers, text_groups
+from framelens.llm.common import ranges, stage, text_buffers, text_groups, unstage
 from framelens.llm.tokens import mix, powers
 
 LENGTH, GRAM = 200, 40
@@ -217,8 +217,15 @@ def _sorter(length):
     return run
 
 
+def _class_bytes(raw: bytes, lead: int, c: int, length: int, width: int) -> tuple[bytes, bytes, int]:
+    """Core, own bytes and first lead of the windows of a piece whose distance to the anchor is in class ``c``."""
+    far = min(lead, (c + 1) * width - 1)
+    near = max(lead - (len(raw) - length), c * width)
+    return raw[lead - c * width : lead + length + 1 - (c + 1) * width], raw[lead - far : lead - near + length], far
+
+
 def _splitter(length, width):
-    """Parts a piece's windows by their distance to the anchor, ``width`` distances to a class.
+    """Parts a piece's windows by their distance to the anchor, ``width`` distances to a class; hashes only.
 
     All windows of a class hold its core, so windows can be equal only where class and core are.
     """
@@ -227,46 +234,71 @@ def _splitter(length, width):
         for batch in batches:
             rows = []
             for key, segment, lead, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                last = lead - (len(raw) - length)  # distance of the last window
-                for c in range(last // width, lead // width + 1):
-                    core = raw[lead - c * width : lead + length + 1 - (c + 1) * width]
-                    far = min(lead, (c + 1) * width - 1)
-                    near = max(last, c * width)
-                    part = raw[lead - far : lead - near + length]
+                for c in range((lead - (len(raw) - length)) // width, lead // width + 1):
+                    core, own, far = _class_bytes(raw, lead, c, length, width)
                     digest = hashlib.blake2b(core + struct.pack("<qq", key, c), digest_size=8).digest()
-                    own = hashlib.blake2b(part + struct.pack("<q", far), digest_size=8).digest()
-                    rows.append((key, segment, lead - far, *struct.unpack("<q", digest), *struct.unpack("<q", own), far, part))
-            columns = list(zip(*rows)) if rows else [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["of", "of_segment", "base", "anchor", "segment", "lead", "bytes"])
+                    own = hashlib.blake2b(own + struct.pack("<q", far), digest_size=8).digest()
+                    rows.append((key, segment, c, lead - far, len(raw) - length, *struct.unpack("<q", digest), *struct.unpack("<q", own), far))
+            columns = list(zip(*rows)) if rows else [()] * 8
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["of", "of_segment", "class", "base", "last", "anchor", "segment", "lead"])
 
     return run
 
 
+def _parter(length, width):
+    """The bytes of the classes asked for: columns lead, bytes, then lists of class, anchor, segment."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for lead, raw, classes, anchors, segments in zip(*(c.to_pylist() for c in batch.columns)):
+                for c, a, s in zip(classes, anchors, segments):
+                    _, own, far = _class_bytes(raw, lead, c, length, width)
+                    rows.append((a, s, far, own))
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["anchor", "segment", "lead", "bytes"])
+
+    return run
+
+
+_SPLIT = "of long, of_segment long, class int, base int, last int, anchor long, segment long, lead int"
+
+
 def _repeated(pieces: DataFrame, crowded: DataFrame, length: int, width: int, most: int) -> DataFrame:
     """(anchor, segment, froms, tos): windows that repeat among the different pieces of an anchor.
 
-    ``pieces``: anchor, segment, lead, bytes; ``crowded``: the anchors with more than ``most`` of
-    them, which are parted further until the pieces are single windows.
+    ``pieces`` (staged): anchor, segment, lead, bytes; ``crowded``: the anchors with more than
+    ``most`` of them, which are parted further until the pieces are single windows.
     """
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = pieces.join(crowded, "anchor", "left_anti")
     found = few.select("anchor", "segment", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "segment").mapInArrow(_sorter(length), _FOUND)
+    found = stage(found, "found")
     if width == 1 or crowded.isEmpty():
         return found
-    width = -(-width // 4)
-    hot = pieces.join(crowded, "anchor", "left_semi").select("anchor", "segment", "lead", "bytes")
-    split = stage(hot.mapInArrow(_splitter(length, width), "of long, of_segment long, base int, anchor long, segment long, lead int, bytes binary"), "split")
-    unlike = split.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
-    unlike = stage(unlike, "unlike")
+    width = -(-width // 8)
+    hot = pieces.join(crowded, "anchor", "left_semi")
+    split = stage(hot.select("anchor", "segment", "lead", "bytes").mapInArrow(_splitter(length, width), _SPLIT), "split")
+    unlike = stage(split.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("of", "of_segment", "class")).alias("at")), "unlike")
     per_core = stage(unlike.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "cores")
     live = unlike.join(per_core.select("anchor"), "anchor", "left_semi")
-    inner = _repeated(live, per_core.where(F.col("kinds") > most).select("anchor"), length, width, most)
-    spans_of = unlike.where("n > 1").select("anchor", "segment", F.array(F.lit(0)).alias("froms"), F.array(F.octet_length("bytes").cast("int")).alias("tos"))
-    met = split.select("of", "of_segment", "base", "anchor", "segment").join(spans_of.unionByName(inner), ["anchor", "segment"])
+    asked = live.groupBy(F.col("at.of").alias("of"), F.col("at.of_segment").alias("of_segment")).agg(F.collect_list(F.struct(F.col("at.class").alias("class"), "anchor", "segment")).alias("x"))
+    cut = hot.withColumnsRenamed({"anchor": "of", "segment": "of_segment"}).join(asked, ["of", "of_segment"])
+    cut = cut.select("lead", "bytes", *(F.col(f"x.{c}").alias(c) for c in ("class", "anchor", "segment")))
+    cut = stage(cut.mapInArrow(_parter(length, width), "anchor long, segment long, lead int, bytes binary"), "cut")
+    inner = _repeated(cut, per_core.where(F.col("kinds") > most).select("anchor"), length, width, most)
+    unstage(cut)
+    met = split.join(unlike.select("anchor", "segment", "n"), ["anchor", "segment"]).join(inner, ["anchor", "segment"], "left")
+    # all windows of a class whose own bytes occur twice repeat
+    near = F.greatest(F.col("lead") + F.col("base") - F.col("last"), F.col("class") * width)
+    whole = F.col("n") > 1
+    met = met.where(whole | F.col("froms").isNotNull()).select("of", "of_segment", "base", F.when(whole, F.array(F.lit(0))).otherwise(F.col("froms")).alias("froms"), F.when(whole, F.array((F.col("lead") - near + length).cast("int"))).otherwise(F.col("tos")).alias("tos"))
     moved = met.select("of", "of_segment", *(F.transform(c, lambda o: o + F.col("base")).alias(c) for c in ("froms", "tos")))
     moved = moved.groupBy("of", "of_segment").agg(F.flatten(F.collect_list("froms")).alias("froms"), F.flatten(F.collect_list("tos")).alias("tos"))
-    return found.unionByName(moved.select(F.col("of").alias("anchor"), F.col("of_segment").alias("segment"), "froms", "tos"))
+    out = stage(found.unionByName(moved.select(F.col("of").alias("anchor"), F.col("of_segment").alias("segment"), "froms", "tos")), "found")
+    unstage(found, split, unlike, per_core, inner)
+    return out
 
 
 def _keeper(length):
@@ -302,6 +334,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
     anchors = met.groupBy("anchor").agg(F.count("*").alias("n"), F.min("segment").alias("a"), F.max("segment").alias("b")).where("n > 1")
     anchors = stage(anchors.select("anchor", (F.col("a") == F.col("b")).alias("alike")), "anchors")
     met = stage(met.join(anchors, "anchor"), "met")
+    unstage(anchors)
     segments = met.where("NOT alike").groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(F.struct("id", "print", "start", "windows", "lead")).alias("at"))
     segments = stage(segments, "segments")
     crowded = stage(segments.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > sort_segments).select("anchor"), "crowded")
@@ -309,8 +342,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
     of = lambda c: F.col(f"x.{c}").alias(c)
     pieces = keyed.join(asked, ["id", "print"]).select("text", of("anchor"), of("segment"), of("start"), of("windows"), of("lead"))
     # rows that repeat both id and text cut each piece twice
-    pieces = pieces.mapInArrow(_cutter(length), "anchor long, segment long, lead int, bytes binary").groupBy("anchor", "segment").agg(F.first("lead").alias("lead"), F.first("bytes").alias("bytes"))
+    pieces = pieces.mapInArrow(_cutter(length), "anchor long, segment long, lead int, bytes binary").dropDuplicates(["anchor", "segment"])
+    pieces = stage(pieces, "pieces")
     found = _repeated(pieces, crowded, length, length - gram + 1, sort_segments)
+    unstage(pieces, crowded)
     whole = segments.where("n > 1").select("anchor", "segment", F.lit(True).alias("whole"))
     known = found.join(whole, ["anchor", "segment"], "full_outer")
     fine = met.where("NOT alike").join(known, ["anchor", "segment"])
@@ -318,7 +353,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sort
     fine = fine.select("id", "print", "start", F.when(F.col("whole"), all_of[0]).otherwise(F.col("froms")).alias("froms"), F.when(F.col("whole"), all_of[1]).otherwise(F.col("tos")).alias("tos"))
     alike = met.where("alike").select("id", "print", "start", all_of[0].alias("froms"), all_of[1].alias("tos"))
     cover = alike.unionByName(fine).select("id", "print", *(F.transform(c, lambda o: o + F.col("start")).alias(c) for c in ("froms", "tos")))
-    cover = cover.groupBy("id", "print").agg(F.flatten(F.collect_list("froms")).alias("froms"), F.flatten(F.collect_list("tos")).alias("tos"))
+    cover = stage(cover.groupBy("id", "print").agg(F.flatten(F.collect_list("froms")).alias("froms"), F.flatten(F.collect_list("tos")).alias("tos")), "cover")
+    unstage(met, segments, found)
     texts = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text, F.col("doc_id").isNull()).alias("print"), text.alias("text"), F.col("doc_id").isNull().alias("none"))
     out = texts.join(cover, ["id", "print"], "left").select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "text", "froms", "tos")
     return out.mapInArrow(_keeper(length), "doc_id long, n_bytes long, n_removed long, froms array<int>, tos array<int>, kept_sha256 string")
