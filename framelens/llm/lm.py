@@ -6,10 +6,13 @@ each scaled by a diagonal matrix of its place; its products with all output vect
 normalise to log-probabilities by batched matrix products.  Within a bucket a word has its smoothed
 share of the bucket's training counts, with one further share for all unseen words.
 
-Word counts are exact over all training documents.  Training runs in every partition from the same
-parameters and averages the results; each position is in one of the rounds, drawn by the hash of its
-whole document, so that the rounds together train on all.  Scoring holds the counts of frequent words in memory, at most
-``HEAD_TYPES`` of them by a threshold on the count, and joins the rest in one shuffle.
+Word counts are exact over all training documents.  For training every document becomes a string of
+output numbers, a byte a word.  The strings are dealt by hash over trainers, whose number follows from
+the number of tokens, and over rounds that double in size; a trainer takes its strings in hash order
+and mixes the positions of some thousands at a time.  After each round the parameters are averaged by
+sums that are exact, so every position is trained on once and the layout of the input makes no
+difference.  Copies of a text are counted first and then dealt like different ones.  Scoring holds the
+counts of frequent words in memory, at most ``HEAD_TYPES`` of them, and joins the rest in one shuffle.
 """
 
 from __future__ import annotations
@@ -22,14 +25,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import ranges, stage, text_buffers, text_groups
+from framelens.llm.common import ranges, stage, text_buffers, text_groups, unstage
 from framelens.llm.tokens import LOWER, mix, tokenize
 
 WORDS, BUCKETS, SIZE, CONTEXT = 191, 64, 16, 3
 #: Most words whose counts are held in memory.
 HEAD_TYPES = 1 << 19
-#: Every position is trained on in one of the rounds.
-ROUNDS, BATCH, NOISE = 2, 512, 64
+#: Positions of one trainer at least, if there are several, and most trainers.
+TRAINER, TRAINERS = 1 << 22, 4096
+#: Rounds, of which each is as large as all before; positions of a step and its noise samples; positions that are mixed.
+ROUNDS, BATCH, NOISE, MIXED = 6, 512, 64, 1 << 17
+#: Rows that the copies of a text make at most; each stands for its share of them.
+_COPIES = 1024
 _SCORE_ROWS = 1 << 14
 
 
@@ -98,12 +105,13 @@ def vocabulary(train: DataFrame, words: int = WORDS, buckets: int = BUCKETS, hea
     """Counts of all words of ``train`` (text)."""
     types = stage(train.select("text").mapInArrow(_counter(buckets), "word long, bucket int, c long").groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("c").alias("c")), "types")
     ends = train.count()
-    by_size = types.groupBy(F.least(F.col("c"), F.lit(1 << 20)).alias("c")).agg(F.count("*").alias("n"), F.sum("c").alias("total")).orderBy(F.desc("c")).collect()
-    least, held = (1 << 20) + 1, 0
+    # classes of counts that differ by one in a hundred, some thousands at most
+    by_size = types.groupBy(F.floor(F.log2("c") * 64).alias("size")).agg(F.count("*").alias("n"), F.sum("c").alias("total"), F.min("c").alias("least")).orderBy(F.desc("size")).collect()
+    least, held = (1 << 63) - 1, 0
     for r in by_size:
         if held + r.n > head:
             break
-        least, held = r.c, held + r.n
+        least, held = r.least, held + r.n
     top = types.orderBy(F.desc("c"), "word").limit(words).collect()
     frequent = types.where(F.col("c") >= least).select("word", "c").toArrow()
     h = frequent.column("word").to_numpy().view(np.uint64)
@@ -175,29 +183,21 @@ class Parameters:
 
     def nce(self, target: np.ndarray, before: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, rate: float, seen: list[np.ndarray]) -> None:
         """One step on a batch; ``log_noise``: log of the noise samples times each output's noise probability."""
-        ctx = self.r[before]  # batch, context, size
-        hat = (ctx * self.c).sum(axis=1)
-        qt = self.q[target]
-        true = 1 / (1 + np.exp(-((hat * qt).sum(axis=1) + self.b[target] - log_noise[target])))
-        fake = 1 / (1 + np.exp(-(hat @ self.q[noise].T + self.b[noise] - log_noise[noise])))
-        up = true - 1
-        d_hat = up[:, None] * qt + fake @ self.q[noise]
-        n = len(target)
-        outputs = len(self.b)
-        one = np.zeros((outputs, n), np.float32)
-        one[target, np.arange(n)] = 1
-        pick = np.zeros((outputs, len(noise)))
-        pick[noise, np.arange(len(noise))] = 1
-        grad_q = one @ (up[:, None] * hat) + pick @ (fake.T @ hat)
+        outputs, size, n = *self.r.shape, len(target)
+        near = [self.r[before[:, k]] for k in range(before.shape[1])]
+        hat = sum(x * c for x, c in zip(near, self.c))
+        qt, qn = self.q[target], self.q[noise]
+        up = 1 / (1 + np.exp(log_noise[target] - self.b[target] - np.einsum("ns,ns->n", hat, qt))) - 1
+        fake = 1 / (1 + np.exp((log_noise[noise] - self.b[noise])[None] - hat @ qn.T))
+        d_hat = up[:, None] * qt + fake @ qn
+        place = np.arange(size)
+        added = lambda at, v: np.bincount((at[:, None] * size + place).ravel(), v.ravel(), outputs * size).reshape(outputs, size)
+        grad_q = added(target, up[:, None] * hat) + added(noise, fake.T @ hat)
         grad_b = np.bincount(target, up, outputs) + np.bincount(noise, fake.sum(axis=0), outputs)
-        grad_r = np.zeros_like(self.r)
-        for k in range(before.shape[1]):
-            one[:] = 0
-            one[before[:, k], np.arange(n)] = 1
-            grad_r += one @ (d_hat * self.c[k])
-        grad_c = np.einsum("nks,ns->ks", ctx, d_hat)
+        grad_r = sum(added(before[:, k], d_hat) * self.c[k] for k in range(len(near)))
+        grad_c = np.stack([np.einsum("ns,ns->s", x, d_hat) for x in near])
         for p, g, s in zip(self.parts, (grad_r, grad_q, grad_c, grad_b), seen):
-            g /= n
+            g = g / n
             s += g * g
             p -= rate * g / np.sqrt(s + 1e-8)
 
@@ -224,32 +224,87 @@ def log_probabilities(tables, target: np.ndarray, before: np.ndarray) -> np.ndar
     return out
 
 
-def _trainer(flat: np.ndarray, words: np.ndarray, probabilities: np.ndarray, buckets: int, size: int, context: int, rate: float, round_: int, rounds: int = ROUNDS):
+def _encoder(words: np.ndarray, buckets: int):
+    kind = np.uint8 if 1 + len(words) + buckets <= 256 else np.uint16
+
     def run(batches):
-        outputs = len(probabilities)
-        model = Parameters(outputs, size, context, np.zeros(outputs)).load(flat)
-        seen = [np.full_like(p, 1e-4) for p in model.parts]
-        log_noise = np.log(probabilities * NOISE)
-        rng, steps, seat = np.random.default_rng(11 + round_), 0, np.cumsum(probabilities)
         for batch in batches:
             for group in text_groups(batch):
-                h, bucket, first = _words(*text_buffers(group.column(0)), buckets)
-                target, before, at = _contexts(_outputs(h, bucket, words), first, context)
-                place = np.arange(len(target)) - np.repeat(at[:-1], np.diff(at))
-                place = place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                own = np.delete(np.arange(len(target)), at[1:] - 1)  # all but the ends
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ place[own]), dtype=np.uint64)])
-                document = sums[first[1:] - first[0]] - sums[first[:-1] - first[0]]
-                draw = mix(place ^ np.repeat(document, np.diff(at)))
-                own = np.flatnonzero(draw % np.uint64(rounds) == np.uint64(round_))
-                own = own[np.argsort(draw[own], kind="stable")]
-                for lo in range(0, len(own), BATCH):
-                    part = own[lo : lo + BATCH]
-                    noise = np.minimum(np.searchsorted(seat, rng.random(NOISE)), outputs - 1)
-                    model.nce(target[part], before[part], noise, log_noise, rate, seen)
-                    steps += len(part)
-        if steps:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(model.flat() * steps), pa.array(np.full(len(flat), float(steps)))], ["k", "v", "n"])
+                h, bucket, first = _words(*text_buffers(group.column(1)), buckets)
+                codes = _outputs(h, bucket, words).astype(kind)
+                raw = [codes[a:b].tobytes() for a, b in zip(first, first[1:])]
+                yield pa.RecordBatch.from_arrays([group.column(0), pa.array(raw, pa.binary())], ["h", "codes"])
+
+    return run
+
+
+def encoded(texts: DataFrame, vocab: Vocabulary, buckets: int = BUCKETS) -> DataFrame:
+    """(at, n, codes): every different text of ``texts`` (text) as output numbers, with a draw and the number of its copies.
+
+    Of many copies there are several rows, each with its own draw.
+    """
+    made = texts.select(F.xxhash64("text").alias("h"), "text").mapInArrow(_encoder(vocab.words, buckets), "h long, codes binary")
+    made = made.groupBy("h", "codes").agg(F.count("*").alias("n"))
+    rows = F.least(F.col("n"), F.lit(_COPIES)).cast("int")
+    made = made.select("h", "codes", "n", rows.alias("rows"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("j"))
+    share = F.expr("n div rows") + (F.col("j") < F.col("n") % F.col("rows")).cast("long")
+    return stage(made.select(F.xxhash64("h", "j").alias("at"), share.alias("n"), "codes"), "codes")
+
+
+def in_round(r: int, rounds: int):
+    """Whether a row of ``encoded`` belongs to round ``r``: the last has half of all draws, the one before a quarter."""
+    draw = F.pmod(F.xxhash64("at"), F.lit(1 << rounds - 1))
+    return draw == 0 if r == 0 else (draw >= 1 << r - 1) & (draw < 1 << r)
+
+
+def _trainer(flat: np.ndarray, probabilities: np.ndarray, size: int, context: int, rate: float, round_: int):
+    """Rows (shard, at, n, codes) come sorted by shard; each shard trains a model of its own."""
+    outputs = len(probabilities)
+    kind = np.uint8 if outputs <= 256 else np.uint16
+
+    def run(batches):
+        log_noise, seat = np.log(probabilities * NOISE), np.cumsum(probabilities)
+        shard, held, waiting, steps = None, [], 0, 0
+        model = seen = rng = None
+
+        def learn():
+            nonlocal held, waiting, steps
+            first = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+            target, before, _ = _contexts(np.concatenate(held).astype(np.int64), first, context)
+            order = rng.permutation(len(target))
+            for lo in range(0, len(order), BATCH):
+                part = order[lo : lo + BATCH]
+                noise = np.minimum(np.searchsorted(seat, rng.random(NOISE)), outputs - 1)
+                model.nce(target[part], before[part], noise, log_noise, rate, seen)
+            steps += len(target)
+            held, waiting = [], 0
+
+        def out():
+            if held:
+                learn()
+            values = np.concatenate([model.flat(), *(s.ravel() for s in seen)])
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values * steps), pa.array(np.full(len(values), steps))], ["k", "v", "n"])
+
+        for batch in batches:
+            for own, _, n, codes in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != shard:
+                    if shard is not None:
+                        yield out()
+                    shard, steps = own, 0
+                    model = Parameters(outputs, size, context, np.zeros(outputs)).load(flat)
+                    at, seen = len(flat) // 2, []
+                    for p in model.parts:
+                        seen.append(flat[at : at + p.size].reshape(p.shape).copy())
+                        at += p.size
+                    rng = np.random.default_rng([11, round_, shard])
+                codes = np.frombuffer(codes, kind)
+                for _ in range(n):
+                    held.append(codes)
+                    waiting += len(codes) + 1
+                    if waiting >= MIXED:
+                        learn()
+        if shard is not None:
+            yield out()
 
     return run
 
@@ -259,12 +314,21 @@ def train(texts: DataFrame, vocab: Vocabulary, buckets: int = BUCKETS, size: int
     counts = vocab.outputs + (vocab.outputs == 0) * 0.5
     probabilities = counts / counts.sum()
     model = Parameters(len(counts), size, context, np.log(probabilities))
-    for r in range(rounds if vocab.ends else 0):
-        run = _trainer(model.flat(), vocab.words, probabilities, buckets, size, context, rate, r, rounds)
-        sums = texts.select("text").mapInArrow(run, "k long, v double, n double").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).orderBy("k").toArrow()
+    if not vocab.ends:
+        return model
+    codes = encoded(texts, vocab, buckets)
+    trainers = max(1, min(TRAINERS, vocab.tokens // TRAINER))
+    shard = F.pmod(F.col("at"), F.lit(trainers)).cast("int").alias("shard")
+    state = np.concatenate([model.flat(), np.full(len(model.flat()), 1e-4)])
+    for r in range(rounds):
+        own = codes.where(in_round(r, rounds)).select(shard, "at", "n", "codes").repartitionById(trainers, "shard").sortWithinPartitions("shard", "at", "codes")
+        run = _trainer(state, probabilities, size, context, rate, r)
+        sums = own.mapInArrow(run, "k long, v double, n long").groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,9)")).alias("v"), F.sum("n").alias("n"))
+        sums = sums.select("k", (F.col("v").cast("double") / F.col("n")).alias("v")).orderBy("k").toArrow()
         if sums.num_rows:
-            model.load(sums.column("v").to_numpy())
-    return model
+            state = sums.column("v").to_numpy().copy()
+    unstage(codes)
+    return model.load(state)
 
 
 def _scorer(tables, lookup, outputs, tokens: int, distinct: int, ends: int, buckets: int, context: int):
