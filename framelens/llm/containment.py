@@ -8,26 +8,32 @@ lies there, the Jaccard similarities of the windows sum to 2 * threshold * s / (
 number of bands makes the chance that no band meets at most ``miss``.  Every pair found is then
 verified on the strings of all shingles of the whole document.
 
-Items are handled in blocks of bounded size; each block is one pass over the documents without a
-shuffle.
+Items are handled in blocks of bounded size.  A block reaches the executors as a broadcast, and all
+blocks are searched in one pass over the documents, without a shuffle; a task holds the signatures of
+``HELD`` blocks at most.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from framelens.llm.common import text_buffers, text_groups
-from framelens.llm.tokens import SPACE, shingles, tokenize
+from framelens.llm.tokens import LOWER, SPACE, shingles, tokenize
 
-#: Bounds of one block of items.
-BLOCK_ITEMS, BLOCK_TEXT = 4096, 8 << 20
-_built: dict[int, "Index"] = {}
+#: Bounds of one block of items, and most blocks whose signatures a worker keeps.
+BLOCK_ITEMS, BLOCK_TEXT, HELD = 1 << 15, 32 << 20, 4
+#: Places of a document whose shingles are compared as strings at once.
+_PLACES = 4096
+_built: dict[tuple, tuple[list, "Index"]] = {}
 
 
 @dataclass(frozen=True)
@@ -65,14 +71,13 @@ class Index:
     """The signatures of one block of items."""
 
     def __init__(self, texts: list[bytes], rule: Rule):
-        self.rule, self.space = rule, rule.space
-        self.sets = [rule.shingle_set(t) for t in texts]
+        self.rule, self.space, self.texts = rule, rule.space, texts
         data = np.frombuffer(b"".join(texts), np.uint8)
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         words, _, _, first = tokenize(data, at, self.space)
         hashed, of = shingles(words, first, rule.words)
         self.hashes = [np.unique(hashed[a:b]) for a, b in zip(of, of[1:])]
-        sizes = np.array([len(x) for x in self.hashes])
+        sizes = np.array([len(x) for x in self.hashes], np.int64)
         by_class: dict[int, list[int]] = {}
         for i, n in enumerate(sizes):
             if n:
@@ -84,8 +89,9 @@ class Index:
         self.classes = []
         for block, own in sorted(by_class.items()):
             c = _Class(block, self._bands(block))
+            joined, starts = np.concatenate([self.hashes[i] for i in own]), np.concatenate([[0], np.cumsum(sizes[own])[:-1]])
             for band in range(c.bands):
-                low = np.array([self._values(self.hashes[i], band).min() for i in own], np.uint32)
+                low = np.minimum.reduceat(self._values(joined, band), starts)
                 order = np.argsort(low, kind="stable")
                 c.values.append(low[order])
                 c.items.append(np.array(own)[order])
@@ -134,84 +140,107 @@ class Index:
                         found.update((int(doc[hit[j]]), int(i)) for i in c.items[band][lo[j] : hi[j]])
         return found
 
-    def matches(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document, item, shared shingles, first shared position) of every verified pair."""
-        words, _, _, first = tokenize(data, at, self.space)
+    def matches(self, data: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, shared shingles, the item's shingles, first shared position) of every verified pair."""
+        words, starts, ends, first = tokenize(data, at, self.space)
         hashed, of = shingles(words, first, self.rule.words)
-        out, doc, own, whole = [], -1, None, None
+        out = []
         for d, i in sorted(self.candidates(hashed, of)):
-            if d != doc:
-                doc, own, whole = d, hashed[of[d] : of[d + 1]], None
-            shared = np.isin(self.hashes[i], own).sum()
-            if shared < self.rule.threshold * len(self.hashes[i]) - 1e-9:
+            own = hashed[of[d] : of[d + 1]]
+            places = np.flatnonzero(np.isin(own, self.hashes[i]))
+            if len(np.unique(own[places])) < self.rule.threshold * len(self.hashes[i]) - 1e-9:
                 continue
-            if whole is None:
-                whole = self.rule.shingle_set(data[at[d] : at[d + 1]].tobytes())
-            exact = len(self.sets[i] & whole)
-            if exact >= self.rule.threshold * len(self.sets[i]) - 1e-9:
-                out.append((d, i, exact, int(np.isin(own, self.hashes[i]).argmax())))
+            wanted = self.rule.shingle_set(self.texts[i])
+            # the first place of each hash decides; others only where hashes collide
+            order = np.unique(own[places], return_index=True)[1]
+            met: set[bytes] = set()
+            for part in (places[order], np.delete(places, order)):
+                for lo in range(0, len(part), _PLACES):
+                    if len(met) == len(wanted) or lo == 0 and len(met) == len(order):
+                        break
+                    for p in part[lo : lo + _PLACES]:
+                        a = first[d] + p
+                        b = min(a + self.rule.words, first[d + 1])
+                        met.update(wanted & {b" ".join(LOWER[data[s:e]].tobytes() for s, e in zip(starts[a:b], ends[a:b]))})
+            if len(met) >= self.rule.threshold * len(wanted) - 1e-9:
+                out.append((d, i, len(met), len(wanted), int(places[0])))
         return out
 
 
-def _index(texts: list[bytes], rule: Rule) -> Index:
-    key = hash((tuple(texts), rule))
-    if key not in _built:
-        _built.clear()
-        _built[key] = Index(texts, rule)
-    return _built[key]
+class Blocks:
+    """Blocks of items for the executors: broadcasts of (ids, texts)."""
+
+    def __init__(self, spark, blocks, kind: T.DataType = T.StringType()):
+        self.kind, self.name, self.parts = kind, uuid.uuid4().hex, [spark.sparkContext.broadcast((ids, texts)) for ids, texts in blocks]
+
+    def indexes(self, rule: Rule):
+        """(ids, Index) of each block in turn."""
+        for n, part in enumerate(self.parts):
+            key = (self.name, n, rule)
+            if key not in _built:
+                while len(_built) >= HELD:
+                    del _built[next(iter(_built))]
+                ids, texts = part.value
+                _built[key] = ids, Index(texts, rule)
+                if len(self.parts) > HELD:
+                    del part._value  # it is read from the broadcast's file again
+            yield _built[key]
 
 
-def _finder(ids: list, texts: list[bytes], rule: Rule):
+def _finder(blocks: Blocks, rule: Rule):
+    kind = to_arrow_type(blocks.kind)
+
     def run(batches):
-        index = _index(texts, rule)
         for batch in batches:
             for group in text_groups(batch):
                 data, at = text_buffers(group.column(1))
-                found = index.matches(data, at)
-                rows = group.column(0).take(pa.array([f[0] for f in found], pa.int64()))
-                sizes = [len(index.sets[f[1]]) for f in found]
-                yield pa.RecordBatch.from_arrays(
-                    [rows, pa.array([ids[f[1]] for f in found], pa.string()), pa.array(sizes, pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[2] / n for f, n in zip(found, sizes)], pa.float64()), pa.array([f[3] for f in found], pa.int64())],
-                    ["doc_id", "item", "n_shingles", "n_shared", "containment", "first_word"],
-                )
+                for ids, index in blocks.indexes(rule):
+                    found = index.matches(data, at)
+                    rows = group.column(0).take(pa.array([f[0] for f in found], pa.int64()))
+                    shared, sizes = [f[2] for f in found], [f[3] for f in found]
+                    yield pa.RecordBatch.from_arrays(
+                        [rows, pa.array([ids[f[1]] for f in found], kind), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array([x / n for x, n in zip(shared, sizes)], pa.float64()), pa.array([f[4] for f in found], pa.int64())],
+                        ["doc_id", "item", "n_shingles", "n_shared", "containment", "first_word"],
+                    )
 
     return run
 
 
-def _cleaner(texts: list[bytes], rule: Rule):
+def _cleaner(blocks: Blocks, rule: Rule):
     def run(batches):
-        index = _index(texts, rule)
         for batch in batches:
             for group in text_groups(batch):
                 data, at = text_buffers(group.column(group.schema.get_field_index("text")))
                 keep = np.ones(group.num_rows, bool)
-                keep[[f[0] for f in index.matches(data, at)]] = False
+                for _, index in blocks.indexes(rule):
+                    keep[[f[0] for f in index.matches(data, at)]] = False
                 yield group.filter(pa.array(keep))
 
     return run
 
 
-def item_blocks(items: DataFrame):
-    """(ids, texts) of each block of ``items`` (id, text); the blocks are bounded in rows and bytes."""
+def item_blocks(items: DataFrame) -> Blocks:
+    """The blocks of ``items`` (id, text); they are bounded in rows and bytes, and the driver holds one at a time."""
     size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     blocks = max(1, -(-size[0] // BLOCK_ITEMS), -(-(size[1] or 0) // BLOCK_TEXT))
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        rows = sorted((r.id or "", (r.text or "").encode()) for r in own.select(F.col("id").cast("string"), "text").collect())
-        yield [r[0] for r in rows], [r[1] for r in rows]
+    # a null id comes last, and of equal ids the first text
+    order = lambda r: (r.id is None, r.id if r.id is not None else 0, r.text or "")
+
+    def rows():
+        for b in range(blocks):
+            own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+            found = sorted(own.select("id", "text").collect(), key=order)
+            yield [r.id for r in found], [(r.text or "").encode() for r in found]
+
+    return Blocks(items.sparkSession, rows(), items.schema["id"].dataType)
 
 
-def find(docs: DataFrame, blocks, rule: Rule = Rule()) -> DataFrame:
+def find(docs: DataFrame, blocks: Blocks, rule: Rule = Rule()) -> DataFrame:
     """(doc_id, item, n_shingles, n_shared, containment, first_word) of every item in every document."""
-    out = None
-    for ids, texts in blocks:
-        part = docs.select("doc_id", "text").mapInArrow(_finder(ids, texts, rule), "doc_id long, item string, n_shingles long, n_shared long, containment double, first_word long")
-        out = part if out is None else out.unionByName(part)
-    return out
+    kinds = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item", blocks.kind), *(T.StructField(c, T.LongType()) for c in ("n_shingles", "n_shared")), T.StructField("containment", T.DoubleType()), T.StructField("first_word", T.LongType())])
+    return docs.select("doc_id", "text").mapInArrow(_finder(blocks, rule), kinds)
 
 
-def without(docs: DataFrame, blocks, rule: Rule = Rule()) -> DataFrame:
+def without(docs: DataFrame, blocks: Blocks, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs``, all columns, that contain no item."""
-    for _, texts in blocks:
-        docs = docs.mapInArrow(_cleaner(texts, rule), docs.schema)
-    return docs
+    return docs.mapInArrow(_cleaner(blocks, rule), docs.schema)

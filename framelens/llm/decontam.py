@@ -11,7 +11,7 @@ RULE = Rule(threshold=0.8, words=5)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    return benchmark.select(F.col("item_id").cast("string").alias("id"), "text")
+    return benchmark.select(F.col("item_id").alias("id"), "text")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = RULE) -> DataFrame:
@@ -20,10 +20,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = RULE) -> Da
     An item is in a document if the document's shingles of five words hold at least 0.8 of the
     item's distinct ones.  A text of fewer words has one shingle, its whole sequence, and one of no
     words (or null) has none and matches nothing.  Repeated documents and items give rows each;
-    empty tables give none.  A document that contains no item gives no row.
+    empty tables give none.  A document that contains no item gives no row.  Ids keep their type, and a
+    null one stays null.
     """
     found = find(docs, item_blocks(_items(benchmark)), rule)
-    return found.select("doc_id", F.col("item").cast("long").alias("item_id"), "n_shingles", "n_shared", "containment")
+    return found.select("doc_id", F.col("item").alias("item_id"), "n_shingles", "n_shared", "containment")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rule: Rule = RULE) -> DataFrame:

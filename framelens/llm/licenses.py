@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framelens.llm.containment import Rule, find
+from framelens.llm.containment import BLOCK_ITEMS, Blocks, Rule, find
 
 #: The wording of common license notices.
 TEMPLATES = (
@@ -40,7 +41,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, rule: Rule = RULE) -> DataFrame:
     shingle.  A null or empty text has none; a repeated row gives its rows again; an empty table gives
     none; other columns are not read.
     """
-    blocks = [([str(i) for i in range(lo, min(lo + 4096, len(templates)))], [t[2].encode() for t in templates[lo : lo + 4096]]) for lo in range(0, max(1, len(templates)), 4096)]
-    names = docs.sparkSession.createDataFrame([(str(i), t[0], t[1]) for i, t in enumerate(templates)], "item string, license string, part string")
+    spark = docs.sparkSession
+    blocks = Blocks(spark, ((list(range(lo, min(lo + BLOCK_ITEMS, len(templates)))), [t[2].encode() for t in templates[lo : lo + BLOCK_ITEMS]]) for lo in range(0, max(1, len(templates)), BLOCK_ITEMS)), T.IntegerType())
+    names = spark.createDataFrame([(i, t[0], t[1]) for i, t in enumerate(templates)], "item int, license string, part string")
     found = find(docs, blocks, rule).join(F.broadcast(names), "item")
-    return found.select("doc_id", "license", "part", F.col("item").cast("int").alias("template"), "n_shingles", "n_shared", "containment", "first_word")
+    return found.select("doc_id", "license", "part", F.col("item").alias("template"), "n_shingles", "n_shared", "containment", "first_word")
