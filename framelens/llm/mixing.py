@@ -3,8 +3,9 @@
 Each source's documents, in seeded order, form one stream of words that is cut into blocks of equal
 size.  The blocks of the whole mix are seats that go to the sources one by one, each to the highest
 quotient target / (2 * seats + 1); the seats of one output shard are a stretch of that sequence, which
-gives integer quotas for every shard and source.  A source with q seats and n blocks takes all its
-blocks q // n times and a seeded stretch of q % n further blocks once more.
+gives integer quotas for every shard and source.  A source deals its blocks out from a seeded one on,
+round and round, and each shard takes its quota of them in turn; so every piece of a document that is
+taken has its output shard.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ def targets(sizes: list[int], weights: list[int], repeats: int = REPEATS) -> lis
         for i in full:
             out[i] = Fraction(repeats * sizes[i])
         left -= sum(out[i] for i in full)
-        free = [i for i in free if i not in set(full)]
+        gone = set(full)
+        free = [i for i in free if i not in gone]
     return out
 
 
@@ -82,49 +84,63 @@ def quotas(sizes: list[int], goal: list[Fraction], shards: int, block: int, repe
     return np.diff(np.stack([np.zeros(len(sizes), np.int64), *upto]), axis=0)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK_WORDS, shards: int = 16, seed: int = 7, rows_per_bucket: int = 2000, whole: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, full, more, taken of every row of ``docs``; with ``whole`` also ``row``, all its columns.
+def _stretches(size: int, block: int, first: int, seats: np.ndarray) -> list[int]:
+    """Words that are dealt out before each shard, and in all: whole rounds, and blocks from ``first`` on."""
+    blocks, out = -(-size // block), [0]
+    for upto in np.cumsum(seats).tolist():
+        rounds, rest = divmod(upto, blocks) if blocks else (0, 0)
+        words = min(size, (first + rest) * block) - first * block
+        if first + rest > blocks:
+            words = size - first * block + (first + rest - blocks) * block
+        out.append(rounds * size + words)
+    return out
+
 
-    Sources by code point, null last, have the weights in turn.  ``full`` is how often the whole
-    document is taken; ``more`` lists word ranges [from, to) that are taken once more.  A document
-    without words, and a source of only such documents, takes none.  The rows of a source are one
-    sum on the driver; all else stays distributed, and a large source is spread over hashed buckets.
-    Repeated rows are rows of their own; an empty table gives no row.
+def _draws(docs: DataFrame, seed: int) -> list:
+    """Seeded draws by which rows are ordered: by id and text, then by all that can be hashed."""
+    plain = [f.name for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant", "interval"))]
+    return [F.xxhash64(F.lit(seed), "doc_id", text_or_empty()).alias("draw"), F.xxhash64(F.lit(seed + 1), *plain).alias("then")]
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK_WORDS, shards: int = 16, seed: int = 7, rows_per_bucket: int = 2000, whole: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, pieces, taken of every row of ``docs``; with ``whole`` also ``row``, all its columns.
+
+    Sources by code point, null last, have the weights in turn.  ``pieces`` lists what is taken: word
+    ranges [from, to) with the output shard that takes them.  A document without words, and a source
+    of only such documents, takes none.  The driver holds one sum a source; all else stays
+    distributed, and a large source is spread over hashed buckets.  Rows are ordered by what is in
+    them, so the layout of the input makes no difference; rows that are equal in every column are
+    interchangeable.  An empty table gives no row.
     """
-    rows = stage(docs.select("doc_id", "source", word_count().alias("size")), "words")
+    rows = stage(docs.select("doc_id", "source", word_count().alias("size"), *_draws(docs, seed)), "words")
     found = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
     found.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     sizes = [r.words for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], repeats)
-    seats = quotas(sizes, goal, shards, block, repeats).sum(axis=0) if found else []
+    seats = quotas(sizes, goal, shards, block, repeats).T if found else []
     plan = []
     for r, size, g, q in zip(found, sizes, goal, seats):
-        blocks = -(-size // block)
-        full, extra = (int(q) // blocks, int(q) % blocks) if blocks else (0, 0)
-        first = int(np.random.default_rng([seed, len(plan)]).integers(blocks)) if blocks else 0
-        one = (first * block, min(size, (first + extra) * block))
-        two = (0, max(0, first + extra - blocks) * block)
-        plan.append((r.source, size, float(g), full, *one, *two))
-    plan = docs.sparkSession.createDataFrame(plan, "of string, source_size long, target double, full int, a1 long, b1 long, a2 long, b2 long")
+        first = int(np.random.default_rng([seed, len(plan)]).integers(-(-size // block))) if size else 0
+        plan.append((r.source, size, float(g), first * block, _stretches(size, block, first, q)))
+    plan = docs.sparkSession.createDataFrame(plan, "of string, source_size long, target double, origin long, bounds array<long>")
     buckets = max(1, min(1 << 16, -(-sum(r.n for r in found) // rows_per_bucket)))
-    drawn = lambda df: df.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("int"))
-    ahead = drawn(rows).groupBy("source", "bucket").agg(F.sum("size").alias("n"))
+    bucketed = lambda df: df.withColumn("bucket", F.pmod("draw", F.lit(buckets)).cast("int"))
+    ahead = bucketed(rows).groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = ahead.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     if whole:
-        rows = docs.select("doc_id", "source", word_count().alias("size"), F.struct(*docs.columns).alias("row"))
-    return _taken(drawn(rows), ahead, plan)
+        rows = docs.select("doc_id", "source", word_count().alias("size"), *_draws(docs, seed), F.struct(*docs.columns).alias("row"))
+    return _taken(bucketed(rows), ahead, plan, repeats)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row for each time that a document is taken.
+    """The mix itself, with the columns of ``docs``: a row for each piece of a document that is taken.
 
     A part of a document has the words of its stretch, joined by spaces; n_chars, where there is one,
     follows the text.
     """
     out = mix(docs, whole=True, **options)
-    every = F.struct(F.lit(0).cast("long").alias("from"), F.col("size").alias("to"))
-    out = out.select("row", "size", F.explode(F.concat(F.array_repeat(every, F.when(F.col("size") > 0, F.col("full")).otherwise(0)), "more")).alias("piece"))
+    out = out.select("row", "size", F.explode("pieces").alias("piece"))
     words = F.filter(F.split(F.translate(F.col("row.text"), _BREAKS, " " * len(_BREAKS)), " "), lambda w: w != "")
     part = F.array_join(F.slice(words, (F.col("piece.from") + 1).cast("int"), (F.col("piece.to") - F.col("piece.from")).cast("int")), " ")
     entire = (F.col("piece.from") == 0) & (F.col("piece.to") == F.col("size"))
@@ -133,13 +149,28 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     return out.select(*((new[c] if new.get(c) is not None else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
-def _taken(rows: DataFrame, ahead: DataFrame, plan: DataFrame) -> DataFrame:
-    within = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+def _taken(rows: DataFrame, ahead: DataFrame, plan: DataFrame, repeats: int) -> DataFrame:
+    within = Window.partitionBy("source", "bucket").orderBy("draw", "then", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(ahead, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("at", F.col("at") + F.col("ahead"))
-    cut = lambda a, b: F.struct(F.greatest(F.col(a) - F.col("at"), F.lit(0)).alias("from"), F.least(F.col(b) - F.col("at"), F.col("size")).alias("to"))
-    rows = rows.withColumn("more", F.filter(F.array(cut("a1", "b1"), cut("a2", "b2")), lambda x: x["to"] > x["from"]))
-    extra = F.aggregate("more", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"])
-    rows = rows.withColumn("taken", F.col("full") * F.col("size") + extra)
-    return rows.drop("draw", "bucket", "at", "s", "b", "ahead", "of", "a1", "b1", "a2", "b2")
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("at", F.col("at") + F.col("ahead") - F.col("origin"))
+    # ``at`` counts from the source's first block that is dealt; words before it come at the end of a round
+    split = F.least(F.greatest(-F.col("at"), F.lit(0)), F.col("size"))
+    parts = F.array(
+        F.struct(split.alias("from"), F.col("size").alias("to"), (F.col("at") + split).alias("at")),
+        F.struct(F.lit(0).cast("long").alias("from"), split.alias("to"), (F.col("at") + F.col("source_size")).alias("at")),
+    )
+    parts = F.filter(parts, lambda x: x["to"] > x["from"])
+    rounds = F.sequence(F.lit(0), F.lit(repeats - 1))
+    stretches = F.flatten(F.transform(rounds, lambda r: F.transform(parts, lambda x: F.struct(x["from"].alias("from"), x["to"].alias("to"), (x["at"] + r * F.col("source_size")).alias("at")))))
+    rows = rows.withColumn("live", F.filter(stretches, lambda x: x["at"] < F.element_at("bounds", -1)))
+
+    def cut(x, shard):
+        low, high = (x["from"] + (F.get("bounds", shard + i) - x["at"]) for i in (0, 1))
+        return F.struct(shard.alias("shard"), F.greatest(x["from"], low).alias("from"), F.least(x["to"], high).alias("to"))
+
+    shards = F.sequence(F.lit(0), F.size("bounds") - 2)
+    pieces = F.flatten(F.transform("live", lambda x: F.filter(F.transform(shards, lambda k: cut(x, k)), lambda y: y["to"] > y["from"])))
+    rows = rows.withColumn("pieces", pieces)
+    rows = rows.withColumn("taken", F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + x["to"] - x["from"]))
+    return rows.drop("draw", "then", "bucket", "at", "s", "b", "ahead", "of", "origin", "bounds", "live")
