@@ -1,9 +1,11 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame operations only.
 
-Pass one marks in a Bloom filter every slot that the hashes of two or more rows meet.  Pass two
-probes it: a row with an unmarked slot has no equal and passes straight through, and only the rest
-shuffle, by the SHA-256 of their text.  The filter has a fixed largest size (``max_bits``); beyond it
-more rows shuffle and the result stays the same.
+The texts are read once, for their SHA-256, which is staged.  Pass one marks in a Bloom filter every
+slot that the hashes of two or more rows meet.  Pass two probes it: a row with an unmarked slot has no
+equal and passes straight through, and only the rest shuffle, by their SHA-256.  Both slots of a row
+lie in one block, so a probe is one lookup.  A filter has a fixed largest size (``max_bits``) and four
+bits a row or more, at which one in six unrepeated rows is held for repeated: for more rows the hashes
+are parted into classes with a filter each, which one sort of every staged file makes contiguous.
 """
 
 from __future__ import annotations
@@ -11,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import stage, text_or_empty
+from framelens.llm.common import stage, text_or_empty, unstage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Bits of one row of the filter: 512 longs.
+#: Bits of one block of the filter: 512 longs.
 BLOCK_BITS = 512 * 64
-#: One hash function for each of these.
-SEEDS = (1, 2)
+#: Bits a row of a filter below the largest size, and the fewest of one of that size.
+BITS_PER_ROW, FEWEST = 16, 4
 
 
 def normalised(name: str = "text"):
@@ -28,42 +30,57 @@ def normalised(name: str = "text"):
 
 
 def _slots(bits: int):
-    return [F.pmod(F.xxhash64("sha", F.lit(s)), F.lit(bits)) for s in SEEDS]
+    """The block of a row's SHA-256 in a filter, and its two slots there."""
+    block = F.pmod(F.xxhash64("sha"), F.lit(bits // BLOCK_BITS)).alias("block")
+    h = F.xxhash64("sha", F.lit(1))
+    return block, F.pmod(h, F.lit(BLOCK_BITS)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(BLOCK_BITS)).cast("int")
 
 
 def repeated_filter(hashed: DataFrame, bits: int) -> DataFrame:
-    """(block, words): the longs of the filter that have a bit set; bit i is set if two rows or more met slot i."""
-    slots = hashed.select(F.explode(F.array(*_slots(bits))).alias("slot")).groupBy("slot").count().where("count > 1")
+    """(block, words): the 512 longs of every block that has a bit set; a bit is set if two rows or more met its slot."""
+    block, one, two = _slots(bits)
+    slots = hashed.select(block, F.explode(F.array_distinct(F.array(one, two))).alias("slot"))
+    slots = slots.select((F.col("block") * BLOCK_BITS + F.col("slot")).alias("slot")).groupBy("slot").count().where("count > 1")
     longs = slots.groupBy(F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))).alias("word"))
-    return longs.groupBy(F.floor(F.col("at") / 512).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("at") % 512).cast("int").alias("k"), "word"))).alias("words"))
+    longs = longs.groupBy(F.floor(F.col("at") / 512).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("at") % 512).cast("int").alias("k"), "word"))).alias("words"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda k: F.coalesce(F.try_element_at("words", k), F.lit(0).cast("long")))
+    return longs.select("block", dense.alias("words"))
 
 
-def exact_duplicates(docs: DataFrame, max_bits: int = 1 << 27) -> DataFrame:
+def _probed(hashed: DataFrame, bits: int) -> DataFrame:
+    """``hashed`` (doc_id, sha) with ``hit``: another row may have this hash."""
+    marked = stage(repeated_filter(hashed, bits), "bloom")
+    block, one, two = _slots(bits)
+    rows = hashed.select("doc_id", "sha", block, one.alias("one"), two.alias("two")).join(F.broadcast(marked), "block", "left")
+    bit = lambda c: F.coalesce(F.getbit(F.get("words", F.floor(F.col(c) / 64).cast("int")), F.col(c) % 64) == 1, F.lit(False))
+    return rows.select("doc_id", "sha", (bit("one") & bit("two")).alias("hit"))
+
+
+def exact_duplicates(docs: DataFrame, max_bits: int = 1 << 28) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical after lower-casing A-Z; a null text is empty.  The largest doc_id of
     a group stays; rows without doc_id come after all others, and of rows that repeat both doc_id and
     text one stays.  An empty table gives an empty result, other columns are not read.
     """
-    hashed = docs.select("doc_id", F.sha2(normalised().cast("binary"), 256).alias("text_sha256")).withColumn("sha", F.unhex(F.substring("text_sha256", 1, 32)))
-    rows = docs.count()
-    bits = BLOCK_BITS
-    while bits < min(max_bits, 16 * rows):
+    hashed = stage(docs.select("doc_id", F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("sha")), "hashed")
+    rows, bits = hashed.count(), BLOCK_BITS
+    while bits < min(max_bits, BITS_PER_ROW * rows):
         bits *= 2
-    marked = stage(repeated_filter(hashed, bits), "bloom")
-    probe = hashed
-    for i, slot in enumerate(_slots(bits)):
-        block = F.broadcast(marked.select(F.col("block").alias(f"block{i}"), F.col("words").alias(f"words{i}")))
-        probe = probe.withColumn(f"slot{i}", slot).join(block, F.floor(F.col(f"slot{i}") / BLOCK_BITS) == F.col(f"block{i}"), "left")
-    hit = F.lit(True)
-    for i in range(len(SEEDS)):
-        word = F.element_at(f"words{i}", F.floor(F.col(f"slot{i}") % BLOCK_BITS / 64).cast("int"))
-        hit = hit & F.coalesce(F.getbit(word, (F.col(f"slot{i}") % 64).cast("int")) == 1, F.lit(False))
-    probe = probe.select("doc_id", "text_sha256", hit.alias("hit"))
-    alone = probe.where(~F.col("hit")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+    parts, probe = max(1, -(-rows * FEWEST // bits)), None
+    if parts > 1:
+        whole = hashed
+        hashed = stage(whole.withColumn("part", F.pmod(F.xxhash64("sha", F.lit(2)), F.lit(parts)).cast("int")).sortWithinPartitions("part"), "classes")
+        unstage(whole)
+    for part in range(parts):
+        own = hashed.where(F.col("part") == part) if parts > 1 else hashed
+        found = _probed(own, bits)
+        probe = found if probe is None else probe.unionByName(found)
+    hexed = F.lower(F.hex("sha")).alias("text_sha256")
+    alone = probe.where(~F.col("hit")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), hexed)
     # both sides of the join are staged, so that a large group's rows can be split over tasks
-    rows_of = stage(probe.where("hit").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("n")), "candidates")
-    groups = stage(rows_of.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
-    met = rows_of.join(groups, "text_sha256").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    met = met.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    rows_of = stage(probe.where("hit").groupBy("sha", "doc_id").agg(F.count("*").alias("n")), "candidates")
+    groups = stage(rows_of.groupBy("sha").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "groups")
+    met = rows_of.join(groups, "sha").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    met = met.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), hexed)
     return alone.unionByName(met)
