@@ -81,8 +81,10 @@ def test_components_of_random_links(spark):
 # exact dedup
 
 
-@pytest.mark.parametrize("bits", [1 << 15, 1 << 27])
-def test_exact_dedup(spark, rows, bits):
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 27, 0])
+def test_exact_dedup(spark, rows, bits, monkeypatch):
+    if not bits:  # several classes, each with a filter
+        monkeypatch.setattr(exact_dedup, "FEWEST", 1000)
     out = exact_dedup.exact_duplicates(frame(spark, rows), bits).collect()
     norm = lambda t: re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")
     groups = defaultdict(list)
@@ -447,15 +449,40 @@ def test_nce_learns_a_pattern():
 # suffix arrays
 
 
-def test_nce_trains_on_every_position():
-    texts = pa.array([f"the {' '.join(WORDS[:i % 7])} end{i}" for i in range(300)] + ["", "same", "same"])
-    n, trained = 4 + 8, 0.0
+def test_nce_trains_on_every_position(spark, monkeypatch):
+    monkeypatch.setattr(lm, "_COPIES", 8)
+    texts = [f"the {' '.join(WORDS[:i % 7])} end{i}" for i in range(300)] + ["", *["same"] * 1001]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    vocab = lm.vocabulary(df, words=6)
+    codes = lm.encoded(df, vocab, 4)
+    n, trained = 1 + 6 + 4, 0
     for round_ in range(lm.ROUNDS):
-        run = lm._trainer(lm.Parameters(n, 4, 2, np.zeros(n)).flat(), np.zeros(0, np.uint64), np.full(n, 1 / n), n - 1, 4, 2, 0.1, round_)
-        trained += sum(b.column(2)[0].as_py() for b in run([pa.RecordBatch.from_arrays([texts], ["text"])]))
-    assert trained == sum(len(x.split()) + 1 for x in texts.to_pylist())
+        rows = [(0, r["at"], r.n, bytes(r.codes)) for r in codes.where(lm.in_round(round_, lm.ROUNDS)).orderBy("at").collect()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)] if rows else [pa.array([])] * 4, ["shard", "at", "n", "codes"])
+        flat = np.concatenate([lm.Parameters(n, 4, 2, np.zeros(n)).flat(), np.full(8 * n + n + 8, 1e-4)])
+        trained += sum(b.column(2)[0].as_py() for b in lm._trainer(flat, np.full(n, 1 / n), 4, 2, 0.1, round_)([batch]))
+    assert trained == sum(len(x.split()) + 1 for x in texts)
 
 
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TRAINER", 3000)
+    rng = np.random.default_rng(8)
+    docs = [(i if i % 9 else None, " ".join(WORDS[int(j)] for j in rng.integers(0, len(WORDS), i % 60)) if i % 11 else None, "s") for i in range(400)]
+    found = []
+    for parts in (1, 8, 64):
+        out = lm.language_model(frame(spark, docs).repartition(parts)).collect()
+        found.append(sorted((str(r.doc_id), r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in out))
+    assert found[0] == found[1] == found[2]
+    held = [r for r in out if r.held_out and r.n_tokens > 20]
+    assert len(held) > 20 and all(np.isfinite(r.score) for r in held)
+
+
+@pytest.mark.parametrize("head", [0, 1, 3])
+def test_counts_in_memory_keep_their_limit(spark, head):
+    docs = spark.createDataFrame([("a a a b b b c c c d d d e",)] * 5, "text string")
+    vocab = lm.vocabulary(docs, words=2, head=head)
+    assert len(vocab.hashes) <= head and vocab.tokens == 70 and vocab.distinct == 6
+
 
 def test_suffix_array():
     rng = np.random.default_rng(9)
@@ -569,6 +596,30 @@ def test_mixing(spark, rows):
     assert mixing.mix(frame(spark, [])).count() == mixing.mixed(frame(spark, [])).count() == 0
 
 
+def test_quotas_are_met_by_shard_in_every_layout(spark):
+    rng = np.random.default_rng(17)
+    rows = [(None if i % 3 == 0 else i % 40, " ".join(["w%d" % (i % 90)] * int(rng.integers(0, 30))) or None, [None, "a", "b", "c"][i % 4]) for i in range(400)]
+    df = frame(spark, rows)
+    seen = set()
+    for parts in (1, 3, 7):
+        out = mixing.mix(df.repartition(parts), block=4, shards=5, rows_per_bucket=9, whole=True).collect()
+        seen.add(tuple(sorted(((str(r.doc_id), str(r.source), str(r.row.text), str(r.pieces)) for r in out))))
+        text = Counter((r.doc_id, r.source, r.text) for r in mixing.mixed(df.repartition(parts), block=4, shards=5, rows_per_bucket=9).collect())
+        seen.add(tuple(sorted(text.items(), key=str)))
+    assert len(seen) == 2
+    sources = ["a", "b", "c", None]
+    sizes = [sum(len((t or "").split()) for _, t, s in rows if s == x) for x in sources]
+    quotas = mixing.quotas(sizes, mixing.targets(sizes, [5, 2, 1, 5]), 5, 4)
+    words = Counter()
+    for r in out:
+        for p in r.pieces:
+            words[p.shard, r.source] += p.to - p["from"]
+    for k in range(5):
+        for s, x in enumerate(sources):
+            short = sizes[s] % 4 and 4 - sizes[s] % 4
+            assert 4 * quotas[k][s] - 3 * short <= words[k, x] <= 4 * quotas[k][s]
+
+
 def test_word_count(spark):
     texts = ["", " ", "a b", "a b c", "\tx\x0by\x0c", None, "\x1ca b"]
     out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select(word_count()).collect()
@@ -607,3 +658,38 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     assert state.columns[-2:] == ["shard", "slot"]
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.text, r.shard) for r in rows) == Counter((r.doc_id, r.text, r.shard) for r in state.collect())
+
+
+# ids of any kind, long texts, many items
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_item_ids_keep_their_type_and_may_be_null(spark, kind):
+    text = "one two three four five six seven eight nine ten"
+    ids = ["a", None, "b"] if kind == "string" else [7, None, 8]
+    benchmark = spark.createDataFrame([(ids[0], text), (ids[1], text), (ids[2], None)], f"item_id {kind}, text string")
+    docs = frame(spark, [(1, f"x {text} y", "s"), (None, text.upper(), "s"), (2, None, "s")])
+    out = decontam.contaminated(docs, benchmark)
+    assert dict(out.dtypes)["item_id"] == {"long": "bigint"}.get(kind, kind)
+    assert Counter((r.doc_id, r.item_id) for r in out.collect()) == Counter([(1, ids[0]), (1, None), (None, ids[0]), (None, None)])
+    assert [r.doc_id for r in decontam.decontaminated(docs, benchmark).collect()] == [2]
+
+
+def test_an_item_in_a_text_of_20_megabytes():
+    rng = np.random.default_rng(31)
+    item = prose(rng, 60)
+    words = np.array([f"w{i}" for i in range(5000)])[rng.integers(0, 5000, 3_600_000)]
+    long = f"{' '.join(words[:2_000_000])} {item} {' '.join(words[2_000_000:])} {item.upper()}".encode()
+    assert len(long) > 20_000_000
+    index = containment.Index([item.encode(), b"w1 w2 w3 absent here", prose(rng, 40).encode()], containment.Rule())
+    n = len(containment.Rule().shingle_set(item.encode()))
+    assert index.matches(np.frombuffer(long, np.uint8), np.array([0, len(long)])) == [(0, 0, n, n, 2_000_000)]
+
+
+def test_ten_thousand_items_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(containment, "BLOCK_ITEMS", 3000)
+    items = [(i, " ".join(f"item{i}word{j}" for j in range(12))) for i in range(10_000)]
+    docs = [(i, f"before {items[(i * 397) % 10_000][1]} after", "s") for i in range(200)]
+    out = decontam.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.item_id) for r in out.collect()) == [(i, (i * 397) % 10_000) for i in range(200)]
