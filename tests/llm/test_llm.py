@@ -1,10 +1,13 @@
 """The training-data operators against brute force, and on awkward tables."""
 
 import hashlib
+import json
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -540,6 +543,100 @@ def test_copies_of_a_page_are_one_page(spark, parts):
     assert wrappers.extract(wrappers.parse(page), wrappers.program(wrappers.expression(wrappers.parse(page)), 3)) == "Title Only text."
 
 
+class PlainExtractor(HTMLParser):
+    """Another way to the texts of pages whose article has only p, h1, ul and blocks to leave out: by a stack of tags, for one page."""
+
+    def __init__(self, drop):
+        super().__init__()
+        self.drop, self.stack, self.blocks = drop, [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("br", "img", "b", "i", "a"):
+            self.stack.append((tag, dict(attrs).get("class")))
+            self.blocks.append("")
+        elif tag == "br" and self.blocks:
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag not in ("br", "b", "i", "a"):
+            while self.stack.pop()[0] != tag:
+                pass
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        tags = [t for t, _ in self.stack]
+        if "article" in tags and not self.drop & {c for _, c in self.stack} and not {"nav", "script", "form", "aside"} & set(tags):
+            self.blocks[-1] += data
+
+    def text(self):
+        return " ".join(" ".join(self.blocks).split())
+
+
+KEPT = ["share-price", "related-work", "comment-free", "notice-period", "advertising-history", "search-results-summary", "note"]
+
+
+def generated_page(rng, h, i):
+    say = lambda n: " ".join(WORDS[int(j)] for j in rng.integers(0, len(WORDS), n))
+    blocks = [f"<h1>{say(3)} {i}</h1>"]
+    for _ in range(int(rng.integers(1, 12))):
+        kind = int(rng.integers(0, 6))
+        if kind < 3:
+            blocks.append(f"<p>{say(8)} &amp; <b>{say(2)}</b>\n {say(3)}<br>{say(1)}</p>")
+        elif kind == 3:
+            blocks.append("<ul>" + "".join(f"<li>{say(4)}</li>" for _ in range(int(rng.integers(1, 5)))) + "</ul>")
+        elif kind == 4:
+            blocks.append(f'<div class="{KEPT[int(rng.integers(0, len(KEPT)))]}"><p>{say(9)}</p></div>')
+        else:
+            blocks.append(f'<div class="{["ad-box", "comments"][int(rng.integers(0, 2))]}"><p>{say(5)}</p></div>')
+    menu = "".join(f'<li><a href="/{k}">{say(1)}</a></li>' for k in range(5))
+    return f"<html><head><title>t</title></head><body><nav><ul>{menu}</ul></nav><script>if (a<b) x()</script><div class='h{h}'><article>{''.join(blocks)}</article></div><aside>{say(4)}</aside><footer>{say(3)}</footer></body></html>"
+
+
+def test_main_texts_are_those_of_a_plain_extractor_in_every_layout(spark):
+    rng = np.random.default_rng(23)
+    pages = [(i, f"http://h{i % 5}.example.org/{i}", generated_page(rng, i % 5, i)) for i in range(120)]
+    pages += [(200 + i, "http://h0.example.org/copy", pages[0][2]) for i in range(30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = []
+    for parts in (1, 4, 16):
+        found.append({r.page_id: r.text for r in wrappers.main_texts(df.repartition(parts)).collect()})
+    assert found[0] == found[1] == found[2]
+    for i, _, source in pages:
+        plain = PlainExtractor({"ad-box", "comments"})
+        plain.feed(source)
+        assert found[0][i] == plain.text()
+
+
+def test_deep_and_wide_pages():
+    deep = '<div class="page"><article><h1>T</h1>' + "<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000 + "<p>one</p><p>two</p></article></div><p>out</p>"
+    wide = "<article>" + "".join(f'<{t} class="c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}">{i}</{t}>' for i, t in enumerate(np.random.default_rng(3).choice(["p", "h2", "ul", "div"], 20_000))) + "</article>"
+    began = time.time()
+    for source, text in ((deep, "T deep one two"), (wide, " ".join(map(str, range(20_000))))):
+        root = wrappers.parse(source)
+        made = wrappers.expression(root)
+        both = wrappers.merge(made, wrappers.expression(wrappers.parse(source.replace("T", "U").replace("h2", "h3"))))
+        assert len(json.dumps(both)) < 1 << 20
+        assert wrappers.extract(root, wrappers.program(both, 2)) == text
+    assert time.time() - began < 20
+
+
+def test_template_within_an_article_needs_ten_pages():
+    page = "<body><article><h1>Title {0}</h1><p>Text number {0} and more.</p><p>Subscribe now for more</p></article></body>"
+    for n, kept in ((9, True), (10, False)):
+        made = wrappers.expression(wrappers.parse(page.format(0)))
+        for i in range(1, n):
+            made = wrappers.merge(made, wrappers.expression(wrappers.parse(page.format(i))))
+        assert wrappers.extract(wrappers.parse(page.format(3)), wrappers.program(made, n)) == "Title 3 Text number 3 and more." + " Subscribe now for more" * kept
+
+
+def test_lists_of_links_outside_the_article_are_menus():
+    page = '<body><div class="x"><div><a href="1">Red {0}</a></div><div><a href="2">Blue {0}</a></div></div><div class="z"><p>Long text {0} about <a href="3">one</a> thing.</p><p>More {0}.</p></div></body>'
+    made = wrappers.expression(wrappers.parse(page.format(0)))
+    for i in range(1, 4):
+        made = wrappers.merge(made, wrappers.expression(wrappers.parse(page.format(i))))
+    assert wrappers.extract(wrappers.parse(page.format(2)), wrappers.program(made, 4)) == "Long text 2 about one thing. More 2."
+
+
 def test_alignment_finds_optional_and_repeated_groups():
     tree = lambda s: wrappers.expression(wrappers.parse(s))
     merged = wrappers.merge(tree("<h1>a</h1><p>b</p>"), tree("<h1>a</h1><table>t</table><p>c</p><p>d</p>"))
