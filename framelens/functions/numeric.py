@@ -38,8 +38,8 @@ def minus(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column, eps: float = 1e-8) -> Column:
-    """The vector over its norm, which counts as ``eps`` at least."""
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(eps)))
+    """The vector over its norm, which counts as ``eps`` at least and is evaluated once."""
+    return F.zip_with(a, F.array_repeat(F.greatest(norm(a), F.lit(eps)), F.size(a)), lambda x, n: x / n)
 
 
 def fit_within(dim: Column, longest: Column, limit: int) -> Column:

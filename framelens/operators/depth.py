@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions.numeric import clamp01, finite
@@ -20,9 +20,10 @@ def rendered(pixels: DataFrame, keys=("sample_id", "view")) -> DataFrame:
 
     What isn't finite counts as 0; a flat clip is 0 everywhere.
     """
-    clip = Window.partitionBy(*keys)
     depth = F.when(finite(F.col("depth")), F.col("depth")).otherwise(0.0)
-    out = pixels.withColumn("_d", depth).withColumn("_lo", F.min("_d").over(clip)).withColumn("_hi", F.max("_d").over(clip))
+    pixels = pixels.withColumn("_d", depth)
+    # an aggregation and a join, so that no task holds a whole clip
+    out = pixels.join(pixels.groupBy(*keys).agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")), list(keys))
     gray = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_d") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255)).otherwise(0)
     return out.withColumn("gray", gray.cast("int")).drop("_d", "_lo", "_hi")
 

@@ -15,20 +15,40 @@ def label_stability(labels: DataFrame, keys=TRACK_KEYS) -> DataFrame:
     return counts.groupBy(*keys).agg((F.max("count") / F.sum("count")).alias("class_score"))
 
 
+def _number(value):
+    """A variant's number, of a boolean 0 or 1; anything else, numeric strings too, is null."""
+    kind = F.schema_of_variant(value)
+    plain = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(value, "$", "double"))
+    return F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double")).otherwise(plain)
+
+
+def _numbers(value):
+    """(key, value) of an object's numbers."""
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.filter(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), _number(e["value"]).alias("value"))), lambda e: e["value"].isNotNull())
+
+
+def _text(value):
+    """A variant as text: a JSON null is None, booleans are capitalised; where there is none, null."""
+    kind = F.schema_of_variant(value)
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(value.isNotNull(), F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text))
+
+
 def top_label(value):
     """Of a variant: its label, else predicted_class, else the key of its first largest number; of a string or integer itself."""
     kind = F.schema_of_variant(value)
-    pick = lambda k: F.try_variant_get(value, f"$.{k}", "string")
-    scores = F.map_entries(F.try_variant_get(value, "$", "map<string,double>"))
+    pick = lambda k: _text(F.try_variant_get(value, f"$.{k}", "variant"))
+    scores = _numbers(value)
     ranked = F.transform(scores, lambda e, i: F.struct(e["value"].alias("v"), (-i).alias("p"), e["key"].alias("k")))
     best = F.array_max(F.filter(ranked, lambda r: r["v"].isNotNull()))["k"]
-    return F.when(kind.startswith("OBJECT"), F.coalesce(pick("label"), pick("predicted_class"), best)).when(kind.isin("STRING", "BIGINT"), F.try_variant_get(value, "$", "string"))
+    return F.when(kind.startswith("OBJECT"), F.coalesce(pick("label"), pick("predicted_class"), best)).when(kind.isin("STRING", "BIGINT", "BOOLEAN"), _text(value))
 
 
 def confidence(value):
     """Of a variant: its confidence, else score, else its largest number; of a number itself; clipped to [0, 1]."""
-    get = lambda p: F.try_variant_get(value, p, "double")
-    found = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.coalesce(get("$.confidence"), get("$.score"), F.array_max(F.map_values(F.try_variant_get(value, "$", "map<string,double>"))))).otherwise(get("$"))
+    get = lambda p: _number(F.try_variant_get(value, p, "variant"))
+    found = F.when(F.schema_of_variant(value).startswith("OBJECT"), F.coalesce(get("$.confidence"), get("$.score"), F.array_max(F.transform(_numbers(value), lambda e: e["value"])))).otherwise(get("$"))
     return F.when(found.isNotNull(), F.least(F.greatest(found, F.lit(0.0)), F.lit(1.0)))
 
 

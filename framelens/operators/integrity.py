@@ -36,7 +36,7 @@ def sample_checks(samples: DataFrame, inventory: DataFrame, names=VIEWS, toleran
     rows = grid(samples, inventory, names).groupBy("sample_id").agg(
         (F.count_if(F.col("readable").isNotNull()) == n).alias("presence"), (F.count_if("readable") == n).alias("readability"),
         value("frame_count").alias("frame_counts"), value("fps").alias("fpss"), value("duration").alias("durations"),
-        ((F.count(size) == n) & (F.count_distinct(size) == 1)).alias("resolution_consistency"),
+        ((F.count(size) == n) & (F.min(size) == F.max(size))).alias("resolution_consistency"),
     )
     for check, of in (("frame_count_consistency", "frame_counts"), ("fps_consistency", "fpss"), ("duration_consistency", "durations")):
         rows = rows.withColumn(check, consistent(of, n, tolerance))
@@ -50,7 +50,7 @@ def summary(checks: DataFrame) -> DataFrame:
     return out.select("*", F.when(F.col("num_samples") > 0, F.col("valid_sample_count") / F.col("num_samples")).alias("pass_rate"), F.when(F.col("num_samples") > 0, "success").otherwise("skipped").alias("status"))
 
 
-def evaluate(samples: DataFrame, inventory: DataFrame) -> DataFrame:
-    out = sample_checks(samples, inventory)
+def evaluate(samples: DataFrame, inventory: DataFrame, names=VIEWS, tolerance: float = 0.05) -> DataFrame:
+    out = sample_checks(samples, inventory, names, tolerance)
     reason = F.when(~F.col("valid"), F.concat(F.lit("failed checks: "), F.array_join("failed_checks", ", ")))
     return out.select(F.lit("video_integrity").alias("metric"), "sample_id", F.col("valid").cast("double").alias("score"), F.lit("success").alias("status"), reason.alias("reason"))

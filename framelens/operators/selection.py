@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelens.functions.text import sample_id, view_of
-from framelens.schema import VIEWS
+from framelens.schema import TRACKS, VIEWS
 
 
 def tag_summary(index: DataFrame) -> DataFrame:
@@ -32,16 +32,26 @@ def dedup_stats(items: DataFrame) -> DataFrame:
     return out.select("*", dup.alias("duplicate_items"), F.when(F.col("total_items") > 0, dup / F.col("total_items")).otherwise(0.0).alias("duplicate_ratio"))
 
 
-def resolved_views(files: DataFrame) -> DataFrame:
-    """``files`` (video, path) to (video, camera_videos, reason): a view met twice or not at all is the reason."""
-    seen = files.withColumn("view", view_of(F.col("path"))).groupBy("video", "view").agg(F.count("*").alias("n"), F.min("path").alias("path"))
+def resolved_views(files: DataFrame, videos: DataFrame | None = None) -> DataFrame:
+    """``files`` (video, path) to (video, camera_videos, reason).
+
+    The reason names the view that is first met twice when files are read in the order of their paths,
+    part by part, else the views that are missing.  ``videos`` (video) adds those without any file.
+    """
+    parts = F.struct(F.split("path", "/").alias("parts"), "path")
+    seen = files.withColumn("view", view_of(F.col("path"))).groupBy("video", "view").agg(F.slice(F.array_sort(F.collect_list(parts)), 1, 2).alias("two"))
+    seen = seen.select("video", "view", F.try_element_at("two", F.lit(1))["path"].alias("path"), F.try_element_at("two", F.lit(2))["parts"].alias("again"))
     rank = F.array_position(F.array(*[F.lit(v) for v in VIEWS]), F.col("view"))
-    per = seen.groupBy("video").agg(F.array_sort(F.collect_list(F.when(F.col("view").isNotNull(), F.struct(rank.alias("r"), "view", "path", "n")))).alias("v"))
-    twice = F.filter("v", lambda x: x["n"] > 1)
+    per = seen.groupBy("video").agg(F.array_sort(F.collect_list(F.when(F.col("view").isNotNull(), F.struct(rank.alias("r"), "view", "path", "again")))).alias("v"))
+    twice = F.array_sort(F.transform(F.filter("v", lambda x: x["again"].isNotNull()), lambda x: F.struct(x["again"].alias("again"), x["view"].alias("view"))))
     missing = F.array_except(F.array(*[F.lit(v) for v in VIEWS]), F.transform("v", lambda x: x["view"]))
     reason = F.when(F.size(twice) > 0, F.concat(F.lit("multiple files matched view '"), F.try_element_at(twice, F.lit(1))["view"], F.lit("': "), F.col("video"))).when(F.size(missing) > 0, F.concat(F.lit("missing expected views: "), F.array_join(missing, ", ")))
     cams = F.map_from_entries(F.transform("v", lambda x: F.struct(x["view"], x["path"])))
-    return per.select("video", F.when(reason.isNull(), cams).alias("camera_videos"), reason.alias("reason"))
+    out = per.select("video", F.when(reason.isNull(), cams).alias("camera_videos"), reason.alias("reason"))
+    if videos is None:
+        return out
+    out = videos.select("video").distinct().join(out.withColumn("listed", F.lit(True)), "video", "left")
+    return out.select("video", "camera_videos", F.when(F.col("listed"), F.col("reason")).otherwise(F.concat(F.lit("video path cannot be expanded: "), "video")).alias("reason"))
 
 
 def selected(candidates: DataFrame, size: int, seed: int = 0) -> DataFrame:
@@ -70,4 +80,5 @@ def invalid_reasons(scan: DataFrame) -> DataFrame:
 def payload(chosen: DataFrame, dataset: str) -> DataFrame:
     """Sample rows of selected videos (video, tags, camera_videos)."""
     meta = F.struct(F.col("video").alias("source_video_dir"), "camera_videos", "tags")
-    return chosen.select(sample_id(F.lit(dataset), F.col("video")).alias("sample_id"), F.col("camera_videos")["camera_front"].alias("generated_video"), F.lit(None).cast("string").alias("reference_video"), F.lit("").alias("prompt"), meta.alias("metadata"))
+    none = F.array().cast(f"array<struct<{TRACKS}>>")
+    return chosen.select(sample_id(F.lit(dataset), F.col("video")).alias("sample_id"), F.col("camera_videos")["camera_front"].alias("generated_video"), F.lit(None).cast("string").alias("reference_video"), F.lit("").alias("prompt"), none.alias("objects"), meta.alias("metadata"))

@@ -1,7 +1,9 @@
 """Semantic mask consistency: label flips, component matching and class distribution.
 
-Masks are long: keys, t, y, x, class_id.  Flips and histograms are window and aggregate operations;
-components and their optimal matching are found for each pair of frames in a grouped map.
+Masks are packed, a row a frame (keys, t, h, w, mask, num_classes): one window brings each frame's
+predecessor beside it, and one vectorised function gives all terms of the pair, so that whole frames
+move once and pixels never become rows.  Flips and histograms also take long masks (keys, t, y, x,
+class_id), by window and aggregate operations.
 """
 
 from __future__ import annotations
@@ -56,6 +58,8 @@ def interior(pixels: DataFrame, keys: Sequence[str] = CLIP, up: int = 1, left: i
 
 def flip_rates(pixels: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE, classes: str | None = None) -> DataFrame:
     """keys, lfr: 1 - the mean, over pairs of frames, of the flipped share of pixels inside on both sides."""
+    if "mask" in pixels.columns:
+        return clip_scores(pixels, keys, ignore).select(*keys, "lfr")
     rows = interior(pixels, keys)
     if classes:
         rows = rows.withColumn("inside", F.col("inside") & (F.col("class_id") >= 0) & (F.col("class_id") < F.col(classes)))
@@ -76,6 +80,8 @@ def histograms(pixels: DataFrame, num_classes: int, keys: Sequence[str] = CLIP,
 
 def distribution_shift(pixels: DataFrame, num_classes: int, keys: Sequence[str] = CLIP, ignore: int = IGNORE) -> DataFrame:
     """keys, cds: 1 - the mean Jensen-Shannon divergence, in nats, of neighbouring frames' histograms; 1 without pairs."""
+    if "mask" in pixels.columns:
+        return clip_scores(pixels.withColumn("num_classes", F.lit(num_classes)), keys, ignore).select(*keys, "cds")
     frames = pixels.select(*keys, "t").distinct()
     w = Window.partitionBy(*keys).orderBy("t")
     before = frames.withColumn("_prev", F.lag("t").over(w)).where("_prev IS NOT NULL")
@@ -91,24 +97,24 @@ def distribution_shift(pixels: DataFrame, num_classes: int, keys: Sequence[str]
 def components(mask: np.ndarray) -> np.ndarray:
     """Components of equal class under 4-neighbourhood, numbered from 1 in row order; negative classes are 0."""
     h, w = mask.shape
-    parent = np.arange(h * w)
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+    ids = np.arange(h * w).reshape(h, w)
+    new = np.ones((h, w), bool)
+    new[:, 1:] = mask[:, 1:] != mask[:, :-1]
+    root = np.maximum.accumulate(np.where(new, ids, 0).ravel())  # each pixel's run begins there
+    below = mask[1:] == mask[:-1]
+    a, b = ids[1:][below], ids[:-1][below]
+    while True:
+        p, q = root[a], root[b]
+        apart = p != q
+        if not apart.any():
+            break
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while not ((up := root[root]) == root).all():
+            root = up
     flat = mask.ravel()
-    for i in range(h * w):
-        for j in ([i - 1] if i % w else []) + ([i - w] if i >= w else []):
-            if flat[j] == flat[i]:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-    roots = np.array([root(i) for i in range(h * w)])
-    used = np.unique(roots[flat >= 0])
-    out = np.searchsorted(used, roots) + 1
-    return np.where(flat >= 0, out, 0).reshape(h, w)
+    used = np.unique(root[flat >= 0])
+    return np.where(flat >= 0, np.searchsorted(used, root) + 1, 0).reshape(h, w)
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -139,44 +145,86 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(match[c]) - 1, c - 1) for c in range(1, m + 1) if match[c])
 
 
-def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shared pixels of components numbered from 1 in both label images."""
-    out = np.zeros((a.max(initial=0) + 1, b.max(initial=0) + 1), np.int64)
-    np.add.at(out, (a.ravel(), b.ravel()), 1)
-    return out[1:, 1:]
+class Frame:
+    """What the pairs of a frame need of it, found once: components with class and area, interior, class shares."""
+
+    def __init__(self, mask: np.ndarray, classes: int, ignore: int = IGNORE, up: int = 1, left: int = 1):
+        self.mask, self.valid = mask, (mask != ignore) & (mask >= 0) & (mask < classes)
+        self.labels = components(np.where(self.valid, mask, -1)).ravel()
+        n = int(self.labels.max(initial=0))
+        self.areas = np.bincount(self.labels, minlength=n + 1)[1:].astype(float)
+        self.classes = np.zeros(n, np.int64)
+        self.classes[self.labels[self.labels > 0] - 1] = mask.ravel()[self.labels > 0]
+        h, w = mask.shape
+        wide = np.pad(mask, ((up, 0), (left, 0)), mode="edge")
+        self.inside = self.valid & (wide[up:, :w] == mask) & (wide[:h, left:] == mask) & (wide[:h, :w] == mask)
+        counts = np.bincount(mask[self.valid], minlength=classes)[:classes].astype(float)
+        self.shares = (counts + 1e-8) / (counts.sum() + 1e-8 * classes) if counts.sum() else None
+
+    def matched(self, after: "Frame", min_iou: float) -> tuple[float, float]:
+        """(sum of IoU times area, sum of area) over the components; those that vanish or match less than ``min_iou`` count 0."""
+        both = (self.labels > 0) & (after.labels > 0)
+        code, count = np.unique(self.labels[both].astype(np.int64) * (len(after.areas) + 1) + after.labels[both], return_counts=True)
+        a, b = code // (len(after.areas) + 1) - 1, code % (len(after.areas) + 1) - 1
+        score = 0.0
+        for c in np.intersect1d(self.classes, after.classes):
+            mine, other = np.flatnonzero(self.classes == c), np.flatnonzero(after.classes == c)
+            own = (self.classes[a] == c) & (after.classes[b] == c)
+            shared = np.zeros((len(mine), len(other)))
+            shared[np.searchsorted(mine, a[own]), np.searchsorted(other, b[own])] = count[own]
+            iou = shared / (self.areas[mine][:, None] + after.areas[other][None] - shared)
+            score += sum(iou[i, k] * self.areas[mine[i]] for i, k in assignment(1 - iou) if iou[i, k] >= min_iou)
+        return score, float(self.areas.sum())
+
+    def flips(self, after: "Frame") -> float | None:
+        """The share of pixels inside on both sides whose class changes."""
+        both = self.inside & after.inside
+        return float((self.mask[both] != after.mask[both]).mean()) if both.any() else None
+
+    def shift(self, after: "Frame") -> float | None:
+        """Jensen-Shannon divergence of the class shares, in nats."""
+        if self.shares is None or after.shares is None:
+            return None
+        p, q, m = self.shares, after.shares, (self.shares + after.shares) / 2
+        return float(0.5 * (p * np.log(p / m)).sum() + 0.5 * (q * np.log(q / m)).sum())
+
+
+def frame_terms(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE, min_iou: float = 0.1, up: int = 1, left: int = 1) -> DataFrame:
+    """keys, t, flips, matched, area, js of every frame with the one before; a term that has no pixels is null."""
+    w = Window.partitionBy(*keys).orderBy("t")
+    pairs = masks.withColumn("_m", F.lag("mask").over(w)).where("_m IS NOT NULL")
 
+    @F.pandas_udf("struct<flips double, matched double, area double, js double>")
+    def terms(before: pd.Series, after: pd.Series, width: pd.Series, classes: pd.Series) -> pd.DataFrame:
+        rows, last = [], None
+        for x, y, n, k in zip(before, after, width, classes):
+            x, y = (np.asarray(m, np.int64).reshape(-1, n) for m in (x, y))
+            # a frame is mostly the second of one pair and the first of the next
+            one = last[1] if last and last[0] == k and last[1].mask.shape == x.shape and (last[1].mask == x).all() else Frame(x, int(k), ignore, up, left)
+            two = Frame(y, int(k), ignore, up, left)
+            last = k, two
+            rows.append((one.flips(two), *one.matched(two, min_iou), one.shift(two)))
+        return pd.DataFrame(rows, columns=["flips", "matched", "area", "js"], dtype=object).astype({"matched": float, "area": float})
 
-def frame_pair(a: np.ndarray, b: np.ndarray, classes: int, min_iou: float = 0.1) -> tuple[float, float]:
-    """(sum of IoU times area, sum of area) over the components of ``a``."""
-    score = weight = 0.0
-    for c in range(classes):
-        one, two = (components(np.where(m == c, 0, -1)) for m in (a, b))
-        areas, others = np.bincount(one.ravel())[1:].astype(float), np.bincount(two.ravel())[1:].astype(float)
-        weight += areas.sum()
-        if len(areas) and len(others):
-            shared = overlaps(one, two)
-            iou = shared / (areas[:, None] + others[None, :] - shared)
-            score += sum(iou[r, k] * areas[r] for r, k in assignment(1 - iou) if iou[r, k] >= min_iou)
-    return score, weight
+    return pairs.select(*keys, "t", terms("_m", "mask", "w", "num_classes").alias("x")).select(*keys, "t", "x.*")
 
 
-def area_consistency(masks: DataFrame, keys: Sequence[str] = CLIP, min_iou: float = 0.1) -> DataFrame:
-    """keys, sac of packed masks (keys, t, h, w, mask, num_classes): matched IoU weighted by area.
+def clip_scores(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE, min_iou: float = 0.1, weights: Sequence[float] = (0.5, 0.4, 0.1)) -> DataFrame:
+    """keys, lfr, sac, cds, score of packed masks, all in one pass; a part without pairs is 1.
 
-    Vanished and unmatched components count 0; new ones don't count; without any the value is 1.
+    lfr: 1 - mean flipped share.  sac: matched IoU weighted by area, where new components don't count.
+    cds: 1 - mean divergence.  score: their weighted sum.
     """
-    w = Window.partitionBy(*keys).orderBy("t")
-    pairs = masks.withColumn("_m", F.lag("mask").over(w)).withColumn("_h", F.lag("h").over(w))
+    terms = frame_terms(masks, keys, ignore, min_iou).groupBy(*keys).agg(F.avg("flips").alias("flips"), F.sum("matched").alias("matched"), F.sum("area").alias("area"), F.avg("js").alias("js"))
+    out = masks.select(*keys).distinct().join(terms, list(keys), "left")
+    one = lambda c: F.coalesce(clamp01(c), F.lit(1.0))
+    out = out.select(*keys, one(1 - F.col("flips")).alias("lfr"), F.when(F.col("area") > 0, clamp01(F.col("matched") / (F.col("area") + 1e-8))).otherwise(1.0).alias("sac"), one(1 - F.col("js")).alias("cds"))
+    return out.withColumn("score", clamp01(sum((w * F.col(c) for w, c in zip(weights, ("lfr", "sac", "cds"))), F.lit(0.0))))
 
-    @F.pandas_udf("struct<score double, weight double>")
-    def pair(before: pd.Series, after: pd.Series, width: pd.Series, classes: pd.Series) -> pd.DataFrame:
-        found = [frame_pair(np.asarray(a).reshape(-1, n), np.asarray(b).reshape(-1, n), int(k), min_iou) for a, b, n, k in zip(before, after, width, classes)]
-        return pd.DataFrame(found, columns=["score", "weight"])
 
-    scored = pairs.where("_m IS NOT NULL").select(*keys, pair("_m", "mask", "w", "num_classes").alias("p"))
-    sums = scored.groupBy(*keys).agg(F.sum("p.score").alias("s"), F.sum("p.weight").alias("a"))
-    out = masks.select(*keys).distinct().join(sums, list(keys), "left")
-    return out.select(*keys, F.when(F.col("a") > 0, clamp01(F.col("s") / (F.col("a") + 1e-8))).otherwise(1.0).alias("sac"))
+def area_consistency(masks: DataFrame, keys: Sequence[str] = CLIP, min_iou: float = 0.1) -> DataFrame:
+    """keys, sac of packed masks."""
+    return clip_scores(masks, keys, min_iou=min_iou).select(*keys, "sac")
 
 
 def tscs(lfr: DataFrame, sac: DataFrame, cds: DataFrame, keys: Sequence[str] = CLIP) -> DataFrame:

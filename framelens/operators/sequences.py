@@ -15,12 +15,12 @@ from framelens.functions.numeric import clamp01, dot, finite, minus, norm, unit
 EPS = 1e-8
 
 
-def sequence_scores(features: DataFrame, keys: Sequence[str], order: Sequence[str], vector: str, normalize: bool = True) -> DataFrame:
+def sequence_scores(features: DataFrame, keys: Sequence[str], order: Sequence[str], vector: str, normalize: bool = True, strict: bool = True) -> DataFrame:
     """keys, n_frames, acm, tji, score of every sequence.
 
     acm: mean adjacent cosine, clipped to [0, 1].  tji: mean of |second difference| over the mean of
-    both velocities, 0 below three frames.  score: acm / (1 + tji), null below two frames or where
-    any value is not finite.
+    both velocities, 0 below three frames.  score: acm / (1 + tji), null below two frames.  With any
+    value that is not finite all three are null, or 0 unless ``strict``.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     rows = features.withColumn("_ok", F.coalesce(F.forall(F.col(vector), finite), F.lit(False)))
@@ -30,8 +30,9 @@ def sequence_scores(features: DataFrame, keys: Sequence[str], order: Sequence[st
     rows = rows.select(*keys, *[c for c in order if c not in keys], "_ok", clamp01(dot(F.col("_u"), F.col("_p"))).alias("_cos"), norm(minus(F.col("_u"), F.col("_p"))).alias("_vel"), F.when(F.col("_q").isNotNull(), norm(second)).alias("_acc"))
     rows = rows.withColumn("_jit", F.col("_acc") / (0.5 * (F.col("_vel") + F.lag("_vel").over(w)) + EPS))
     out = rows.groupBy(*keys).agg(F.count("*").alias("n_frames"), F.bool_and("_ok").alias("_ok"), F.avg("_cos").alias("acm"), F.coalesce(F.avg("_jit"), F.lit(0.0)).alias("tji"))
-    usable = F.col("_ok") & (F.col("n_frames") >= 2)
-    return out.select(*keys, "n_frames", F.when(usable, F.col("acm")).alias("acm"), F.when(usable, F.col("tji")).alias("tji"), F.when(usable, clamp01(F.col("acm") / (1 + F.col("tji")))).alias("score"))
+    found = {"acm": F.col("acm"), "tji": F.col("tji"), "score": clamp01(F.col("acm") / (1 + F.col("tji")))}
+    held = lambda c: F.when(F.col("n_frames") >= 2, F.when(F.col("_ok"), c).otherwise(None if strict else 0.0))
+    return out.select(*keys, "n_frames", *(held(c).alias(name) for name, c in found.items()))
 
 
 def nested_mean(scores: DataFrame, levels: Sequence[str], value: str = "score") -> DataFrame:

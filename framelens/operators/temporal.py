@@ -10,8 +10,8 @@ from framelens.schema import VIEWS
 
 
 def view_scores(features: DataFrame) -> DataFrame:
-    """``features``: sample_id, view, frame_index, feature."""
-    return sequence_scores(features, ["sample_id", "view"], ["frame_index"], "feature")
+    """``features``: sample_id, view, frame_index, feature.  A view with a value that isn't finite scores 0."""
+    return sequence_scores(features, ["sample_id", "view"], ["frame_index"], "feature", strict=False)
 
 
 def evaluate(samples: DataFrame, features: DataFrame, expected=VIEWS) -> DataFrame:

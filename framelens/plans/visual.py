@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions.numeric import finite
@@ -11,10 +11,9 @@ from framelens.schema import VIEWS, each_view
 
 def first_frame_gray(pixels: DataFrame, keys=("sample_id", "view")) -> DataFrame:
     """keys, y, x, gray of each clip's first frame: min-max over its finite depths; what isn't finite is 0."""
-    first = pixels.withColumn("_t", F.min("t").over(Window.partitionBy(*keys))).where("t = _t")
-    d = F.when(finite(F.col("depth")), F.col("depth"))
-    clip = Window.partitionBy(*keys)
-    out = first.withColumn("_d", d).withColumn("_lo", F.min("_d").over(clip)).withColumn("_hi", F.max("_d").over(clip))
+    first = pixels.join(pixels.groupBy(*keys).agg(F.min("t").alias("t")), [*keys, "t"])
+    first = first.withColumn("_d", F.when(finite(F.col("depth")), F.col("depth")))
+    out = first.join(first.groupBy(*keys).agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi")), list(keys))
     gray = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_d") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255))
     return out.select(*keys, "y", "x", F.coalesce(gray, F.lit(0)).cast("int").alias("gray"))
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from framelens.functions import numeric, text
-from framelens.operators import enrich, selection
+from framelens.operators import enrich, selection, shards
 from framelens.queries import fixtures as fx
 from framelens.queries.base import query, r6
 from framelens.queries.fixtures import SQL
@@ -109,26 +108,33 @@ def str3(spark, sf):
     return fx.paths(spark, sf).select("key", text.view_of(F.col("path")).alias("view"))
 
 
-_FILES = f"""WITH {SQL['paths']}, f AS (SELECT 'v' || (key // 24) AS video, path FROM paths WHERE key % 8 < 5 OR (key % 8 = 5 AND (key // 24) % 3 > 0)), n AS (SELECT *, {_NORM} AS n FROM f), w AS (SELECT *, {_VIEW} AS view FROM n),
-    c AS (SELECT video, view, count(*) AS k FROM w GROUP BY ALL),
+def _files_sql(per: int) -> str:
+    return f"""WITH {SQL['paths']}, f AS (SELECT 'v' || (key // {per}) AS video, CASE WHEN key % 8 = 5 AND (key // {per}) % 3 = 0 THEN replace(path, '/back/', '/roof/') ELSE path END AS path FROM paths), n AS (SELECT *, {_NORM} AS n, string_split(path, '/') AS parts FROM f), w AS (SELECT *, {_VIEW} AS view FROM n),
+    k AS (SELECT *, row_number() OVER (PARTITION BY video, view ORDER BY parts) AS k FROM w),
     o(view, r) AS (VALUES ('camera_front', 1), ('camera_cross_left', 2), ('camera_cross_right', 3), ('camera_rear_left', 4), ('camera_rear_right', 5), ('camera_rear', 6)),
-    t AS (SELECT v.video, string_agg(CASE WHEN k IS NULL THEN o.view END, ', ' ORDER BY r) AS miss, arg_min(o.view, r) FILTER (k > 1) AS twice FROM (SELECT DISTINCT video FROM f) v CROSS JOIN o LEFT JOIN c ON c.video = v.video AND c.view = o.view GROUP BY v.video),
-    rs AS (SELECT video, CASE WHEN twice IS NOT NULL THEN 'multiple files matched view ''' || twice || ''': ' || video WHEN miss IS NOT NULL THEN 'missing expected views: ' || miss END AS reason FROM t)"""
+    v AS (SELECT DISTINCT video FROM f), e AS (SELECT DISTINCT 'none' || video AS video FROM f),
+    ms AS (SELECT v.video, string_agg(o.view, ', ' ORDER BY r) AS miss FROM v CROSS JOIN o WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.video = v.video AND k.view = o.view) GROUP BY v.video),
+    tw AS (SELECT video, arg_min(view, parts) AS twice FROM k WHERE k = 2 AND view IS NOT NULL GROUP BY video)
+    SELECT video, CASE WHEN twice IS NOT NULL THEN 'multiple files matched view \'\'' || twice || '\'\': ' || video WHEN miss IS NOT NULL THEN 'missing expected views: ' || miss END AS reason FROM v LEFT JOIN ms USING (video) LEFT JOIN tw USING (video)
+    UNION ALL SELECT video, 'video path cannot be expanded: ' || video AS reason FROM e""".replace("\\'", "'")
 
 
-def _files(spark, sf, per: int = 24):
-    p = fx.paths(spark, sf).where(f"key % 8 < 5 OR (key % 8 = 5 AND (key div {per}) % 3 > 0)")
-    return p.select(F.concat(F.lit("v"), F.expr(f"key div {per}").cast("string")).alias("video"), "path")
+def _resolved(spark, sf, per: int):
+    """Files of every part; each third video has a roof camera for its rear one, and as many videos have no file."""
+    k = F.expr(f"key div {per}")
+    f = fx.paths(spark, sf).select(F.concat(F.lit("v"), k.cast("string")).alias("video"), F.when((F.col("key") % 8 == 5) & (k % 3 == 0), F.regexp_replace("path", "/back/", "/roof/")).otherwise(F.col("path")).alias("path"))
+    videos = f.select("video").unionByName(f.select(F.concat(F.lit("none"), "video").alias("video")))
+    return selection.resolved_views(f, videos).select("video", "reason")
 
 
-@query("STR4", f"{_FILES} SELECT video, reason FROM rs")
+@query("STR4", _files_sql(24))
 def str4(spark, sf):
-    return selection.resolved_views(_files(spark, sf)).select("video", "reason")
+    return _resolved(spark, sf, 24)
 
 
-@query("STR4_valid", _FILES.replace("key // 24", "key // 8") + " SELECT video, reason FROM rs")
+@query("STR4_valid", _files_sql(8))
 def str4_valid(spark, sf):
-    return selection.resolved_views(_files(spark, sf, 8)).select("video", "reason")
+    return _resolved(spark, sf, 8)
 
 
 @query("STR5", r"""SELECT page_id, 'ds_' || coalesce(nullif(trim(regexp_replace(coalesce(nullif(trim(regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1)), ''), 'sample'), '[^a-zA-Z0-9_-]+', '_', 'g'), '_'), ''), 'sample') || '_' || substr(sha1(url), 1, 12) AS sample_id FROM pages""")
@@ -184,11 +190,16 @@ def _scan(spark, sf):
     return selection.selected(c, 40, seed=3)
 
 
-@query("SMP1", "SELECT 40 AS selected_count, true AS within, true AS dense FROM (SELECT 1)")
+@query("SMP1", """WITH c AS (SELECT count(*) AS n, count(*) FILTER (c_custkey % 3 <> 0) AS valid FROM customer)
+    SELECT least(40, valid) AS selected_count, n AS rank_count, true AS valid_only, true AS within, true AS complete FROM c""")
 def smp1(spark, sf):
-    """As many valid ones as asked for, scanned ranks are the first ones, all ranks differ."""
-    s = _scan(spark, sf)
-    return s.agg(F.count_if("selected").cast("int").alias("selected_count"), (F.max(F.when(F.col("scanned"), F.col("rank"))) == F.count_if("scanned")).alias("within"), (F.count_distinct("rank") == F.max("rank")).alias("dense"))
+    """As many valid ones as asked for or there are; scanned ranks are the first ones, and end with a valid row; all ranks differ."""
+    s = _scan(spark, sf).withColumn("ok", F.col("reason").isNull())
+    last = F.max(F.when(F.col("scanned"), F.col("rank")))
+    return s.agg(
+        F.count_if("selected").alias("selected_count"), F.count_distinct("rank").alias("rank_count"), F.bool_and(~F.col("selected") | F.col("ok")).alias("valid_only"), (last == F.count_if("scanned")).alias("within"),
+        (F.count_if(F.col("scanned") & F.col("ok")) == F.count_if("selected")).alias("complete"),
+    )
 
 
 @query("TAG4")
@@ -197,28 +208,31 @@ def tag4(spark, sf):
     return selection.invalid_reasons(_scan(spark, sf))
 
 
-@query("PRJ5", """SELECT 'ds_v' || c_custkey || '_' || substr(sha1('v' || c_custkey), 1, 12) AS sample_id, 'f' || c_custkey AS generated_video, '' AS prompt, 'v' || c_custkey AS source_video_dir FROM customer""")
+@query("PRJ5", """SELECT 'ds_v' || c_custkey || '_' || substr(sha1('v' || c_custkey), 1, 12) AS sample_id, 'f' || c_custkey AS generated_video, '' AS prompt, CAST(0 AS INTEGER) AS n_objects, 'v' || c_custkey AS source_video_dir FROM customer""")
 def prj5(spark, sf):
     k = F.col("c_custkey").cast("string")
     c = fx.table(spark, sf, "customer").select(F.concat(F.lit("v"), k).alias("video"), F.array(F.lit("t")).alias("tags"), F.create_map(F.lit("camera_front"), F.concat(F.lit("f"), k)).alias("camera_videos"))
-    return selection.payload(c, "ds").select("sample_id", "generated_video", "prompt", "metadata.source_video_dir")
+    return selection.payload(c, "ds").select("sample_id", "generated_video", "prompt", F.size("objects").alias("n_objects"), "metadata.source_video_dir")
 
 
 @query("LIM1", "SELECT region, names FROM (SELECT o_orderpriority AS region, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS names FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey, o_custkey) <= 3) GROUP BY 1)")
 def lim1(spark, sf):
-    n = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey", "o_custkey"))
-    o = fx.table(spark, sf, "orders").withColumn("n", n).where("n <= 3")
-    return o.groupBy(F.col("o_orderpriority").alias("region")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "o_orderkey"))), lambda x: x["o_orderkey"].cast("string")), ",").alias("names"))
+    o = fx.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("region"), "o_orderkey", "o_custkey")
+    out = shards.examples(o, ["region"], ["o_orderkey", "o_custkey"], 3)
+    return out.select("region", F.array_join(F.transform("examples", lambda x: x["o_orderkey"].cast("string")), ",").alias("names"))
 
 
-@query("PRT1_WIN7_PRT2_SET1", "SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) % 4 AS shard FROM customer")
+@query("PRT1_WIN7", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS rank, (row_number() OVER (ORDER BY c_custkey) - 1) % 4 AS shard FROM customer")
 def prt1(spark, sf):
-    """Round-robin shards, as a rank modulo their number; the ranks come from counts of ranges, not from one sorted task."""
-    c = fx.table(spark, sf, "customer").select("c_custkey", F.expr("c_custkey div 1000").alias("b"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = c.groupBy("b").count().select("b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy("b").orderBy("c_custkey")) - 1
-    return c.withColumn("r", rank).join(ahead, "b").select("c_custkey", ((F.col("r") + F.col("ahead")) % 4).alias("shard"))
+    return shards.round_robin(fx.table(spark, sf, "customer").select("c_custkey"), "c_custkey", 4)
+
+
+@query("PRT2_SET1", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS shard, (row_number() OVER (ORDER BY o_orderkey) - 1) % 100 AS place FROM orders")
+def prt2(spark, sf):
+    """Contiguous shards of a hundred, and the union of even and odd ones in order."""
+    out = shards.contiguous(fx.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 100)
+    both = shards.in_order([out.where("shard % 2 = 0"), out.where("shard % 2 = 1")], ["shard", "place"])
+    return both.select("o_orderkey", "shard", "place")
 
 
 @query("SET5", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -230,12 +244,12 @@ def set5(spark, sf):
 
 
 def _patches(spark, sf):
-    o = fx.table(spark, sf, "orders").where("o_orderkey % 3 < 2")
-    g = F.when(F.col("o_orderkey") % 3 == 0, "depth").otherwise("semantic")
+    o = fx.table(spark, sf, "orders")
+    g = F.when(F.col("o_orderkey") % 3 == 0, "depth").when(F.col("o_orderkey") % 3 == 1, "semantic").otherwise("tracks")
     return o.select((F.col("o_custkey") % 500).cast("string").alias("sample_id"), g.alias("generator"), F.col("o_orderkey").cast("int").alias("rank"), F.create_map(F.lit("k"), F.col("o_orderkey").cast("string"), g, F.lit("y")).alias("patch"), F.when(F.col("o_orderkey") % 7 == 0, "ValueError: short").alias("error"))
 
 
-@query("JN8_REF1", """WITH o AS (SELECT o_custkey % 500 AS s, CASE WHEN o_orderkey % 3 = 0 THEN 'depth' ELSE 'semantic' END AS g, o_orderkey FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey % 7 <> 0)
+@query("JN8_REF1", """WITH o AS (SELECT o_custkey % 500 AS s, CASE o_orderkey % 3 WHEN 0 THEN 'depth' WHEN 1 THEN 'semantic' ELSE 'tracks' END AS g, o_orderkey FROM orders WHERE o_orderkey % 7 <> 0)
     SELECT CAST(i AS VARCHAR) AS sample_id, coalesce(CAST(max(o_orderkey) AS VARCHAR), 'old') AS k, 1 AS own, bool_or(g = 'depth') AS depth FROM (SELECT unnest(range(0, 500)) AS i) LEFT JOIN o ON s = i GROUP BY i""")
 def jn8(spark, sf):
     samples = spark.range(500).select(F.col("id").cast("string").alias("sample_id"), F.create_map(F.lit("k"), F.lit("old"), F.lit("own"), F.lit("1")).alias("metadata"))
@@ -243,7 +257,7 @@ def jn8(spark, sf):
     return out.select("sample_id", F.col("metadata")["k"].alias("k"), F.col("metadata")["own"].cast("int").alias("own"), F.when(F.size("metadata") > 2, F.map_contains_key("metadata", "depth")).alias("depth"))
 
 
-@query("REF2", """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'depth' ELSE 'semantic' END AS generator, count(*) FILTER (o_orderkey % 7 <> 0) AS prepared, count(*) FILTER (o_orderkey % 7 = 0) AS failed, round(count(*) FILTER (o_orderkey % 7 <> 0) / count(*), 6) AS coverage_ratio FROM orders WHERE o_orderkey % 3 < 2 GROUP BY 1""")
+@query("REF2", """SELECT CASE o_orderkey % 3 WHEN 0 THEN 'depth' WHEN 1 THEN 'semantic' ELSE 'tracks' END AS generator, count(*) FILTER (o_orderkey % 7 <> 0) AS prepared, count(*) FILTER (o_orderkey % 7 = 0) AS failed, round(count(*) FILTER (o_orderkey % 7 <> 0) / count(*), 6) AS coverage_ratio FROM orders GROUP BY 1""")
 def ref2(spark, sf):
     return enrich.generator_summary(_patches(spark, sf))
 

@@ -45,6 +45,13 @@ def clips(spark, sf):
     return e.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("feature"))
 
 
+def clips_with_gaps(spark, sf):
+    """Every fourth label has values that aren't finite in every fifth frame."""
+    gap = F.when(F.col("vec_id") % 2 == 0, float("nan")).otherwise(float("inf"))
+    broken = (F.col("label") % 4 == 3) & (F.col("vec_id") % 5 == 0)
+    return clips(spark, sf).withColumn("feature", F.when(broken, F.transform("feature", lambda x, i: F.when(i == 0, gap).otherwise(x))).otherwise(F.col("feature")))
+
+
 def masks(spark, sf):
     """sample_id, view, t, y, x, class_id: eight by eight pixels of three classes."""
     t = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))

@@ -28,21 +28,25 @@ def _terms(source: str, keys: str, order: str) -> str:
 _CLIPS = "cl AS (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS f FROM embeddings)"
 
 
+# what isn't finite makes all of a clip's terms 0
+_GAPS = f"{_CLIPS}, {_terms('cl', 'label', 'vec_id')}, gp AS (SELECT label, n_frames >= 2 AND label % 4 = 3 AND bool_or(vec_id % 5 = 0) AS gap, any_value(n_frames) AS n_frames, any_value(acm) AS acm, any_value(tji) AS tji, any_value(score) AS score FROM sc JOIN (SELECT label AS l, vec_id FROM cl) ON l = label GROUP BY label, sc.n_frames)"
+
+
 def _clip_scores(spark, sf):
-    return sequences.sequence_scores(fx.clips(spark, sf), ["label"], ["vec_id"], "feature")
+    return sequences.sequence_scores(fx.clips_with_gaps(spark, sf), ["label"], ["vec_id"], "feature", strict=False)
 
 
-@query("TC1", f"WITH {_CLIPS}, {_terms('cl', 'label', 'vec_id')} SELECT label, round(acm, 6) AS acm FROM sc")
+@query("TC1", f"WITH {_GAPS} SELECT label, CASE WHEN gap THEN 0.0 ELSE round(acm, 6) END AS acm FROM gp")
 def tc1(spark, sf):
     return _clip_scores(spark, sf).select("label", *r6("acm"))
 
 
-@query("TC2", f"WITH {_CLIPS}, {_terms('cl', 'label', 'vec_id')} SELECT label, round(tji, 6) AS tji FROM sc")
+@query("TC2", f"WITH {_GAPS} SELECT label, CASE WHEN gap THEN 0.0 ELSE round(tji, 6) END AS tji FROM gp")
 def tc2(spark, sf):
     return _clip_scores(spark, sf).select("label", *r6("tji"))
 
 
-@query("TC3", f"WITH {_CLIPS}, {_terms('cl', 'label', 'vec_id')} SELECT label, n_frames, round(score, 6) AS score FROM sc")
+@query("TC3", f"WITH {_GAPS} SELECT label, n_frames, CASE WHEN gap THEN 0.0 ELSE round(score, 6) END AS score FROM gp")
 def tc3(spark, sf):
     return _clip_scores(spark, sf).select("label", "n_frames", *r6("score"))
 
@@ -80,13 +84,13 @@ def ic2(spark, sf):
 
 
 @query("WIN1_WIN2_WIN3", f"""WITH {_CLIPS}, {_terms('cl', 'label', 'vec_id')}
-    SELECT label, count(c) AS pairs, count(jit) AS triples FROM j GROUP BY label""")
+, l AS (SELECT label, list_distance(f, lag(f) OVER (PARTITION BY label ORDER BY vec_id)) AS d FROM cl), d AS (SELECT label, avg(d) AS l2 FROM l GROUP BY label)
+    SELECT label, n_frames - 1 AS pairs, round(acm, 6) AS acm, round(tji, 6) AS tji, round(l2, 6) AS l2 FROM sc JOIN d USING (label)""")
 def win123(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("label").orderBy("vec_id")
-    rows = fx.clips(spark, sf).select("label", F.lag("vec_id", 1).over(w).alias("a"), F.lag("vec_id", 2).over(w).alias("b"))
-    return rows.groupBy("label").agg(F.count("a").alias("pairs"), F.count("b").alias("triples"))
+    """Neighbours, and neighbours of these, by the operators that use them."""
+    c = fx.clips(spark, sf)
+    scored = sequences.sequence_scores(c, ["label"], ["vec_id"], "feature")
+    return scored.join(sequences.adjacent_distance(c, ["label"], ["vec_id"], "feature"), "label").select("label", (F.col("n_frames") - 1).alias("pairs"), *r6("acm", "tji", "l2"))
 
 
 @query("SRC11", """SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings WHERE vec_id % 3 = 0) WHERE n <= 4""")
@@ -187,10 +191,11 @@ def in1(spark, sf):
     return instances.label_stability(fx.labelled(spark, sf)).select("sample_id", "view", "object_id", *r6("class_score"))
 
 
-@query("IN2_TOP1", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN CASE WHEN value >= 50 THEN 'car' ELSE 'truck' END WHEN 2 THEN event_type ELSE NULL END AS label, round(CASE event_id % 4 WHEN 0 THEN least(value / 100, 1.0) WHEN 1 THEN CASE WHEN value >= 50 THEN least(value / 100, 1.0) ELSE 0.5 END WHEN 3 THEN least(value / 100, 1.0) END, 6) AS confidence FROM events""")
+@query("IN2_TOP1", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN event_type WHEN 1 THEN CASE WHEN value >= 50 THEN 'car' ELSE 'truck' END WHEN 2 THEN event_type WHEN 4 THEN 'bus' WHEN 5 THEN 'None' ELSE NULL END AS label, round(CASE event_id % 6 WHEN 0 THEN least(value / 100, 1.0) WHEN 1 THEN CASE WHEN value >= 50 THEN least(value / 100, 1.0) ELSE 0.5 END WHEN 3 THEN least(value / 100, 1.0) WHEN 4 THEN 0.25 WHEN 5 THEN 1.0 END, 6) AS confidence FROM events""")
 def in2(spark, sf):
-    text = F.expr("""CASE event_id % 4 WHEN 0 THEN '{"label": "' || event_type || '", "confidence": ' || CAST(value / 100 AS string) || '}'
-        WHEN 1 THEN '{"car": ' || CAST(value / 100 AS string) || ', "truck": 0.5}' WHEN 2 THEN '"' || event_type || '"' ELSE CAST(value / 100 AS string) END""")
+    """Numbers in quotes don't count, a label that is null does, and true is one."""
+    text = F.expr("""CASE event_id % 6 WHEN 0 THEN '{"label": "' || event_type || '", "confidence": ' || CAST(value / 100 AS string) || '}'
+        WHEN 1 THEN '{"car": ' || CAST(value / 100 AS string) || ', "truck": 0.5}' WHEN 2 THEN '"' || event_type || '"' WHEN 4 THEN '{"car": "0.9", "bus": 0.25, "van": null}' WHEN 5 THEN '{"label": null, "score": "0.5", "x": true}' ELSE CAST(value / 100 AS string) END""")
     e = fx.table(spark, sf, "events").select("event_id", F.parse_json(text).alias("v"))
     return e.select("event_id", instances.top_label(F.col("v")).alias("label"), instances.confidence(F.col("v")).alias("confidence")).select("event_id", "label", *r6("confidence"))
 
@@ -232,12 +237,12 @@ def flt8(spark, sf):
     return instances.usable_boxes(e).select("event_id", F.col("bbox")[0].cast("int").alias("x1"))
 
 
-@query("JN5_JN7", """WITH t AS (SELECT user_id, event_id, event_id % 2 AS src, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS cat FROM events WHERE event_id % 3 = 0)
+@query("JN5_JN7", """WITH t AS (SELECT user_id, event_id, event_id % 2 AS src, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS cat FROM events)
     SELECT CAST(user_id % 7 AS VARCHAR) AS sample_id, CAST(user_id AS VARCHAR) AS object_id, arg_min(cat, src * 1000000000 + event_id) FILTER (cat IS NOT NULL) AS category, count(*) AS n_boxes, CAST(arg_max(event_id, src * 1000000000 + event_id) AS VARCHAR) AS last_seen FROM t WHERE user_id <> 0 GROUP BY user_id
     UNION ALL SELECT '0', 'track_' || (row_number() OVER (ORDER BY src, event_id) - 1), cat, 1, CAST(event_id AS VARCHAR) FROM t WHERE user_id = 0""")
 def jn57(spark, sf):
     """Two sources of tracks; user 0 has a falsy id, so each of its rows becomes an anonymous track."""
-    e = fx.table(spark, sf, "events").where("event_id % 3 = 0")
+    e = fx.table(spark, sf, "events")
     rows = e.select((F.col("user_id") % 7).cast("string").alias("sample_id"), F.lit("v").alias("view"), F.col("event_id").alias("position"), F.col("user_id").cast("string").alias("object_id"), F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("category"), F.array("event_id").alias("boxes"), F.create_map(F.lit("seen"), F.col("event_id").cast("string")).alias("attributes"))
     both = instances.tracks_union(rows.where("position % 2 = 0"), rows.where("position % 2 = 1"))
     return instances.merged_tracks(both).select("sample_id", "object_id", "category", F.size("boxes").cast("long").alias("n_boxes"), F.col("attributes")["seen"].alias("last_seen"))
@@ -262,7 +267,7 @@ _LFR = f"""WITH {SQL['masks']},
 
 @query("SM1_WIN6_JN4", f"{_LFR} SELECT sample_id, round(lfr, 6) AS lfr FROM lfr")
 def sm1(spark, sf):
-    return semantic.flip_rates(fx.masks(spark, sf)).select("sample_id", *r6("lfr"))
+    return semantic.flip_rates(fx.packed_masks(spark, sf)).select("sample_id", *r6("lfr"))
 
 
 _HIST = f"""WITH {SQL['masks']}, fr AS (SELECT sample_id, t, count(*) AS n FROM masks GROUP BY ALL), k AS (SELECT unnest(range(0, 3)) AS c),
@@ -272,7 +277,7 @@ _HIST = f"""WITH {SQL['masks']}, fr AS (SELECT sample_id, t, count(*) AS n FROM
 @query("SM4", f"""{_HIST}, j AS (SELECT a.sample_id, a.t, sum(0.5 * a.p * ln(a.p / ((a.p + b.p) / 2)) + 0.5 * b.p * ln(b.p / ((a.p + b.p) / 2))) AS js FROM h a JOIN h b ON a.sample_id = b.sample_id AND a.c = b.c AND b.t = a.t - 1 GROUP BY ALL)
     SELECT sample_id, round(coalesce(least(greatest(1 - avg(js), 0.0), 1.0), 1.0), 6) AS cds FROM (SELECT DISTINCT sample_id FROM fr) LEFT JOIN j USING (sample_id) GROUP BY sample_id""")
 def sm4(spark, sf):
-    return semantic.distribution_shift(fx.masks(spark, sf), 3).select("sample_id", *r6("cds"))
+    return semantic.distribution_shift(fx.packed_masks(spark, sf), 3).select("sample_id", *r6("cds"))
 
 
 @query("SM4_histograms", f"{_HIST} SELECT sample_id, t, c AS class_id, round(p, 6) AS p FROM h")
@@ -288,8 +293,7 @@ def sm3(spark, sf):
 
 @query("SM5")
 def sm5(spark, sf):
-    m = fx.masks(spark, sf)
-    return semantic.tscs(semantic.flip_rates(m), semantic.area_consistency(fx.packed_masks(spark, sf)), semantic.distribution_shift(m, 3)).select("sample_id", *r6("score"))
+    return semantic.clip_scores(fx.packed_masks(spark, sf)).select("sample_id", *r6("score"))
 
 
 @query("SM6_SM7_FLT6", f"""WITH {SQL['masks']}, k AS (SELECT sample_id, max(c) + 1 AS most FROM masks GROUP BY ALL)
@@ -344,18 +348,19 @@ def rpt3(spark, sf):
     return outcomes.overall_status(outcomes.metric_summary(fx.outcomes(spark, sf)))
 
 
-@query("VIS4", """WITH t AS (SELECT user_id, CASE WHEN event_id % 97 = 0 THEN 'failed' WHEN event_id % 3 = 0 THEN 'skipped' WHEN event_id % 89 = 0 THEN 'partial' ELSE 'success' END AS s FROM events WHERE event_id % 13 < 2)
+@query("VIS4", """WITH t AS (SELECT user_id, CASE WHEN event_id % 97 = 0 THEN 'failed' WHEN event_id % 3 = 0 THEN 'skipped' WHEN event_id % 89 = 0 THEN 'partial' ELSE 'success' END AS s FROM events)
     SELECT CAST(user_id AS VARCHAR) AS target, CASE WHEN bool_or(s = 'failed') THEN 'failed' WHEN bool_or(s = 'partial') OR (bool_or(s = 'success') AND bool_or(s = 'skipped')) THEN 'partial' WHEN bool_or(s = 'success') THEN 'success' ELSE 'skipped' END AS status FROM t GROUP BY user_id""")
 def vis4(spark, sf):
     s = F.when(F.col("event_id") % 97 == 0, "failed").when(F.col("event_id") % 3 == 0, "skipped").when(F.col("event_id") % 89 == 0, "partial").otherwise("success")
-    return outcomes.target_status(fx.table(spark, sf, "events").where("event_id % 13 < 2").select(F.col("user_id").cast("string").alias("target"), s.alias("status")))
+    return outcomes.target_status(fx.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("target"), s.alias("status")))
 
 
-@query("VIS2", """WITH s AS (SELECT c_custkey, v, CASE WHEN v = 0 THEN 2 ELSE 4 END AS h, CASE WHEN v = 0 THEN 3 ELSE 3 END AS w FROM customer, (SELECT unnest(range(0, 6)) AS v) WHERE c_custkey % 5 = 0 AND c_custkey % 10 <> 5),
+@query("VIS2", """WITH s AS (SELECT c_custkey, v, CASE WHEN v = 0 THEN 2 ELSE 4 END AS h, CASE WHEN v = 0 THEN 3 ELSE 3 END AS w FROM customer, (SELECT unnest(range(0, 6)) AS v) WHERE c_custkey % 10 <> 5),
     g AS (SELECT c_custkey, v, h, ty, tx FROM s, (SELECT unnest(range(0, 2)) AS ty), (SELECT unnest(range(0, 3)) AS tx))
     SELECT CAST(c_custkey AS VARCHAR) AS sample_id, CAST((v // 3) * 2 + ty AS INTEGER) AS y, CAST((v % 3) * 3 + tx AS INTEGER) AS x, CAST(v * 100 + floor((ty + 0.5) * h / 2.0) * 10 + tx AS INTEGER) AS value FROM g""")
 def vis2(spark, sf):
-    c = fx.table(spark, sf, "customer").where("c_custkey % 5 = 0").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("v")).where("NOT (c_custkey % 10 = 5 AND v = 4)")
+    """Every tenth customer lacks a view, so that it gets no mosaic."""
+    c = fx.table(spark, sf, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("v")).where("NOT (c_custkey % 10 = 5 AND v = 4)")
     h = F.when(F.col("v") == 0, 2).otherwise(4)
     t = c.withColumn("h", h).withColumn("w", F.lit(3)).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(2))))
     t = t.select(F.col("c_custkey").cast("string").alias("sample_id"), F.expr(fx.VIEW_CASE).alias("view"), "h", "w", "y", "x", (F.col("v") * 100 + F.col("y") * 10 + F.col("x")).alias("value"))

@@ -17,7 +17,8 @@ CAMERA_PAIRS = (
     ("camera_rear_right", "camera_rear", "left", "right"),
 )
 TRACK = "object_id string, category string, boxes array<struct<frame_index:int,bbox:array<double>>>, attributes map<string,string>"
-SAMPLE = f"sample_id string, generated_video string, reference_video string, prompt string, objects array<struct<{TRACK.replace(' string', ':string').replace(' array', ':array').replace(' map', ':map')}>>, metadata variant"
+TRACKS = TRACK.replace(" string", ":string").replace(" array", ":array").replace(" map", ":map")
+SAMPLE = f"sample_id string, generated_video string, reference_video string, prompt string, objects array<struct<{TRACKS}>>, metadata variant"
 OUTCOME = "metric string, sample_id string, score double, status string, reason string"
 
 
