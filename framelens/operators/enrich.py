@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,44 @@ def enriched(samples: DataFrame, patches: DataFrame) -> DataFrame:
     return out.withColumn("metadata", merge_metadata(F.coalesce("metadata", F.create_map().cast("map<string,string>")), folded)).drop("g")
 
 
+def merged_json(metadata: str | None, patches: list[dict]) -> str:
+    """Metadata with patches folded in: a value that is JSON is that, any other text; an object joins an object."""
+    merged = json.loads(metadata) if metadata else {}
+    for patch in patches:
+        for key, text in patch.items():
+            try:
+                value = json.loads(text)
+            except (TypeError, ValueError):
+                value = text
+            merged[key] = {**merged[key], **value} if isinstance(value, dict) and isinstance(merged.get(key), dict) else value
+    return json.dumps(merged, ensure_ascii=False)
+
+
+def guarded(patches: DataFrame) -> DataFrame:
+    """Patches of which those with a protected key are errors of their generator."""
+    bad = F.col("error").isNull() & F.coalesce(F.map_contains_key("patch", PROTECTED), F.lit(False))
+    return patches.withColumn("error", F.when(bad, f"ValueError: Reference generators must not overwrite protected metadata key: {PROTECTED}").otherwise(F.col("error")))
+
+
+def enriched_metadata(samples: DataFrame, patches: DataFrame) -> DataFrame:
+    """``samples`` with their VARIANT ``metadata`` enriched: good patches apply by rank, objects join key by key."""
+    good = F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("rank", F.to_json("patch").alias("patch")))))
+    per = patches.groupBy("sample_id").agg(F.transform(good, lambda x: x["patch"]).alias("_patches"))
+
+    def fold(metadata: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series([merged_json(m, [json.loads(x) for x in p]) for m, p in zip(metadata, found)])
+
+    out = samples.join(per, "sample_id", "left")
+    folded = F.parse_json(F.pandas_udf(fold, "string")(F.to_json("metadata"), F.coalesce("_patches", F.array().cast("array<string>"))))
+    return out.withColumn("metadata", F.when(F.size("_patches") > 0, folded).otherwise(F.col("metadata"))).drop("_patches")
+
+
+def failed_samples(patches: DataFrame) -> DataFrame:
+    """sample_id, errors (generator, reason) of samples of which a generator failed."""
+    errors = F.array_sort(F.collect_list(F.struct("rank", "generator", F.col("error").alias("reason"))))
+    return patches.where("error IS NOT NULL").groupBy("sample_id").agg(F.transform(errors, lambda e: F.struct(e["generator"].alias("generator"), e["reason"].alias("reason"))).alias("errors"))
+
+
 def generator_summary(patches: DataFrame) -> DataFrame:
     """generator, prepared, failed, coverage_ratio (six digits)."""
     out = patches.groupBy("generator").agg(F.count_if(F.col("error").isNull()).alias("prepared"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.count("*").alias("n"))

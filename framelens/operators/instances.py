@@ -108,24 +108,30 @@ def tracks_union(*sources: DataFrame) -> DataFrame:
     return out
 
 
-def merged_tracks(tracks: DataFrame, keys=("sample_id", "view")) -> DataFrame:
+def merged_tracks(tracks: DataFrame, keys=("sample_id", "view"), extra=(), falsy_ids=("", "0")) -> DataFrame:
     """One row a track: the first source wins unless empty, boxes are joined, attributes' last wins.
 
-    ``tracks``: keys, source_rank, position, object_id, category, boxes, attributes.  Blank and zero
-    ids become track_0, track_1, ... in source order, which can meet a real id.  Tracks without boxes,
-    class scores and identities are dropped by the caller's has_signal.
+    ``tracks``: keys, source_rank, position, object_id, category, boxes, attributes, and ``extra``
+    fields of JSON text, of which the first that isn't empty stays.  Blank and zero ids become
+    track_0, track_1, ... in source order, which can meet a real id.  Tracks without boxes, class
+    scores and identities are dropped by the caller's has_signal.
     """
     order = ["source_rank", "position"]
-    falsy = F.coalesce(F.col("object_id").isin("", "0"), F.lit(True))
+    falsy = F.coalesce(F.col("object_id").isin(*falsy_ids), F.lit(True))
     w = Window.partitionBy(*keys, falsy).orderBy(*order)
     rows = tracks.withColumn("object_id", F.when(falsy, F.concat(F.lit("track_"), (F.row_number().over(w) - 1).cast("string"))).otherwise(F.col("object_id")))
-    held = F.array_sort(F.collect_list(F.struct(*order, "category", "boxes", F.map_entries("attributes").alias("attributes"))))
+    held = F.array_sort(F.collect_list(F.struct(*order, "category", "boxes", F.map_entries("attributes").alias("attributes"), *extra)))
     rows = rows.groupBy(*keys, "object_id").agg(held.alias("h"))
     first = F.filter("h", lambda x: x["category"].isNotNull())
     entries = F.flatten(F.transform(F.filter("h", lambda x: x["attributes"].isNotNull()), lambda x: x["attributes"]))
     names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
     last = F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
-    return rows.select(*keys, "object_id", F.try_element_at(first, F.lit(1))["category"].alias("category"), F.flatten(F.transform("h", lambda x: F.coalesce(x["boxes"], F.array().cast(tracks.schema["boxes"].dataType)))).alias("boxes"), last.alias("attributes"))
+    return rows.select(*keys, "object_id", F.try_element_at(first, F.lit(1))["category"].alias("category"), F.flatten(F.transform("h", lambda x: F.coalesce(x["boxes"], F.array().cast(tracks.schema["boxes"].dataType)))).alias("boxes"), last.alias("attributes"), *(_first_given(f).alias(f) for f in extra))
+
+
+def _first_given(field: str):
+    """Of the collected rows the first value that isn't null or an empty list or object."""
+    return F.try_element_at(F.filter("h", lambda x: ~x[field].isin("null", "[]", "{}")), F.lit(1))[field]
 
 
 def with_side_maps(tracks: DataFrame, sides: DataFrame, keys=TRACK_KEYS) -> DataFrame:
@@ -137,6 +143,12 @@ def has_signal(boxes: str = "boxes", scores: str = "class_scores", identities: s
     return (F.coalesce(F.size(boxes), F.lit(0)) > 0) | (F.coalesce(F.size(scores), F.lit(0)) > 0) | (F.coalesce(F.size(identities), F.lit(0)) > 0)
 
 
+def scored_tracks(labels: DataFrame, boxes: DataFrame, config: dict | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """Track scores of ready tables of labels with confidences, and boxes, with the configured weights."""
+    weights = {k: float((config or {}).get(f"{k}_weight", w)) for k, w in WEIGHTS.items()}
+    return fused(label_stability(labels), confidence_stability(labels), geometry_coherence(usable_boxes(boxes), frames=frames), weights=weights)
+
+
 def evaluate(samples: DataFrame, track_scores: DataFrame) -> DataFrame:
     """Track -> view -> sample, unweighted."""
     from framelens.operators.sequences import nested_mean

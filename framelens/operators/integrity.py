@@ -25,11 +25,13 @@ def consistent(values: str, expected: int, tolerance: float):
     return (F.size(ok) == expected) & F.coalesce(F.array_max(F.transform(ok, lambda v: F.abs(v - median) / median)) <= tolerance, F.lit(False))
 
 
-def sample_checks(samples: DataFrame, inventory: DataFrame, names=VIEWS, tolerance: float = 0.05) -> DataFrame:
+def sample_checks(samples: DataFrame, inventory: DataFrame, names=VIEWS, tolerance: float | dict[str, float] = 0.05) -> DataFrame:
     """sample_id, one boolean a check, failed_checks (in order), valid.
 
     ``inventory``: sample_id, view, readable, frame_count, fps, duration, width, height.
+    ``tolerance`` is one for all, or by frame_count, fps and duration.
     """
+    allowed = lambda c: tolerance.get(c, 0.05) if isinstance(tolerance, dict) else tolerance
     n = len(names)
     value = lambda c: F.collect_list(F.col(c).cast("double"))  # noqa: E731  at most one a view
     size = F.when(positive(F.col("width").cast("double")) & positive(F.col("height").cast("double")), F.struct("width", "height"))
@@ -39,7 +41,7 @@ def sample_checks(samples: DataFrame, inventory: DataFrame, names=VIEWS, toleran
         ((F.count(size) == n) & (F.min(size) == F.max(size))).alias("resolution_consistency"),
     )
     for check, of in (("frame_count_consistency", "frame_counts"), ("fps_consistency", "fpss"), ("duration_consistency", "durations")):
-        rows = rows.withColumn(check, consistent(of, n, tolerance))
+        rows = rows.withColumn(check, consistent(of, n, allowed(of[:-1])))
     failed = F.filter(F.array(*[F.when(~F.col(c), c) for c in CHECKS]), lambda c: c.isNotNull())
     return rows.select("sample_id", *CHECKS, failed.alias("failed_checks")).withColumn("valid", F.size("failed_checks") == 0)
 
@@ -50,7 +52,7 @@ def summary(checks: DataFrame) -> DataFrame:
     return out.select("*", F.when(F.col("num_samples") > 0, F.col("valid_sample_count") / F.col("num_samples")).alias("pass_rate"), F.when(F.col("num_samples") > 0, "success").otherwise("skipped").alias("status"))
 
 
-def evaluate(samples: DataFrame, inventory: DataFrame, names=VIEWS, tolerance: float = 0.05) -> DataFrame:
+def evaluate(samples: DataFrame, inventory: DataFrame, names=VIEWS, tolerance: float | dict[str, float] = 0.05) -> DataFrame:
     out = sample_checks(samples, inventory, names, tolerance)
     reason = F.when(~F.col("valid"), F.concat(F.lit("failed checks: "), F.array_join("failed_checks", ", ")))
     return out.select(F.lit("video_integrity").alias("metric"), "sample_id", F.col("valid").cast("double").alias("score"), F.lit("success").alias("status"), reason.alias("reason"))

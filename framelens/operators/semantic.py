@@ -148,7 +148,7 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 class Frame:
     """What the pairs of a frame need of it, found once: components with class and area, interior, class shares."""
 
-    def __init__(self, mask: np.ndarray, classes: int, ignore: int = IGNORE, up: int = 1, left: int = 1):
+    def __init__(self, mask: np.ndarray, classes: int, ignore: int = IGNORE, erosion: int = 2, offset: int | None = None):
         self.mask, self.valid = mask, (mask != ignore) & (mask >= 0) & (mask < classes)
         self.labels = components(np.where(self.valid, mask, -1)).ravel()
         n = int(self.labels.max(initial=0))
@@ -156,8 +156,13 @@ class Frame:
         self.classes = np.zeros(n, np.int64)
         self.classes[self.labels[self.labels > 0] - 1] = mask.ravel()[self.labels > 0]
         h, w = mask.shape
-        wide = np.pad(mask, ((up, 0), (left, 0)), mode="edge")
-        self.inside = self.valid & (wide[up:, :w] == mask) & (wide[:h, left:] == mask) & (wide[:h, :w] == mask)
+        # a square footprint, of which ``offset`` rows and columns lie before the pixel; the border repeats
+        before = erosion // 2 if offset is None else offset
+        wide = np.pad(mask, ((before, erosion - 1 - before),) * 2, mode="edge")
+        self.inside = self.valid.copy()
+        for y in range(erosion):
+            for x in range(erosion):
+                self.inside &= wide[y : y + h, x : x + w] == mask
         counts = np.bincount(mask[self.valid], minlength=classes)[:classes].astype(float)
         self.shares = (counts + 1e-8) / (counts.sum() + 1e-8 * classes) if counts.sum() else None
 
@@ -189,7 +194,7 @@ class Frame:
         return float(0.5 * (p * np.log(p / m)).sum() + 0.5 * (q * np.log(q / m)).sum())
 
 
-def frame_terms(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE, min_iou: float = 0.1, up: int = 1, left: int = 1) -> DataFrame:
+def frame_terms(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE, min_iou: float = 0.1, erosion: int = 2, offset: int | None = None) -> DataFrame:
     """keys, t, flips, matched, area, js of every frame with the one before; a term that has no pixels is null."""
     w = Window.partitionBy(*keys).orderBy("t")
     pairs = masks.withColumn("_m", F.lag("mask").over(w)).where("_m IS NOT NULL")
@@ -200,8 +205,8 @@ def frame_terms(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNO
         for x, y, n, k in zip(before, after, width, classes):
             x, y = (np.asarray(m, np.int64).reshape(-1, n) for m in (x, y))
             # a frame is mostly the second of one pair and the first of the next
-            one = last[1] if last and last[0] == k and last[1].mask.shape == x.shape and (last[1].mask == x).all() else Frame(x, int(k), ignore, up, left)
-            two = Frame(y, int(k), ignore, up, left)
+            one = last[1] if last and last[0] == k and last[1].mask.shape == x.shape and (last[1].mask == x).all() else Frame(x, int(k), ignore, erosion, offset)
+            two = Frame(y, int(k), ignore, erosion, offset)
             last = k, two
             rows.append((one.flips(two), *one.matched(two, min_iou), one.shift(two)))
         return pd.DataFrame(rows, columns=["flips", "matched", "area", "js"], dtype=object).astype({"matched": float, "area": float})
@@ -209,13 +214,13 @@ def frame_terms(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNO
     return pairs.select(*keys, "t", terms("_m", "mask", "w", "num_classes").alias("x")).select(*keys, "t", "x.*")
 
 
-def clip_scores(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE, min_iou: float = 0.1, weights: Sequence[float] = (0.5, 0.4, 0.1)) -> DataFrame:
+def clip_scores(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE, min_iou: float = 0.1, weights: Sequence[float] = (0.5, 0.4, 0.1), erosion: int = 2) -> DataFrame:
     """keys, lfr, sac, cds, score of packed masks, all in one pass; a part without pairs is 1.
 
     lfr: 1 - mean flipped share.  sac: matched IoU weighted by area, where new components don't count.
     cds: 1 - mean divergence.  score: their weighted sum.
     """
-    terms = frame_terms(masks, keys, ignore, min_iou).groupBy(*keys).agg(F.avg("flips").alias("flips"), F.sum("matched").alias("matched"), F.sum("area").alias("area"), F.avg("js").alias("js"))
+    terms = frame_terms(masks, keys, ignore, min_iou, erosion).groupBy(*keys).agg(F.avg("flips").alias("flips"), F.sum("matched").alias("matched"), F.sum("area").alias("area"), F.avg("js").alias("js"))
     out = masks.select(*keys).distinct().join(terms, list(keys), "left")
     one = lambda c: F.coalesce(clamp01(c), F.lit(1.0))
     out = out.select(*keys, one(1 - F.col("flips")).alias("lfr"), F.when(F.col("area") > 0, clamp01(F.col("matched") / (F.col("area") + 1e-8))).otherwise(1.0).alias("sac"), one(1 - F.col("js")).alias("cds"))

@@ -15,7 +15,7 @@ from framelens.functions.numeric import clamp01, dot, finite, minus, norm, unit
 EPS = 1e-8
 
 
-def sequence_scores(features: DataFrame, keys: Sequence[str], order: Sequence[str], vector: str, normalize: bool = True, strict: bool = True) -> DataFrame:
+def sequence_scores(features: DataFrame, keys: Sequence[str], order: Sequence[str], vector: str, normalize: bool = True, strict: bool = True, eps: float = EPS) -> DataFrame:
     """keys, n_frames, acm, tji, score of every sequence.
 
     acm: mean adjacent cosine, clipped to [0, 1].  tji: mean of |second difference| over the mean of
@@ -24,11 +24,11 @@ def sequence_scores(features: DataFrame, keys: Sequence[str], order: Sequence[st
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     rows = features.withColumn("_ok", F.coalesce(F.forall(F.col(vector), finite), F.lit(False)))
-    rows = rows.withColumn("_u", unit(F.col(vector)) if normalize else F.col(vector))
+    rows = rows.withColumn("_u", unit(F.col(vector), eps) if normalize else F.col(vector))
     rows = rows.select(*keys, *[c for c in order if c not in keys], "_ok", "_u", F.lag("_u", 1).over(w).alias("_p"), F.lag("_u", 2).over(w).alias("_q"))
     second = F.zip_with(minus(F.col("_u"), F.col("_p")), minus(F.col("_p"), F.col("_q")), lambda a, b: a - b)
     rows = rows.select(*keys, *[c for c in order if c not in keys], "_ok", clamp01(dot(F.col("_u"), F.col("_p"))).alias("_cos"), norm(minus(F.col("_u"), F.col("_p"))).alias("_vel"), F.when(F.col("_q").isNotNull(), norm(second)).alias("_acc"))
-    rows = rows.withColumn("_jit", F.col("_acc") / (0.5 * (F.col("_vel") + F.lag("_vel").over(w)) + EPS))
+    rows = rows.withColumn("_jit", F.col("_acc") / (0.5 * (F.col("_vel") + F.lag("_vel").over(w)) + eps))
     out = rows.groupBy(*keys).agg(F.count("*").alias("n_frames"), F.bool_and("_ok").alias("_ok"), F.avg("_cos").alias("acm"), F.coalesce(F.avg("_jit"), F.lit(0.0)).alias("tji"))
     found = {"acm": F.col("acm"), "tji": F.col("tji"), "score": clamp01(F.col("acm") / (1 + F.col("tji")))}
     held = lambda c: F.when(F.col("n_frames") >= 2, F.when(F.col("_ok"), c).otherwise(None if strict else 0.0))

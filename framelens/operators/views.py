@@ -27,9 +27,9 @@ def pair_videos(paths: DataFrame) -> DataFrame:
     return one.join(paths.select("sample_id", F.col("view").alias("cam_b"), F.col("path").alias("path_b")), ["sample_id", "cam_b"])
 
 
-def evaluate(samples: DataFrame, matches: DataFrame) -> DataFrame:
+def evaluate(samples: DataFrame, matches: DataFrame, reference_count: int = 50) -> DataFrame:
     """The mean of all six pairs; a sample of which any pair can't be scored is skipped."""
     pairs = camera_pairs(samples.sparkSession).select("cam_a", "cam_b")
-    per = pair_scores(frame_scores(matches)).join(pairs, ["cam_a", "cam_b"]).groupBy("sample_id").agg(F.avg("score").alias("mean"), F.count("score").alias("n"))
+    per = pair_scores(frame_scores(matches, reference_count)).join(pairs, ["cam_a", "cam_b"]).groupBy("sample_id").agg(F.avg("score").alias("mean"), F.count("score").alias("n"))
     out = samples.select("sample_id").join(per, "sample_id", "left").withColumn("ok", F.coalesce(F.col("n") == 6, F.lit(False)))
     return out.select(F.lit("view_consistency").alias("metric"), "sample_id", F.when(F.col("ok"), F.col("mean")).alias("score"), F.when(F.col("ok"), "success").otherwise("skipped").alias("status"), F.when(~F.col("ok"), "some camera pair could not be scored").alias("reason"))

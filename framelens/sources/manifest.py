@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.schema import VIEWS
+from framelens.sources.sinks import exists
 
 #: Keys that can hold the list of an index, in the order of trial.
 CONTAINERS = ("samples", "data", "items", "records", "infos", "entries")
 
 
+#: Fixed value: what a manifest must be.
+SHAPE = "Data JSON must be a top-level list or an object containing a 'samples' list."
+
+
 def kind(value: Column) -> Column:
     """The type of a VARIANT: VOID for a JSON null, null where there is none."""
     return F.schema_of_variant(value)
@@ -28,12 +33,19 @@ def read_payload(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("payload"))
 
 
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(index, record) of a manifest: a JSON file, or a folder of Parquet with index and JSON text."""
+    if path.endswith("/"):
+        return spark.read.parquet(path).select("index", F.parse_json("record").alias("record"))
+    return records(read_payload(spark, path)).select("index", "record")
+
+
 def records(payloads: DataFrame) -> DataFrame:
     """(index, record) of a list or of an object with a list of samples; anything else raises."""
     top = kind(F.col("payload"))
     inner = kind(at(F.col("payload"), "$.samples"))
     rows = F.when(top.startswith("ARRAY"), F.try_variant_get("payload", "$", "array<variant>")).when(inner.startswith("ARRAY"), F.try_variant_get("payload", "$.samples", "array<variant>"))
-    rows = F.coalesce(rows, F.raise_error(F.lit("Data JSON must be a top-level list or an object containing a 'samples' list.")).cast("array<variant>"))
+    rows = F.coalesce(rows, F.raise_error(F.lit(SHAPE)).cast("array<variant>"))
     keep = [c for c in payloads.columns if c != "payload"]
     return payloads.select(*keep, F.posexplode(rows).alias("index", "record"))
 
@@ -73,7 +85,7 @@ def record_id(record: Column) -> Column:
 
 
 def reasons(record: Column, expected=VIEWS) -> Column:
-    """Why a record is invalid, in order and without repeats; empty for a valid one."""
+    """Why a record is invalid, in order and without repeats; empty for a valid one. The texts are fixed values, by which results are compared."""
     cams, meta = at(record, "$.metadata.camera_videos"), at(record, "$.metadata")
     paths = F.try_variant_get(cams, "$", "map<string,variant>")
     blank_id = F.when(record_id(record) == "", "sample_id is required and must be non-empty")
@@ -109,6 +121,25 @@ def inspection(rows: DataFrame, expected=VIEWS) -> DataFrame:
     return seen.agg(F.count("*").alias("num_samples"), F.count_if("valid").alias("num_valid"), F.count_if(~F.col("valid")).alias("num_invalid"))
 
 
+def inspect_file(spark: SparkSession, path: str, name: str = "", expected=VIEWS) -> tuple[dict, DataFrame | None]:
+    """The inspection of a manifest file: a report without its list, and the invalid records (None if there are none to read).
+
+    A file that is missing, not JSON or of another shape gives a report with an error.
+    """
+    report = {"dataset_name": name, "data_file": path, "camera_videos_key": "camera_videos", "expected_camera_views": list(expected), "file_exists": exists(path), "samples_format_valid": False, "num_samples": 0, "num_valid_samples": 0, "num_invalid_samples": 0, "check_paths": False}
+    if not report["file_exists"]:
+        return report | {"error": f"Data file does not exist: {path}"}, None
+    payload = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("payload"))
+    top = kind(F.col("payload"))
+    fits = top.startswith("ARRAY") | F.coalesce(kind(at(F.col("payload"), "$.samples")).startswith("ARRAY"), F.lit(False))
+    found = payload.agg(F.bool_and(F.col("payload").isNotNull()).alias("json"), F.bool_and(F.coalesce(fits, F.lit(False))).alias("fits")).first()
+    if not found.fits:
+        return report | {"error": "ValueError: " + (SHAPE if found.json else f"{path} is no JSON")}, None
+    rows = records(payload)
+    counts = inspection(rows, expected).first()
+    return report | {"samples_format_valid": True, "num_samples": counts.num_samples, "num_valid_samples": counts.num_valid, "num_invalid_samples": counts.num_invalid}, invalid_records(rows, expected)
+
+
 def invalid_records(rows: DataFrame, expected=VIEWS) -> DataFrame:
     return inspected(rows, expected).where(~F.col("valid")).select("index", "sample_id", "reasons")
 
@@ -131,6 +162,19 @@ def normalized(rows: DataFrame, expected=VIEWS) -> DataFrame:
     return valid.select("sample_id", text_of(at(r, "$.generated_video")).alias("generated_video"), text_of(at(r, "$.reference_video")).alias("reference_video"), F.coalesce(text_of(at(r, "$.prompt")), F.lit("")).alias("prompt"), track.alias("objects"), at(r, "$.metadata").alias("metadata"), cams.alias("camera_videos"))
 
 
+def metadata_of(rows: DataFrame, expected=VIEWS) -> DataFrame:
+    """(index, sample_id, metadata) of the valid records."""
+    return inspected(rows, expected).where("valid").select("index", "sample_id", at(F.col("record"), "$.metadata").alias("metadata"))
+
+
+def with_metadata(rows: DataFrame, enriched: DataFrame) -> DataFrame:
+    """(index, record as JSON text): records with the metadata of ``enriched`` (index, metadata), where there is one."""
+    seen = rows.select("index", "record").join(enriched.select("index", F.col("metadata").alias("_m")), "index", "left")
+    fields = F.try_variant_get("record", "$", "map<string,variant>")
+    new = F.map_concat(F.map_filter(fields, lambda k, v: k != "metadata"), F.create_map(F.lit("metadata"), F.col("_m")))
+    return seen.select("index", F.when(F.col("_m").isNotNull(), F.to_json(F.to_variant_object(new))).otherwise(F.to_json("record")).alias("record"))
+
+
 def view_paths(samples: DataFrame) -> DataFrame:
     """(sample_id, view, path) of normalised samples."""
     return samples.select("sample_id", F.explode("camera_videos").alias("view", "path"))

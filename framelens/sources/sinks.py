@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import json
 import re
+from collections.abc import Iterable
 from pathlib import Path
 
 import numpy as np
@@ -15,27 +17,72 @@ from pyspark.sql import functions as F
 LAYOUT = ("logs", "metrics", "summaries", "failed_samples", "references/depth", "references/semantic", "references/tracks", "visualizations/depth", "visualizations/semantic", "visualizations/match")
 
 
-def make_layout(root: str) -> dict[str, Path]:
-    paths = {name: Path(root) / name for name in LAYOUT}
+def make_layout(root: str) -> dict[str, str]:
+    """The folders of a run, made if they are missing; a root with a scheme goes through Spark's file systems."""
+    paths = {name: f"{root.rstrip('/')}/{name}" for name in LAYOUT}
     for p in paths.values():
-        p.mkdir(parents=True, exist_ok=True)
+        if is_remote(root):
+            target, fs = _remote(p)
+            fs.mkdirs(target)
+        else:
+            Path(p).mkdir(parents=True, exist_ok=True)
     return paths
 
 
-def write_report(path: str, value) -> None:
-    """Indented, non-ASCII kept, with a newline at the end; a path with a scheme goes through Spark's file systems."""
-    text = json.dumps(value, ensure_ascii=False, indent=2, default=str) + "\n"
-    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path):
-        spark = SparkSession.active()
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-        try:
-            stream.write(bytearray(text.encode("utf-8")))
-        finally:
-            stream.close()
+def is_remote(path: str) -> bool:
+    return bool(re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path))
+
+
+def _remote(path: str):
+    spark = SparkSession.active()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(path: str) -> bool:
+    if not is_remote(path):
+        return Path(path).exists()
+    target, fs = _remote(path)
+    return fs.exists(target)
+
+
+@contextlib.contextmanager
+def open_text(path: str):
+    """A function that appends text to a new file; a path with a scheme goes through Spark's file systems."""
+    if not is_remote(path):
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        with Path(path).open("w", encoding="utf-8", newline="") as file:
+            yield file.write
         return
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")
+    target, fs = _remote(path)
+    stream = fs.create(target, True)
+    try:
+        yield lambda text: stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def _json(value, indent: int = 0) -> str:
+    return json.dumps(value, ensure_ascii=False, indent=2, default=str).replace("\n", "\n" + " " * indent)
+
+
+def write_report(path: str, value) -> None:
+    """Indented, non-ASCII kept, with a newline at the end."""
+    with open_text(path) as write:
+        write(_json(value) + "\n")
+
+
+def write_rows(path: str, head: dict | None, field: str, rows: Iterable) -> None:
+    """A report with a list that is written row by row: under ``field`` after ``head``, or the list alone."""
+    deep = 2 if head is not None else 0
+    with open_text(path) as write:
+        if head is not None:
+            write("{\n" + "".join(f"  {_json(k)}: {_json(v, 2)},\n" for k, v in head.items()) + f"  {_json(field)}: ")
+        count = 0
+        for row in rows:
+            write(("[" if not count else ",") + "\n" + " " * (deep + 2) + _json(row, deep + 2))
+            count += 1
+        write(("\n" + " " * deep + "]" if count else "[]") + ("\n}\n" if head is not None else "\n"))
 
 
 def one_row(df: DataFrame) -> dict:
@@ -49,23 +96,39 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", by=()) -> None:
 
 
 def enveloped(samples: DataFrame, envelope: dict | None, path: str) -> None:
-    """A manifest of one file: a list, or the envelope with the samples in it. For reports, not for tables."""
-    rows = [json.loads(r[0]) for r in samples.select(F.to_json(F.struct("*"))).toLocalIterator()]
-    write_report(path, rows if envelope is None else {**envelope, "samples": rows})
+    """A manifest of one file: a list, or the envelope with the samples in it; the driver holds a partition at a time."""
+    rows = (json.loads(r[0]) for r in samples.select(F.to_json(F.struct("*"))).toLocalIterator())
+    write_rows(path, None if envelope is None else {k: v for k, v in envelope.items() if k != "samples"}, "samples", rows)
 
 
-def metrics_report(summary: DataFrame, outcomes: DataFrame, path: str) -> None:
-    """The envelope of all metrics; the outcomes are written as a table beside it."""
-    write_table(outcomes, f"{path}.outcomes", by=("metric",))
-    write_report(path, {"metrics": {r.metric: r.asDict() for r in summary.collect()}, "outcomes": f"{path}.outcomes"})
+def metric_results(summary: DataFrame) -> dict[str, dict]:
+    """By metric its status, counts and mean, and the reason where it has none."""
+    out = {}
+    for r in summary.collect():
+        row = {"metric": r.metric, "status": r.status, "num_samples": r.num_samples, "valid_sample_count": r.evaluated_count, "skipped_sample_count": r.skipped_count, "failed_sample_count": r.failed_count, f"mean_{r.metric}_score": r.mean_score}
+        reason = getattr(r, "reason", None) or (None if r.mean_score is not None else f"No sample produced a valid {r.metric}_score.")
+        out[r.metric] = row if reason is None else {**row, "reason": reason}
+    return out
 
 
-def summary_reports(summary: DataFrame, failed: DataFrame, folder: str) -> None:
-    """summary.json with scalar columns, and the failed and skipped samples as JSON lines."""
-    rows = summary.collect()
-    body = {r.metric: {k: v for k, v in r.asDict().items() if k not in ("metric", "status")} for r in rows}
-    write_report(f"{folder}/summary.json", body | {"_failed_metrics": sorted(r.metric for r in rows if r.status == "failed")})
+def metrics_report(summary: DataFrame, outcomes: DataFrame, path: str, context: dict | None = None) -> None:
+    """The envelope of all metrics: the run's context and the results; the outcomes are a table beside it."""
+    write_table(outcomes, f"{path}.outcomes", by=("metric",))
+    results = metric_results(summary)
+    counts = {"num_samples": max((r["num_samples"] for r in results.values()), default=0)}
+    write_report(path, counts | (context or {}) | {"results": results, "details": f"{path}.outcomes"})
+
+
+def summary_reports(summary: DataFrame, failed: DataFrame, folder: str, context: dict | None = None) -> None:
+    """summary.json: the context and each metric's status and scalars, with those that failed once more; failed_samples.json: what was skipped or failed."""
+    results = metric_results(summary)
+    body = {m: {k: v for k, v in r.items() if k != "metric"} for m, r in results.items()}
+    counts = {"num_samples": max((r["num_samples"] for r in results.values()), default=0)}
+    head = counts | (context or {})
+    write_report(f"{folder}/summary.json", head | {"summary": body | {"_failed_metrics": {m: r for m, r in body.items() if r["status"] == "failed"}}})
     write_table(failed, f"{folder}/failed_samples", "json")
+    rows = (r.asDict() for r in failed.orderBy("metric", "status", "sample_id").toLocalIterator())
+    write_rows(f"{folder}/failed_samples.json", head, "failed_samples", rows)
 
 
 def write_tensors(frames: DataFrame, folder: str, keys=("generator", "sample_id", "view")) -> DataFrame:

@@ -176,8 +176,8 @@ def test_plans(spark, manifest_path, tmp_path, monkeypatch):
     config = {"stage": "all", "metrics": {"temporal_consistency": {"enabled": True}}, "generators": {"flag": {}}}
     assert runner.run(spark, manifest_path, {"features": features}, config, str(tmp_path / "out")) == "success"
     report = json.loads((tmp_path / "out/summary.json").read_text())
-    assert report["temporal_consistency"]["evaluated_count"] == 1 and report["temporal_consistency"]["skipped_count"] == 1 and report["_failed_metrics"] == []
-    assert json.loads((tmp_path / "out/data_inspection.json").read_text())["num_valid"] == 2 and json.loads((tmp_path / "out/reference_summary.json").read_text())[0]["prepared"] == 2
+    assert report["summary"]["temporal_consistency"]["valid_sample_count"] == 1 and report["summary"]["temporal_consistency"]["skipped_sample_count"] == 1 and report["summary"]["_failed_metrics"] == {}
+    assert json.loads((tmp_path / "out/data_inspection.json").read_text())["num_valid_samples"] == 2 and json.loads((tmp_path / "out/reference_summary.json").read_text())["generator_summary"] == {"flag": {"prepared": 2, "failed": 0, "coverage_ratio": 1.0}}
     assert "status: success" in (tmp_path / "out/logs/run.log").read_text()
     assert runner.manifest_to_use("raw.json", str(tmp_path / "none.json")) == "raw.json" and runner.manifest_to_use("raw.json", manifest_path) == manifest_path
     assert (tmp_path / "out/metrics.json").read_text().endswith("}\n")
