@@ -37,7 +37,7 @@ TRAINER, TRAINERS = 1 << 22, 4096
 ROUNDS, BATCH, NOISE, MIXED = 6, 512, 64, 1 << 17
 #: Rows that the copies of a text make at most; each stands for its share of them.
 _COPIES = 1024
-_SCORE_ROWS = 1 << 14
+_SCORE_ROWS = 1 << 12
 
 
 def held_out(name: str = "doc_id"):
@@ -208,19 +208,24 @@ class Parameters:
 def log_probabilities(tables, target: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Normalised natural log-probabilities of the targets."""
     scaled, q, b = tables
+    biased, ones = np.vstack([q, b[None]]), np.ones(len(b), np.float32)
     out = np.empty(len(target))
+    hat = np.ones((_SCORE_ROWS, len(biased)), np.float32)
     for lo in range(0, len(target), _SCORE_ROWS):
         t, c = target[lo : lo + _SCORE_ROWS], before[lo : lo + _SCORE_ROWS]
-        hat = scaled[0][c[:, 0]]
+        part = hat[: len(t)]
+        part[:, :-1] = scaled[0][c[:, 0]]
         for k in range(1, len(scaled)):
-            hat = hat + scaled[k][c[:, k]]
-        logits = hat @ q
-        logits += b
-        own = logits[np.arange(len(t)), t]
-        top = logits.max(axis=1)
-        logits -= top[:, None]
-        np.exp(logits, out=logits)
-        out[lo : lo + _SCORE_ROWS] = own - top - np.log(logits.sum(axis=1, dtype=np.float64))
+            part[:, :-1] += scaled[k][c[:, k]]
+        logits = part @ biased
+        own = logits[np.arange(len(t)), t].astype(float)
+        top = 0.0
+        with np.errstate(over="ignore"):
+            total = np.exp(logits) @ ones
+        if not (np.isfinite(total) & (total > 1e-30)).all():  # out of the range of floats without a shift
+            top = logits.max(axis=1)
+            total = np.exp(logits - top[:, None]) @ ones
+        out[lo : lo + _SCORE_ROWS] = own - top - np.log(total.astype(float))
     return out
 
 
