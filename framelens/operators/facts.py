@@ -147,7 +147,7 @@ def _signals(scores: pd.Series, identities: pd.Series) -> pd.DataFrame:
 
 
 _BOX = "array<struct<frame_index:int,bbox:array<double>>>"
-_FIELDS = ("class_scores", "identities", "crops")
+FIELDS = ("class_scores", "identities", "crops")
 
 
 def _track_rows(rows: DataFrame) -> DataFrame:
@@ -160,7 +160,7 @@ def _track_rows(rows: DataFrame) -> DataFrame:
     return rows.select(
         "sample_id", "view", "source_rank", "position", F.when(truthy, F.coalesce(F.try_variant_get(raw, "$", "string"), F.to_json(raw))).alias("object_id"),
         F.try_variant_get("item", "$.category", "string").alias("category"), F.transform(F.filter(listed, lambda b: _is(b, "OBJECT")), box).alias("boxes"), F.try_variant_get("item", "$.attributes", "map<string,string>").alias("attributes"),
-        *(F.when(~text(name).isin("null"), text(name)).alias(name) for name in _FIELDS),
+        *(F.when(~text(name).isin("null"), text(name)).alias(name) for name in FIELDS),
     )
 
 
@@ -188,7 +188,7 @@ def tracks(samples: DataFrame, config: dict | None = None, views: Sequence[str]
     """
     c = config or {}
     keys = [c.get(f"{k}_key", k) for k in ("instance_tracks", "object_tracks", "objects")]
-    side_keys = [c.get(f"object_{f}_key", f"object_{f}") for f in _FIELDS]
+    side_keys = [c.get(f"object_{f}_key", f"object_{f}") for f in FIELDS]
     meta, none = F.col("metadata"), F.lit(None).cast("string").alias("view")
     parts = []
     for rank, k in enumerate(keys, 1):
@@ -200,18 +200,18 @@ def tracks(samples: DataFrame, config: dict | None = None, views: Sequence[str]
         parts.append(_track_rows(rows.select("sample_id", "view", F.lit(rank).alias("source_rank"), F.posexplode(items).alias("position", "item")).where(_is(F.col("item"), "OBJECT"))))
     if not by_view and "objects" in samples.columns:
         rows = samples.select("sample_id", none, F.lit(0).alias("source_rank"), F.posexplode("objects").alias("position", "o"))
-        parts.append(rows.select("sample_id", "view", "source_rank", "position", F.when(~F.col("o.object_id").isin("", "0"), F.col("o.object_id")).alias("object_id"), "o.category", F.col("o.boxes").cast(_BOX).alias("boxes"), "o.attributes", *(F.lit(None).cast("string").alias(f) for f in _FIELDS)))
+        parts.append(rows.select("sample_id", "view", "source_rank", "position", F.when(~F.col("o.object_id").isin("", "0"), F.col("o.object_id")).alias("object_id"), "o.category", F.col("o.boxes").cast(_BOX).alias("boxes"), "o.attributes", *(F.lit(None).cast("string").alias(f) for f in FIELDS)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    for field, k in zip(_FIELDS, side_keys):
+    for field, k in zip(FIELDS, side_keys):
         if by_view:
             rows = samples.select("sample_id", F.explode(_views(at(meta, f"$.{k}"), views)).alias("v")).select("sample_id", F.col("v.view").alias("view"), F.col("v.value").alias("top"))
         else:
             rows = samples.select("sample_id", none, at(meta, f"$.{k}").alias("top"))
         side = rows.where(_is(F.col("top"), "OBJECT")).select("sample_id", "view", F.explode(_entries(F.col("top"))).alias("e")).select("sample_id", "view", F.col("e.key").alias("object_id"), F.to_json("e.value").alias("value"))
         out = with_side_values(out, side.where("value <> 'null'"), field)
-    merged = instances.merged_tracks(out, ["sample_id", "view"], _FIELDS, ("",))
+    merged = instances.merged_tracks(out, ["sample_id", "view"], FIELDS, ("",))
     given = lambda f: F.coalesce(~F.col(f).isin("null", "[]", "{}"), F.lit(False))
     return merged.where((F.size("boxes") > 0) | given("class_scores") | given("identities"))
 

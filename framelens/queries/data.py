@@ -12,34 +12,34 @@ from framelens.queries.fixtures import SQL
 from framelens.sources import files, manifest
 
 _MISSING = "missing expected camera views: camera_front, camera_rear"
-_SEEN = f"""WITH r AS (SELECT c_custkey AS index, c_custkey % 10 AS k,
+SEEN = f"""WITH r AS (SELECT c_custkey AS index, c_custkey % 10 AS k,
         CASE c_custkey % 10 WHEN 1 THEN 'index_' || c_custkey WHEN 2 THEN 'index_' || c_custkey WHEN 6 THEN 'index_' || c_custkey WHEN 7 THEN CAST(c_custkey AS VARCHAR) WHEN 9 THEN 'None' ELSE 's' || c_custkey END AS sample_id,
         CASE c_custkey % 10 WHEN 1 THEN 'sample must be an object' WHEN 2 THEN 'sample_id is required and must be non-empty' WHEN 3 THEN 'metadata must be an object when provided'
             WHEN 4 THEN 'metadata[''camera_videos''] is required' WHEN 5 THEN 'metadata[''camera_videos''] is required' WHEN 6 THEN 'sample_id is required and must be non-empty; metadata[''camera_videos''] must be a dict when provided'
             WHEN 7 THEN '{_MISSING}' WHEN 8 THEN 'camera_front path is required and must be non-empty; camera_cross_left path is required and must be non-empty' ELSE '' END AS reasons FROM customer)"""
 
 
-@query("FLT1_JN1_SET2_SET3", f"{_SEEN} SELECT index, sample_id, reasons, reasons = '' AS valid FROM r")
+@query("FLT1_JN1_SET2_SET3", f"{SEEN} SELECT index, sample_id, reasons, reasons = '' AS valid FROM r")
 def flt1(spark, sf):
     return manifest.inspected(fx.manifest_records(spark, sf)).select("index", "sample_id", F.array_join("reasons", "; ").alias("reasons"), "valid")
 
 
-@query("FLT2_SRC4", f"{_SEEN} SELECT sample_id FROM r WHERE reasons = ''")
+@query("FLT2_SRC4", f"{SEEN} SELECT sample_id FROM r WHERE reasons = ''")
 def flt2(spark, sf):
     return manifest.normalized(fx.manifest_records(spark, sf)).select("sample_id")
 
 
-@query("INS1", f"{_SEEN} SELECT count(*) AS num_samples, count(*) FILTER (reasons = '') AS num_valid, count(*) FILTER (reasons <> '') AS num_invalid FROM r")
+@query("INS1", f"{SEEN} SELECT count(*) AS num_samples, count(*) FILTER (reasons = '') AS num_valid, count(*) FILTER (reasons <> '') AS num_invalid FROM r")
 def ins1(spark, sf):
     return manifest.inspection(fx.manifest_records(spark, sf))
 
 
-@query("SRC3", f"{_SEEN} SELECT index FROM r WHERE k <> 1")
+@query("SRC3", f"{SEEN} SELECT index FROM r WHERE k <> 1")
 def src3(spark, sf):
     return manifest.only_objects(fx.manifest_records(spark, sf)).select("index")
 
 
-@query("PRJ1_PRJ2_PRJ3", f"""{_SEEN} SELECT sample_id, CASE WHEN k = 9 THEN '7' ELSE 'g' || index END AS generated_video, CAST(CASE WHEN k = 9 THEN 1 ELSE 0 END AS INTEGER) AS n_objects, CASE WHEN k = 9 THEN 'o1' END AS object_id, 6 AS n_views, CASE WHEN k = 9 THEN 'f' ELSE 'camera_front.mp4' END AS front FROM r WHERE reasons = ''""")
+@query("PRJ1_PRJ2_PRJ3", f"""{SEEN} SELECT sample_id, CASE WHEN k = 9 THEN '7' ELSE 'g' || index END AS generated_video, CAST(CASE WHEN k = 9 THEN 1 ELSE 0 END AS INTEGER) AS n_objects, CASE WHEN k = 9 THEN 'o1' END AS object_id, 6 AS n_views, CASE WHEN k = 9 THEN 'f' ELSE 'camera_front.mp4' END AS front FROM r WHERE reasons = ''""")
 def prj123(spark, sf):
     n = manifest.normalized(fx.manifest_records(spark, sf))
     return n.select("sample_id", "generated_video", F.size("objects").alias("n_objects"), F.try_element_at("objects", F.lit(1))["object_id"].alias("object_id"), F.size("camera_videos").alias("n_views"), F.col("camera_videos")["camera_front"].alias("front"))
@@ -243,7 +243,7 @@ def set5(spark, sf):
 # Enrichment
 
 
-def _patches(spark, sf):
+def patches(spark, sf):
     o = fx.table(spark, sf, "orders")
     g = F.when(F.col("o_orderkey") % 3 == 0, "depth").when(F.col("o_orderkey") % 3 == 1, "semantic").otherwise("tracks")
     return o.select((F.col("o_custkey") % 500).cast("string").alias("sample_id"), g.alias("generator"), F.col("o_orderkey").cast("int").alias("rank"), F.create_map(F.lit("k"), F.col("o_orderkey").cast("string"), g, F.lit("y")).alias("patch"), F.when(F.col("o_orderkey") % 7 == 0, "ValueError: short").alias("error"))
@@ -253,13 +253,13 @@ def _patches(spark, sf):
     SELECT CAST(i AS VARCHAR) AS sample_id, coalesce(CAST(max(o_orderkey) AS VARCHAR), 'old') AS k, 1 AS own, bool_or(g = 'depth') AS depth FROM (SELECT unnest(range(0, 500)) AS i) LEFT JOIN o ON s = i GROUP BY i""")
 def jn8(spark, sf):
     samples = spark.range(500).select(F.col("id").cast("string").alias("sample_id"), F.create_map(F.lit("k"), F.lit("old"), F.lit("own"), F.lit("1")).alias("metadata"))
-    out = enrich.enriched(samples, _patches(spark, sf))
+    out = enrich.enriched(samples, patches(spark, sf))
     return out.select("sample_id", F.col("metadata")["k"].alias("k"), F.col("metadata")["own"].cast("int").alias("own"), F.when(F.size("metadata") > 2, F.map_contains_key("metadata", "depth")).alias("depth"))
 
 
 @query("REF2", """SELECT CASE o_orderkey % 3 WHEN 0 THEN 'depth' WHEN 1 THEN 'semantic' ELSE 'tracks' END AS generator, count(*) FILTER (o_orderkey % 7 <> 0) AS prepared, count(*) FILTER (o_orderkey % 7 = 0) AS failed, round(count(*) FILTER (o_orderkey % 7 <> 0) / count(*), 6) AS coverage_ratio FROM orders GROUP BY 1""")
 def ref2(spark, sf):
-    return enrich.generator_summary(_patches(spark, sf))
+    return enrich.generator_summary(patches(spark, sf))
 
 
 @query("REF3_REF4_SNK6", """SELECT CAST(c_custkey AS VARCHAR) AS sample_id FROM customer WHERE c_custkey % 4 <> 0""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelens.functions.numeric import clamp01, safe_div
-from framelens.operators import coherence, depth, instances, integrity, outcomes, semantic, sequences, temporal, views
+from framelens.operators import coherence, depth, facts, instances, integrity, outcomes, semantic, sequences, temporal, views
 from framelens.plans import visual
 from framelens.queries import fixtures as fx
 from framelens.queries.base import query, r6
@@ -229,6 +229,55 @@ def in_outcomes(spark, sf):
     return instances.evaluate(samples, _tracks(spark, sf)).select("metric", "sample_id", *r6("score"), "status", "reason")
 
 
+def _raw_tracks(spark, sf):
+    """(sample_id, metadata): for each customer lists of tracks, side maps and older forms, in eight shapes."""
+    shape = F.expr("""CASE c_custkey % 8
+        WHEN 0 THEN '{"instance_tracks": {"camera_front": [{"object_id": "1", "class_scores": ["car", "car", "bus"]}]}}'
+        WHEN 1 THEN '{"instance_tracks": {"camera_front": [{"object_id": "1", "identities": ["a", "b"]}]}, "object_class_scores": {"camera_front": {"1": [{"car": 0.9, "bus": 0.1}, {"label": "car", "score": 0.5}]}}}'
+        WHEN 2 THEN '{"object_tracks": {"camera_front": [{"object_id": 0, "identities": "a"}, {"identities": ["a", "b", "b", "b"]}]}}'
+        WHEN 3 THEN '{"objects": {"camera_rear": [{"object_id": "x", "class_scores": {"car": 0.8, "truck": 0.2}}]}}'
+        WHEN 4 THEN '{"instance_tracks": [{"object_id": "1", "identities": ["a", null, "b"]}]}'
+        WHEN 5 THEN '{"instance_tracks": {"camera_front": [{"object_id": "1", "class_scores": [], "boxes": [{"frame_index": 0, "bbox": [0, 0, 1, 1]}, {"frame_index": 1, "bbox": [0, 0, 1, 1]}]}]}, "num_frames": null}'
+        WHEN 6 THEN '{"instance_tracks": {"camera_front": [{"object_id": "1"}]}, "object_crops": {"camera_front": {"1": ["c.png"]}}}'
+        ELSE '{"object_identities": {"y": ["a", "a"]}}' END""")
+    return fx.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("sample_id"), F.parse_json(shape).alias("metadata"))
+
+
+@query("IN1_IN3_JN6_raw", """WITH s(k, score, status, reason) AS (VALUES
+        (0, 0.35 * 2 / 3, 'success', NULL), (1, 0.35 + 0.2 * (0.7 / 1.2), 'success', NULL), (2, (0.35 + 0.35 * 0.75) / 2, 'success', NULL), (3, 0.2 * (0.5 / 1.3), 'success', NULL), (4, 0.35 * 0.5, 'success', NULL),
+        (5, NULL, 'failed', 'int() argument must be a string, a bytes-like object or a real number, not ''NoneType'''), (6, NULL, 'skipped', 'No usable prepared tracks found for expected views or legacy fallback.'), (7, 0.35, 'success', NULL))
+    SELECT CAST(c_custkey AS VARCHAR) AS sample_id, round(score, 6) AS score, status, reason FROM customer JOIN s ON k = c_custkey % 8""")
+def in_raw(spark, sf):
+    """Instance consistency of raw metadata."""
+    return facts.consistency_outcomes(_raw_tracks(spark, sf)).select("sample_id", *r6("score"), "status", "reason")
+
+
+@query("JN7_raw", """WITH t(k, view, object_id, category, n_boxes, class_scores, identities, crops) AS (VALUES
+        (0, 'camera_front', '1', 'x', 2, '["car"]', NULL, '["c.png"]'), (0, 'camera_front', 'new', NULL, 0, '{"bus":0.5}', NULL, NULL), (1, 'camera_front', 'track_0', NULL, 0, NULL, '["p"]', NULL), (1, 'camera_front', 'track_1', 'y', 0, NULL, '["q"]', NULL))
+    SELECT CAST(c_custkey AS VARCHAR) AS sample_id, view, object_id, category, CAST(n_boxes AS INTEGER) AS n_boxes, class_scores, identities, crops FROM customer JOIN t ON k = c_custkey % 2""")
+def jn7_raw(spark, sf):
+    """All fields of tracks that several sources and side maps name: boxes join, of the others the first that is given stays."""
+    one = """'{"instance_tracks": {"camera_front": [{"object_id": "1", "boxes": [{"frame_index": 0, "bbox": [0, 0, 1, 1]}], "class_scores": []}]}, "object_tracks": {"camera_front": [{"object_id": "1", "category": "x", "boxes_2d": [{"frame_index": 1, "bbox": [0, 0, 1, 1]}]}]}, "object_class_scores": {"camera_front": {"1": ["car"], "new": {"bus": 0.5}}}, "object_crops": {"camera_front": {"1": ["c.png"], "crop": ["d.png"]}}}'"""
+    two = """'{"instance_tracks": {"camera_front": [{"identities": ["p"]}, {"object_id": "gone"}]}, "objects": {"camera_front": [{"object_id": 0, "category": "y", "identities": ["q"]}]}}'"""
+    s = fx.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("sample_id"), F.parse_json(F.expr(f"CASE c_custkey % 2 WHEN 0 THEN {one} ELSE {two} END")).alias("metadata"))
+    return facts.tracks(s).select("sample_id", "view", "object_id", "category", F.size("boxes").alias("n_boxes"), *facts.FIELDS)
+
+
+@query("IC2_metadata", """WITH s(k, status, reason) AS (VALUES (0, 'success', NULL), (1, 'success', NULL), (2, 'failed', 'TypeError'), (3, 'failed', 'ValueError'), (4, 'skipped', 'metadata[''object_features''] must be a non-empty dict.'), (5, 'skipped', 'No usable object feature sequence found in metadata[''object_features''].'))
+    SELECT CAST(c_custkey AS VARCHAR) AS sample_id, CASE k WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 END AS score, status, reason FROM customer JOIN s ON k = c_custkey % 6""")
+def ic2_metadata(spark, sf):
+    """Instance coherence of raw metadata: by view, of the older form, unreadable, ragged, missing and too short."""
+    shape = F.expr("""CASE c_custkey % 6
+        WHEN 0 THEN '{"object_features": {"camera_front": {"a": [[1, 0], [1, 0], [1, 0]], "b": [[1, 2]]}, "camera_rear": {"a": [[0, 3], [0, 2]]}}}'
+        WHEN 1 THEN '{"object_features": {"a": [[1, 0], [0, 1]], "b": [[2, 2], [1, 1]], "c": [1, 2]}}'
+        WHEN 2 THEN '{"object_features": {"camera_front": {"a": [[1, 2]]}}}'
+        WHEN 3 THEN '{"object_features": {"camera_front": {"a": [[1, 2], [3]]}}}'
+        WHEN 4 THEN '{"object_features": {}}' ELSE '{"object_features": {"a": [[1, 2]]}}' END""")
+    s = fx.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("sample_id"), F.parse_json(shape).alias("metadata"))
+    reason = F.when(F.col("status") == "failed", F.substring_index("reason", ":", 1)).otherwise(F.col("reason"))
+    return facts.coherence_outcomes(s).select("sample_id", *r6("score"), "status", reason.alias("reason"))
+
+
 @query("FLT8_PRJ4", """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 2 END AS x1 FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0""")
 def flt8(spark, sf):
     one, two = F.array(F.lit(1.0), F.lit(0.0), F.lit(5.0), F.lit(5.0)), F.array(F.lit(2.0), F.lit(0.0), F.lit(5.0), F.lit(5.0))

@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from framelens.schema import VIEWS
+from framelens.sources.sinks import is_remote
 from framelens.sources.manifest import normalized, read_payload, records, require_all_valid
 
 
@@ -49,7 +50,7 @@ def build_dataset(name: str, config: dict) -> Dataset:
 
 def load_config(path: str) -> dict:
     """YAML or JSON, by suffix; the top level must be an object."""
-    text = Path(path).read_text(encoding="utf-8")
+    text = "\n".join(r[0] for r in SparkSession.active().read.text(path).collect()) if is_remote(path) else Path(path).read_text(encoding="utf-8")
     if path.endswith((".yaml", ".yml")):
         import yaml
 
