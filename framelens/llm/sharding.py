@@ -45,7 +45,7 @@ class _Order:
         self.table, self.nodes = groups, {}
         self.nodes[()] = self._fetch([()])[()]
         self.total = int(self.nodes[()].starts[-1])
-        self.jobs = 0
+        self.jobs = 1
 
     def _fetch(self, paths: list[tuple[int, ...]]) -> dict[tuple[int, ...], _Node]:
         level = len(paths[0])
@@ -79,8 +79,27 @@ class _Order:
                 self.jobs += 1
             path = (*path, digit)
 
+    def prepare(self, positions: list[int], near: int = 1) -> None:
+        """Refines the order around all ``positions``, one job a level for all of them."""
+        states = [(p, 0, ()) for p in positions if 0 <= p < self.total]
+        while states:
+            want, deeper = set(), []
+            for at, base, path in states:
+                node = self.nodes[path]
+                i = int(np.searchsorted(node.starts, at - base, "right")) - 1
+                if node.level < LEVELS - 1:
+                    own = [j for j in range(max(0, i - near), min(len(node.digits), i + near + 1)) if node.groups[j] > 1]
+                    want.update((*path, int(node.digits[j])) for j in own)
+                    if i in own:
+                        deeper.append((at, base + int(node.starts[i]), (*path, int(node.digits[i]))))
+            if want := sorted(want - set(self.nodes)):
+                self.nodes |= self._fetch(want)
+                self.jobs += 1
+            states = deeper
+
     def cuts(self, cap: int, shards: int) -> list[tuple[int, ...]] | None:
         """Where each next shard begins, or None if the capacity is too small."""
+        self.prepare([cap * k for k in range(1, shards)])
         at, found = 0, []
         for _ in range(shards):
             to, key = self.end(at, cap)
