@@ -198,9 +198,12 @@ def _finder(blocks: Blocks, rule: Rule):
                     found = index.matches(data, at)
                     rows = group.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                     shared, sizes = [f[2] for f in found], [f[3] for f in found]
+                    top: dict[tuple[int, int], float] = {}
+                    for f in found:
+                        top[f[0], f[4]] = max(top.get((f[0], f[4]), 0), f[2] / f[3])
                     yield pa.RecordBatch.from_arrays(
-                        [rows, pa.array([ids[f[1]] for f in found], kind), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array([x / n for x, n in zip(shared, sizes)], pa.float64()), pa.array([f[4] for f in found], pa.int64())],
-                        ["doc_id", "item", "n_shingles", "n_shared", "containment", "first_word"],
+                        [rows, pa.array([ids[f[1]] for f in found], kind), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array([x / n for x, n in zip(shared, sizes)], pa.float64()), pa.array([f[4] for f in found], pa.int64()), pa.array([f[2] / f[3] == top[f[0], f[4]] for f in found], pa.bool_())],
+                        ["doc_id", "item", "n_shingles", "n_shared", "containment", "first_word", "best"],
                     )
 
     return run
@@ -236,8 +239,12 @@ def item_blocks(items: DataFrame) -> Blocks:
 
 
 def find(docs: DataFrame, blocks: Blocks, rule: Rule = Rule()) -> DataFrame:
-    """(doc_id, item, n_shingles, n_shared, containment, first_word) of every item in every document."""
-    kinds = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item", blocks.kind), *(T.StructField(c, T.LongType()) for c in ("n_shingles", "n_shared")), T.StructField("containment", T.DoubleType()), T.StructField("first_word", T.LongType())])
+    """(doc_id, item, n_shingles, n_shared, containment, first_word, best) of every item in every document.
+
+    ``best``: no other item of its block that the document first shares at that place has a higher
+    containment, which tells versions of a text apart.
+    """
+    kinds = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item", blocks.kind), *(T.StructField(c, T.LongType()) for c in ("n_shingles", "n_shared")), T.StructField("containment", T.DoubleType()), T.StructField("first_word", T.LongType()), T.StructField("best", T.BooleanType())])
     return docs.select("doc_id", "text").mapInArrow(_finder(blocks, rule), kinds)
 
 

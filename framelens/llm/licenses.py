@@ -27,6 +27,11 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "notice", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC0-1.0", "waiver", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("GPL-2.0", "header", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "header", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSL-1.0", "grant", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("Zlib", "notice", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
     ("Unlicense", "grant", "This is free and unencumbered software released into the public domain."),
 )
 #: Words are runs of letters, digits and bytes beyond ASCII, so punctuation and line ends don't matter.
@@ -34,15 +39,16 @@ RULE = Rule(threshold=0.8, words=5, breaks=bytes(b for b in range(128) if not ch
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, rule: Rule = RULE) -> DataFrame:
-    """(doc_id, license, part, template, n_shingles, n_shared, containment, first_word) of every license text found.
+    """(doc_id, license, part, template, n_shingles, n_shared, containment, first_word, best) of every license text found.
 
     A template, numbered by its place in ``templates``, is found if the document's five-word shingles
     hold at least 0.8 of its distinct ones; ``first_word`` is the first word of the first shared
-    shingle.  A null or empty text has none; a repeated row gives its rows again; an empty table gives
+    shingle.  Of templates with one first word, such as two versions of a license, ``best`` marks those
+    with the highest containment.  A null or empty text has none; a repeated row gives its rows again; an empty table gives
     none; other columns are not read.
     """
     spark = docs.sparkSession
     blocks = Blocks(spark, ((list(range(lo, min(lo + BLOCK_ITEMS, len(templates)))), [t[2].encode() for t in templates[lo : lo + BLOCK_ITEMS]]) for lo in range(0, max(1, len(templates)), BLOCK_ITEMS)), T.IntegerType())
     names = spark.createDataFrame([(i, t[0], t[1]) for i, t in enumerate(templates)], "item int, license string, part string")
     found = find(docs, blocks, rule).join(F.broadcast(names), "item")
-    return found.select("doc_id", "license", "part", F.col("item").alias("template"), "n_shingles", "n_shared", "containment", "first_word")
+    return found.select("doc_id", "license", "part", F.col("item").alias("template"), "n_shingles", "n_shared", "containment", "first_word", "best")

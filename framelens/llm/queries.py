@@ -118,7 +118,7 @@ def _license_sql() -> str:
     rows = ", ".join("({}, '{}', '{}', '{}')".format(i, *(x.replace("'", "''") for x in t)) for i, t in enumerate(TEMPLATES))
     names = f"(VALUES {rows}) AS v(item, license, part, text)"
     return _containment_sql(f"SELECT * FROM {names}", "[^\\x00-/:-@\\[-`{-\\x7F]+") + f"""
-        SELECT doc_id, license, part, item AS template, n_shingles, n_shared, containment, first_word
+        SELECT doc_id, license, part, item AS template, n_shingles, n_shared, containment, first_word, containment = max(containment) OVER (PARTITION BY r, first_word) AS best
         FROM hits JOIN (SELECT item, license, part FROM {names}) USING (item)
     """
 

@@ -3,19 +3,22 @@
 import hashlib
 import json
 import math
+import os
 import re
 import time
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from framelens.llm import containment, decontam, exact_dedup, graph, licenses, lm, mixing, quality, sharding, similar, simhash, suffix, tokens, wrappers
+from framelens.llm import common, containment, decontam, exact_dedup, graph, licenses, lm, mixing, quality, sharding, similar, simhash, suffix, tokens, wrappers
+from framelens.llm import queries as llm_queries
 from framelens.llm.mixing import word_count
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, stats string, row string, shard string, target string, fp string"
@@ -790,3 +793,56 @@ def test_ten_thousand_items_in_one_pass(spark, monkeypatch):
     out = decontam.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert sorted((r.doc_id, r.item_id) for r in out.collect()) == [(i, (i * 397) % 10_000) for i in range(200)]
+
+
+def test_versions_of_a_license_are_told_apart(spark):
+    number = {t[:2]: i for i, t in enumerate(licenses.TEMPLATES) if t[0].startswith("GPL")}
+    docs = [(i, f"some words before. {licenses.TEMPLATES[k][2]} Some words after.", "s") for i, k in enumerate(number.values())]
+    out = licenses.scan(frame(spark, docs)).collect()
+    for i, k in enumerate(number.values()):
+        assert [r.template for r in out if r.doc_id == i and r.best] == [k]
+    assert len(out) > len(docs)
+
+
+# the queries themselves
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(llm_queries.QUERIES))
+def test_query(spark, name):
+    df = llm_queries.QUERIES[name](spark, SF)
+    found = df.collect()
+    rows_in = spark.read.parquet(f"{SF}/{'pages' if name.startswith('op7') else 'documents'}.parquet").count()
+    assert len(found) == rows_in or name[:4] in ("op1_", "op9_")
+    if name not in llm_queries.ORACLE_SQL:
+        return
+    db = duckdb.connect()
+    for f in os.listdir(SF):
+        db.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{f}'")
+    cursor = db.execute(llm_queries.ORACLE_SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(df.columns)
+    plain = lambda r, c: [round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for _, v in sorted(zip(c, r))]
+    assert sorted(map(str, (plain(r, df.columns) for r in found))) == sorted(map(str, (plain(r, names) for r in cursor.fetchall())))
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    with common.staging():
+        kept = common.stage(spark.range(3), "kept")
+        gone = common.stage(spark.range(3), "gone")
+        paths = [common._PATHS[x].removeprefix("file:") for x in (kept, gone)]
+        common.unstage(gone)
+        assert os.path.isdir(paths[0]) and not os.path.isdir(paths[1]) and kept.count() == 3
+    assert not os.path.isdir(paths[0])
+
+
+def test_cuts_need_few_jobs(spark):
+    groups = spark.range(200_000).select(F.shiftrightunsigned(F.xxhash64("id"), 4).alias("key"), (F.col("id") % 90 + 1).alias("bytes")).sort("key").cache()
+    order = sharding._Order(groups)
+    low = -(-order.total // 16)
+    for cap in (low + 50, low + 2000):
+        before = order.jobs
+        assert order.cuts(cap, 16) is not None and order.jobs - before <= 6
