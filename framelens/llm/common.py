@@ -71,9 +71,16 @@ def unstage(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """A staged table that outlives the scope it was made in."""
+    for scope in _scopes:
+        scope[:] = [x for x in scope if x is not df]
+    return df
+
+
 @contextlib.contextmanager
 def staging():
-    """All tables staged within are removed at the end: write an operator's result before that."""
+    """All tables staged within are removed at the end, but those kept: write an operator's result before that."""
     _scopes.append([])
     try:
         yield

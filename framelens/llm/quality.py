@@ -25,6 +25,8 @@ STATISTICS = (
 )
 #: Most labelled rows that the fit uses.
 SAMPLE_ROWS = 20_000
+#: Rows of those that one tree is grown on, drawn anew for each.
+TREE_ROWS = 2000
 
 _UPPER, _LETTER, _DIGIT, _SYMBOL = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
@@ -173,7 +175,7 @@ def _split(x: np.ndarray, target: np.ndarray, least: int):
     return best[1]
 
 
-def grow(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, rows: int = 2000, seed: int = 0) -> list[Rule]:
+def grow(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, rows: int = TREE_ROWS, seed: int = 0) -> list[Rule]:
     """The paths of boosted regression trees, each grown on a seeded subsample."""
     rng, rules = np.random.default_rng(seed), {}
     z = np.full(len(x), np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))

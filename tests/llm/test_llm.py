@@ -831,12 +831,14 @@ def test_query(spark, name):
 
 def test_staged_tables_go_with_their_scope(spark):
     with common.staging():
+        stays = common.keep(common.stage(spark.range(4), "stays"))
         kept = common.stage(spark.range(3), "kept")
         gone = common.stage(spark.range(3), "gone")
         paths = [common._PATHS[x].removeprefix("file:") for x in (kept, gone)]
         common.unstage(gone)
         assert os.path.isdir(paths[0]) and not os.path.isdir(paths[1]) and kept.count() == 3
-    assert not os.path.isdir(paths[0])
+    assert not os.path.isdir(paths[0]) and stays.count() == 4
+    common.unstage(stays)
 
 
 def test_cuts_need_few_jobs(spark):
