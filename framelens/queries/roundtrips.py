@@ -212,6 +212,23 @@ def snk6(spark, sf):
     return files.tensors_of(masks).select(F.col("path").alias("sample_id"), "t", "h", "w", F.array_join("values", "").alias("mask"))
 
 
+@query("SNK11", "SELECT 's' || vec_id AS name, CAST(i // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS x, CAST(CASE WHEN v < -0.05 THEN 0 WHEN v < 0.05 THEN 100 ELSE 200 END AS INTEGER) AS value FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings)")
+def snk11(spark, sf):
+    """An image a vector, written as PNG and read again."""
+    folder = shared(spark)
+    gray = F.transform(F.col("embedding").cast("array<double>"), lambda v: F.when(v < -0.05, 0).when(v < 0.05, 100).otherwise(200))
+    images = fx.table(spark, sf, "embeddings").select(F.concat(F.lit("s"), F.col("vec_id").cast("string")).alias("name"), F.lit(8).alias("h"), F.lit(8).alias("w"), gray.alias("values"))
+    sinks.write_table(sinks.encoded_images(images), folder)
+
+    def pixels(batches):
+        for part in batches:
+            part["values"] = [files.png_pixels(x).ravel().tolist() for x in part["png"]]
+            yield part[["name", "values"]]
+
+    read = spark.read.parquet(folder).mapInPandas(pixels, "name string, values array<int>")
+    return read.select("name", F.posexplode("values").alias("i", "value")).select("name", F.expr("CAST(i div 8 AS int)").alias("y"), F.expr("i % 8").alias("x"), "value")
+
+
 @query("SRC13", """SELECT 's' || label AS sample_id, CASE WHEN label % 3 = 0 THEN 0 ELSE count(*) END AS n_frames, CASE WHEN label % 3 <> 0 THEN round(max(list_max(CAST(embedding AS DOUBLE[]))), 6) END AS deepest FROM embeddings GROUP BY label""")
 def src13(spark, sf):
     """Depth tensors of which every third is cut short: those give a row without values."""

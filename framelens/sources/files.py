@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import json
+import struct
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from framelens.functions.text import path_suffix
 from framelens.schema import VIEWS
 
+#: Suffixes of videos.
 VIDEO_SUFFIXES = (".mp4", ".avi", ".mov", ".mkv", ".webm")
 
 
@@ -47,6 +50,26 @@ def first_of_view(files: DataFrame, names=VIEWS) -> DataFrame:
     return hits.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
+def png_pixels(content: bytes) -> np.ndarray:
+    """Values of a PNG image of 8-bit gray or colour without filters, such as ``sinks.png`` makes; others raise."""
+    at, data, shape = 8, b"", None
+    while at < len(content):
+        size, kind = struct.unpack(">I4s", content[at : at + 8])
+        body = content[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            w, h, depth, colour = struct.unpack(">IIBB", body[:10])
+            if depth != 8 or colour not in (0, 2):
+                raise ValueError("only 8-bit gray and colour images")
+            shape = (h, w) if colour == 0 else (h, w, 3)
+        elif kind == b"IDAT":
+            data += body
+        at += 12 + size
+    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(shape[0], -1)
+    if lines[:, 0].any():
+        raise ValueError("only lines without filters")
+    return lines[:, 1:].reshape(shape)
+
+
 def _array(path: str, content: bytes) -> np.ndarray:
     return np.asarray(json.loads(content)) if path.endswith(".json") else np.load(io.BytesIO(content), allow_pickle=False)
 

@@ -6,6 +6,8 @@ import contextlib
 import io
 import json
 import re
+import struct
+import zlib
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -13,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LAYOUT = ("logs", "metrics", "summaries", "failed_samples", "references/depth", "references/semantic", "references/tracks", "visualizations/depth", "visualizations/semantic", "visualizations/match")
 
@@ -47,21 +50,28 @@ def exists(path: str) -> bool:
 
 
 @contextlib.contextmanager
-def open_text(path: str):
-    """A function that appends text to a new file; a path with a scheme goes through Spark's file systems."""
+def open_bytes(path: str):
+    """A function that appends bytes to a new file; a path with a scheme goes through Spark's file systems."""
     if not is_remote(path):
         Path(path).parent.mkdir(parents=True, exist_ok=True)
-        with Path(path).open("w", encoding="utf-8", newline="") as file:
+        with Path(path).open("wb") as file:
             yield file.write
         return
     target, fs = _remote(path)
     stream = fs.create(target, True)
     try:
-        yield lambda text: stream.write(bytearray(text.encode("utf-8")))
+        yield lambda data: stream.write(bytearray(data))
     finally:
         stream.close()
 
 
+@contextlib.contextmanager
+def open_text(path: str):
+    """The same for text."""
+    with open_bytes(path) as write:
+        yield lambda text: write(text.encode("utf-8"))
+
+
 def _json(value, indent: int = 0) -> str:
     return json.dumps(value, ensure_ascii=False, indent=2, default=str).replace("\n", "\n" + " " * indent)
 
@@ -144,3 +154,33 @@ def write_tensors(frames: DataFrame, folder: str, keys=("generator", "sample_id"
     packed = frames.groupBy(*keys).applyInPandas(pack, f"{kinds}, npy binary")
     packed.write.mode("overwrite").partitionBy(*keys).parquet(folder)
     return packed.sparkSession.read.parquet(folder)
+
+
+def png(values: np.ndarray) -> bytes:
+    """A PNG image of 8-bit gray (h, w) or colour (h, w, 3) values."""
+    values = np.ascontiguousarray(np.clip(values, 0, 255), np.uint8)
+    h, w = values.shape[:2]
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.concatenate([np.zeros((h, 1), np.uint8), values.reshape(h, -1)], axis=1)  # no filter before each line
+    head = struct.pack(">IIBBBBB", w, h, 8, 2 if values.ndim == 3 else 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def encoded_images(images: DataFrame, channels: int = 1) -> DataFrame:
+    """``images`` (keys, h, w, values) with png instead of values, which are rows of pixels."""
+
+    def run(batches):
+        for part in batches:
+            shape = lambda h, w: (h, w) if channels == 1 else (h, w, channels)
+            part["png"] = [png(np.asarray(v).reshape(shape(h, w))) for v, h, w in zip(part["values"], part["h"], part["w"])]
+            yield part.drop(columns="values")
+
+    kinds = T.StructType([*[f for f in images.schema.fields if f.name != "values"], T.StructField("png", T.BinaryType())])
+    return images.mapInPandas(run, kinds)
+
+
+def write_images(images: DataFrame, folder: str, name: str = "name") -> None:
+    """Files ``name``.png of ``encoded_images`` in a folder; the driver holds a partition at a time."""
+    for r in images.select(name, "png").toLocalIterator():
+        with open_bytes(f"{folder}/{r[0]}.png") as write:
+            write(bytes(r[1]))

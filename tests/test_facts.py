@@ -252,3 +252,17 @@ def test_weights_of_ready_tables(spark):
     labels = spark.createDataFrame([("s", "v", "o", "a", 0.5)], f"{kind}, label string, confidence double")
     boxes = spark.createDataFrame([("s", "v", "o", 0, 0, [0.0, 0.0, 1.0, 1.0])], f"{kind}, frame_index int, position int, bbox array<double>")
     assert instances.scored_tracks(labels, boxes, {"class_weight": 0.2, "confidence_weight": 0.6}).first().score == pytest.approx(0.2 + 0.3)
+
+
+def test_images(spark, tmp_path):
+    from framelens.sources import files
+
+    rng = np.random.default_rng(5)
+    for shape in ((3, 5), (2, 4, 3)):
+        values = rng.integers(0, 256, shape)
+        assert (files.png_pixels(sinks.png(values)) == values).all()
+    df = spark.createDataFrame([("a", 2, 2, [0, 50, 300, 255])], "name string, h int, w int, values array<int>")
+    sinks.write_images(sinks.encoded_images(df), str(tmp_path / "local"))
+    sinks.write_images(sinks.encoded_images(df), f"file://{tmp_path}/remote")
+    assert (tmp_path / "local/a.png").read_bytes() == (tmp_path / "remote/a.png").read_bytes()
+    assert files.png_pixels((tmp_path / "local/a.png").read_bytes()).tolist() == [[0, 50], [255, 255]]
