@@ -9,6 +9,7 @@ class_id), by window and aggregate operations.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from framelens.functions.numeric import clamp01
 
 IGNORE = -1
 CLIP = ("sample_id", "view")
+PARTS = ("lfr", "sac", "cds")
 
 
 def exploded(masks: DataFrame, keys: Sequence[str] = CLIP) -> DataFrame:
@@ -59,7 +61,7 @@ def interior(pixels: DataFrame, keys: Sequence[str] = CLIP, up: int = 1, left: i
 def flip_rates(pixels: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE, classes: str | None = None) -> DataFrame:
     """keys, lfr: 1 - the mean, over pairs of frames, of the flipped share of pixels inside on both sides."""
     if "mask" in pixels.columns:
-        return clip_scores(pixels, keys, ignore).select(*keys, "lfr")
+        return clip_scores(pixels, keys, ignore, parts=("lfr",)).select(*keys, "lfr")
     rows = interior(pixels, keys)
     if classes:
         rows = rows.withColumn("inside", F.col("inside") & (F.col("class_id") >= 0) & (F.col("class_id") < F.col(classes)))
@@ -81,7 +83,7 @@ def histograms(pixels: DataFrame, num_classes: int, keys: Sequence[str] = CLIP,
 def distribution_shift(pixels: DataFrame, num_classes: int, keys: Sequence[str] = CLIP, ignore: int = IGNORE) -> DataFrame:
     """keys, cds: 1 - the mean Jensen-Shannon divergence, in nats, of neighbouring frames' histograms; 1 without pairs."""
     if "mask" in pixels.columns:
-        return clip_scores(pixels.withColumn("num_classes", F.lit(num_classes)), keys, ignore).select(*keys, "cds")
+        return clip_scores(pixels.withColumn("num_classes", F.lit(num_classes)), keys, ignore, parts=("cds",)).select(*keys, "cds")
     frames = pixels.select(*keys, "t").distinct()
     w = Window.partitionBy(*keys).orderBy("t")
     before = frames.withColumn("_prev", F.lag("t").over(w)).where("_prev IS NOT NULL")
@@ -146,25 +148,45 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 class Frame:
-    """What the pairs of a frame need of it, found once: components with class and area, interior, class shares."""
+    """What the pairs of a frame need of it, each found once and only if asked for."""
 
     def __init__(self, mask: np.ndarray, classes: int, ignore: int = IGNORE, erosion: int = 2, offset: int | None = None):
-        self.mask, self.valid = mask, (mask != ignore) & (mask >= 0) & (mask < classes)
-        self.labels = components(np.where(self.valid, mask, -1)).ravel()
-        n = int(self.labels.max(initial=0))
-        self.areas = np.bincount(self.labels, minlength=n + 1)[1:].astype(float)
-        self.classes = np.zeros(n, np.int64)
-        self.classes[self.labels[self.labels > 0] - 1] = mask.ravel()[self.labels > 0]
-        h, w = mask.shape
-        # a square footprint, of which ``offset`` rows and columns lie before the pixel; the border repeats
-        before = erosion // 2 if offset is None else offset
-        wide = np.pad(mask, ((before, erosion - 1 - before),) * 2, mode="edge")
-        self.inside = self.valid.copy()
-        for y in range(erosion):
-            for x in range(erosion):
-                self.inside &= wide[y : y + h, x : x + w] == mask
-        counts = np.bincount(mask[self.valid], minlength=classes)[:classes].astype(float)
-        self.shares = (counts + 1e-8) / (counts.sum() + 1e-8 * classes) if counts.sum() else None
+        self.mask, self.n, self.erosion = mask, classes, erosion
+        self.offset = erosion // 2 if offset is None else offset
+        self.valid = (mask != ignore) & (mask >= 0) & (mask < classes)
+
+    @cached_property
+    def labels(self) -> np.ndarray:
+        """The component of each pixel, from 1; 0 for none."""
+        return components(np.where(self.valid, self.mask, -1)).ravel()
+
+    @cached_property
+    def areas(self) -> np.ndarray:
+        return np.bincount(self.labels, minlength=1)[1:].astype(float)
+
+    @cached_property
+    def classes(self) -> np.ndarray:
+        """The class of each component."""
+        out, own = np.zeros(len(self.areas), np.int64), self.labels > 0
+        out[self.labels[own] - 1] = self.mask.ravel()[own]
+        return out
+
+    @cached_property
+    def inside(self) -> np.ndarray:
+        """Where a square footprint, of which ``offset`` rows and columns lie before the pixel, has one class; the border repeats."""
+        h, w = self.mask.shape
+        wide = np.pad(self.mask, ((self.offset, self.erosion - 1 - self.offset),) * 2, mode="edge")
+        out = self.valid.copy()
+        for y in range(self.erosion):
+            for x in range(self.erosion):
+                out &= wide[y : y + h, x : x + w] == self.mask
+        return out
+
+    @cached_property
+    def shares(self) -> np.ndarray | None:
+        """Smoothed shares of the classes; none without a valid pixel."""
+        counts = np.bincount(self.mask[self.valid], minlength=self.n)[: self.n].astype(float)
+        return (counts + 1e-8) / (counts.sum() + 1e-8 * self.n) if counts.sum() else None
 
     def matched(self, after: "Frame", min_iou: float) -> tuple[float, float]:
         """(sum of IoU times area, sum of area) over the components; those that vanish or match less than ``min_iou`` count 0."""
@@ -194,8 +216,8 @@ class Frame:
         return float(0.5 * (p * np.log(p / m)).sum() + 0.5 * (q * np.log(q / m)).sum())
 
 
-def frame_terms(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE, min_iou: float = 0.1, erosion: int = 2, offset: int | None = None) -> DataFrame:
-    """keys, t, flips, matched, area, js of every frame with the one before; a term that has no pixels is null."""
+def frame_terms(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE, min_iou: float = 0.1, erosion: int = 2, offset: int | None = None, parts: Sequence[str] = PARTS) -> DataFrame:
+    """keys, t, flips, matched, area, js of every frame with the one before; a term that has no pixels, or isn't among ``parts``, is null."""
     w = Window.partitionBy(*keys).orderBy("t")
     pairs = masks.withColumn("_m", F.lag("mask").over(w)).where("_m IS NOT NULL")
 
@@ -208,19 +230,20 @@ def frame_terms(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNO
             one = last[1] if last and last[0] == k and last[1].mask.shape == x.shape and (last[1].mask == x).all() else Frame(x, int(k), ignore, erosion, offset)
             two = Frame(y, int(k), ignore, erosion, offset)
             last = k, two
-            rows.append((one.flips(two), *one.matched(two, min_iou), one.shift(two)))
-        return pd.DataFrame(rows, columns=["flips", "matched", "area", "js"], dtype=object).astype({"matched": float, "area": float})
+            matched = one.matched(two, min_iou) if "sac" in parts else (None, None)
+            rows.append((one.flips(two) if "lfr" in parts else None, *matched, one.shift(two) if "cds" in parts else None))
+        return pd.DataFrame(rows, columns=["flips", "matched", "area", "js"], dtype=object)
 
     return pairs.select(*keys, "t", terms("_m", "mask", "w", "num_classes").alias("x")).select(*keys, "t", "x.*")
 
 
-def clip_scores(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE, min_iou: float = 0.1, weights: Sequence[float] = (0.5, 0.4, 0.1), erosion: int = 2) -> DataFrame:
+def clip_scores(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE, min_iou: float = 0.1, weights: Sequence[float] = (0.5, 0.4, 0.1), erosion: int = 2, parts: Sequence[str] = PARTS) -> DataFrame:
     """keys, lfr, sac, cds, score of packed masks, all in one pass; a part without pairs is 1.
 
     lfr: 1 - mean flipped share.  sac: matched IoU weighted by area, where new components don't count.
     cds: 1 - mean divergence.  score: their weighted sum.
     """
-    terms = frame_terms(masks, keys, ignore, min_iou, erosion).groupBy(*keys).agg(F.avg("flips").alias("flips"), F.sum("matched").alias("matched"), F.sum("area").alias("area"), F.avg("js").alias("js"))
+    terms = frame_terms(masks, keys, ignore, min_iou, erosion, parts=parts).groupBy(*keys).agg(F.avg("flips").alias("flips"), F.sum("matched").alias("matched"), F.sum("area").alias("area"), F.avg("js").alias("js"))
     out = masks.select(*keys).distinct().join(terms, list(keys), "left")
     one = lambda c: F.coalesce(clamp01(c), F.lit(1.0))
     out = out.select(*keys, one(1 - F.col("flips")).alias("lfr"), F.when(F.col("area") > 0, clamp01(F.col("matched") / (F.col("area") + 1e-8))).otherwise(1.0).alias("sac"), one(1 - F.col("js")).alias("cds"))
@@ -229,7 +252,7 @@ def clip_scores(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNO
 
 def area_consistency(masks: DataFrame, keys: Sequence[str] = CLIP, min_iou: float = 0.1) -> DataFrame:
     """keys, sac of packed masks."""
-    return clip_scores(masks, keys, min_iou=min_iou).select(*keys, "sac")
+    return clip_scores(masks, keys, min_iou=min_iou, parts=("sac",)).select(*keys, "sac")
 
 
 def tscs(lfr: DataFrame, sac: DataFrame, cds: DataFrame, keys: Sequence[str] = CLIP) -> DataFrame:
