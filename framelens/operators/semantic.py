@@ -188,11 +188,15 @@ class Frame:
         counts = np.bincount(self.mask[self.valid], minlength=self.n)[: self.n].astype(float)
         return (counts + 1e-8) / (counts.sum() + 1e-8 * self.n) if counts.sum() else None
 
+    def overlaps(self, after: "Frame") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of components, from 0, that share pixels, and how many."""
+        both, n = (self.labels > 0) & (after.labels > 0), len(after.areas) + 1
+        code, count = np.unique(self.labels[both].astype(np.int64) * n + after.labels[both], return_counts=True)
+        return code // n - 1, code % n - 1, count
+
     def matched(self, after: "Frame", min_iou: float) -> tuple[float, float]:
         """(sum of IoU times area, sum of area) over the components; those that vanish or match less than ``min_iou`` count 0."""
-        both = (self.labels > 0) & (after.labels > 0)
-        code, count = np.unique(self.labels[both].astype(np.int64) * (len(after.areas) + 1) + after.labels[both], return_counts=True)
-        a, b = code // (len(after.areas) + 1) - 1, code % (len(after.areas) + 1) - 1
+        a, b, count = self.overlaps(after)
         score = 0.0
         for c in np.intersect1d(self.classes, after.classes):
             mine, other = np.flatnonzero(self.classes == c), np.flatnonzero(after.classes == c)
@@ -237,6 +241,35 @@ def frame_terms(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNO
     return pairs.select(*keys, "t", terms("_m", "mask", "w", "num_classes").alias("x")).select(*keys, "t", "x.*")
 
 
+def component_table(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE) -> DataFrame:
+    """keys, t, component, class_id, area of every component of packed masks, numbered from 1 in row order."""
+
+    @F.pandas_udf("array<struct<component int, class_id int, area long>>")
+    def found(mask: pd.Series, width: pd.Series, classes: pd.Series) -> pd.Series:
+        frames = (Frame(np.asarray(m, np.int64).reshape(-1, n), int(k), ignore) for m, n, k in zip(mask, width, classes))
+        return pd.Series([[{"component": i + 1, "class_id": int(c), "area": int(a)} for i, (c, a) in enumerate(zip(f.classes, f.areas))] for f in frames])
+
+    return masks.select(*keys, "t", F.explode(found("mask", "w", "num_classes")).alias("x")).select(*keys, "t", "x.*")
+
+
+def component_overlaps(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE) -> DataFrame:
+    """keys, t, component, after, shared: pixels that a component of the frame before shares with one of frame t of its class."""
+    w = Window.partitionBy(*keys).orderBy("t")
+
+    @F.pandas_udf("array<struct<component int, after int, shared long>>")
+    def found(before: pd.Series, after: pd.Series, width: pd.Series, classes: pd.Series) -> pd.Series:
+        out = []
+        for x, y, n, k in zip(before, after, width, classes):
+            one, two = (Frame(np.asarray(m, np.int64).reshape(-1, n), int(k), ignore) for m in (x, y))
+            a, b, shared = one.overlaps(two)
+            same = one.classes[a] == two.classes[b]
+            out.append([{"component": int(i) + 1, "after": int(j) + 1, "shared": int(s)} for i, j, s in zip(a[same], b[same], shared[same])])
+        return pd.Series(out)
+
+    pairs = masks.withColumn("_m", F.lag("mask").over(w)).where("_m IS NOT NULL")
+    return pairs.select(*keys, "t", F.explode(found("_m", "mask", "w", "num_classes")).alias("x")).select(*keys, "t", "x.*")
+
+
 def clip_scores(masks: DataFrame, keys: Sequence[str] = CLIP, ignore: int = IGNORE, min_iou: float = 0.1, weights: Sequence[float] = (0.5, 0.4, 0.1), erosion: int = 2, parts: Sequence[str] = PARTS) -> DataFrame:
     """keys, lfr, sac, cds, score of packed masks, all in one pass; a part without pairs is 1.
 

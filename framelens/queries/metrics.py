@@ -334,9 +334,26 @@ def sm4_histograms(spark, sf):
     return semantic.histograms(fx.masks(spark, sf), 3).select("sample_id", F.col("t").cast("long").alias("t"), F.col("class_id").cast("long").alias("class_id"), *r6("p"))
 
 
-@query("SM2_SM3_JN9_JN10")
+_COMPONENTS = f"""WITH RECURSIVE {SQL['masks']}, px2 AS (SELECT sample_id, t, y * 8 + x AS p, c FROM masks),
+    st AS (SELECT a.sample_id, a.t, a.p, b.p AS q FROM px2 a JOIN px2 b ON a.sample_id = b.sample_id AND a.t = b.t AND a.c = b.c AND (b.p = a.p + 8 OR b.p = a.p - 8 OR (b.p = a.p + 1 AND b.p % 8 > 0) OR (b.p = a.p - 1 AND a.p % 8 > 0))),
+    cl AS (SELECT sample_id, t, p AS a, p AS b FROM px2 UNION SELECT cl.sample_id, cl.t, cl.a, st.q FROM cl JOIN st ON cl.sample_id = st.sample_id AND cl.t = st.t AND cl.b = st.p),
+    lb AS (SELECT sample_id, t, a AS p, min(b) AS root FROM cl GROUP BY ALL),
+    co AS (SELECT lb.sample_id, lb.t, lb.p, c, dense_rank() OVER (PARTITION BY lb.sample_id, lb.t ORDER BY root) AS component FROM lb JOIN px2 USING (sample_id, t, p))"""
+
+
+@query("SM2", f"{_COMPONENTS} SELECT sample_id, t, component, c AS class_id, count(*) AS area FROM co GROUP BY ALL")
+def sm2(spark, sf):
+    return semantic.component_table(fx.packed_masks(spark, sf)).select("sample_id", "t", "component", "class_id", "area")
+
+
+@query("JN9", f"{_COMPONENTS} SELECT b.sample_id, b.t, a.component, b.component AS after, count(*) AS shared FROM co a JOIN co b ON a.sample_id = b.sample_id AND a.t = b.t - 1 AND a.p = b.p AND a.c = b.c GROUP BY ALL")
+def jn9(spark, sf):
+    return semantic.component_overlaps(fx.packed_masks(spark, sf)).select("sample_id", "t", "component", "after", "shared")
+
+
+@query("SM3_JN10")
 def sm3(spark, sf):
-    """Components and their optimal matching have no SQL form."""
+    """The optimal matching of components has no SQL form."""
     return semantic.area_consistency(fx.packed_masks(spark, sf)).select("sample_id", *r6("sac"))
 
 
