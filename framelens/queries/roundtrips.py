@@ -247,6 +247,22 @@ def src10(spark, sf):
     return found.select(F.regexp_extract("path", "n_regionkey=([0-9]+)", 1).cast("int").alias("n_regionkey"), "frame_index", F.col("frame").cast("string").alias("frame"))
 
 
+def _header(content: bytes) -> dict:
+    """A probe of files whose first line has four numbers."""
+    frames, fps, width, height = (float(x) for x in content.split(b"\n")[0].split())
+    return {"frame_count": int(frames), "fps": fps, "width": int(width), "height": int(height)}
+
+
+@query("SRC9_files", "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE round((n_nationkey + 1) / 10.0, 6) END AS duration, n_nationkey % 5 <> 0 AND n_nationkey % 4 <> 0 AS readable, CASE WHEN n_nationkey % 5 = 0 THEN 'ValueError' END AS reason FROM nation")
+def src9_files(spark, sf):
+    """Properties of files by a probe; every fifth has a header that it can't read, every fourth no width."""
+    folder, k = shared(spark), F.col("n_nationkey")
+    header = F.when(k % 5 == 0, "nothing").otherwise(F.concat_ws(" ", k + 1, F.lit(10), F.when(k % 4 == 0, 0).otherwise(640), F.lit(480)))
+    fx.table(spark, sf, "nation").select("n_nationkey", header.alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(folder)
+    out = files.video_properties(files.probed(spark, folder, _header, "cv2"))
+    return out.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), *r6("duration"), "readable", F.substring_index("reason", ":", 1).alias("reason"))
+
+
 # Plug-ins
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from framelens.functions.text import path_suffix
 from framelens.schema import VIEWS
 
+#: Bytes of decoded frames that are passed on at once.
+_FRAMES = 1 << 24
 #: Suffixes of videos.
 VIDEO_SUFFIXES = (".mp4", ".avi", ".mov", ".mkv", ".webm")
 
@@ -104,17 +106,42 @@ def tensors(spark: SparkSession, path: str, kind: str = "int") -> DataFrame:
 
 
 def frames(spark: SparkSession, path: str, decode: Callable[[bytes], list[bytes]]) -> DataFrame:
-    """(path, frame_index, frame) by a decoder given; none is part of the library."""
+    """(path, frame_index, frame) by a decoder given; none is part of the library. Frames come in batches of bounded size."""
 
     def run(batches):
         for batch in batches:
             for p, content in zip(batch["path"], batch["content"]):
-                for i, frame in enumerate(decode(content)):
-                    yield pd.DataFrame({"path": [p], "frame_index": [i], "frame": [frame]})
+                held, size, first = [], 0, 0
+                for frame in decode(content):
+                    held.append(frame)
+                    size += len(frame)
+                    if size >= _FRAMES:
+                        yield pd.DataFrame({"path": p, "frame_index": range(first, first + len(held)), "frame": held})
+                        first, held, size = first + len(held), [], 0
+                if held:
+                    yield pd.DataFrame({"path": p, "frame_index": range(first, first + len(held)), "frame": held})
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(run, "path string, frame_index int, frame binary")
 
 
+def probed(spark: SparkSession, path: str, probe: Callable[[bytes], dict], backend: str) -> DataFrame:
+    """(path, frame_count, fps, width, height, backend, reason) of all files below, by a probe given; what it raises is the reason."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for p, content in zip(batch["path"], batch["content"]):
+                try:
+                    found = probe(content)
+                    rows.append((p, *(found.get(k) for k in ("frame_count", "fps", "width", "height")), backend, None))
+                except Exception as e:  # noqa: BLE001  any unreadable file is a row
+                    rows.append((p, None, None, None, None, backend, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "frame_count", "fps", "width", "height", "backend", "reason"]).astype({"frame_count": "Int32", "fps": "Float64", "width": "Int32", "height": "Int32"})
+
+    contents = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return contents.mapInPandas(run, "path string, frame_count int, fps double, width int, height int, backend string, reason string")
+
+
 def video_properties(probed: DataFrame) -> DataFrame:
     """Adds duration (frames over fps where both are positive) and readable (frames, width and height positive)."""
     both = (F.col("fps") > 0) & (F.col("frame_count") > 0)
