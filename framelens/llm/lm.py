@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import ranges, stage, text_buffers, text_groups, unstage
+from framelens.llm.common import stage, text_buffers, text_groups, unstage
 from framelens.llm.tokens import LOWER, mix, tokenize
 
 WORDS, BUCKETS, SIZE, CONTEXT = 191, 64, 16, 3
@@ -145,18 +145,26 @@ def _outputs(h: np.ndarray, bucket: np.ndarray, words: np.ndarray) -> np.ndarray
 
 def _contexts(out: np.ndarray, first: np.ndarray, context: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Targets with an end after each document, their contexts (the end fills up), and each document's first target."""
-    n = np.diff(first)
-    at = np.concatenate([[0], np.cumsum(n + 1)])
-    target = np.zeros(int(at[-1]), np.int64)
-    target[ranges(at[:-1], n)] = out
-    place = np.arange(len(target)) - np.repeat(at[:-1], n + 1)
-    before = np.zeros((len(target), context), np.int64)
+    target, at = _targets(out, first)
+    before = np.zeros((len(target), context), np.uint16)
     for k in range(context):
-        own = place > k
-        before[own, k] = target[np.flatnonzero(own) - k - 1]
+        before[k + 1 :, k] = target[: -k - 1]
+        for j in range(k + 1):  # a document's first targets have no such predecessor
+            before[at[:-1][np.diff(at) > j] + j, k] = 0
     return target, before, at
 
 
+def _targets(out: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs with an end after each document, and each document's first one."""
+    n = np.diff(first)
+    at = np.concatenate([[0], np.cumsum(n + 1)])
+    target = np.zeros(int(at[-1]), np.uint16)
+    own = np.ones(len(target), bool)
+    own[at[1:] - 1] = False
+    target[own] = out
+    return target, at
+
+
 class Parameters:
     """Context vectors r, output vectors q, diagonal matrices c and biases b."""
 
@@ -191,7 +199,7 @@ class Parameters:
         fake = 1 / (1 + np.exp((log_noise[noise] - self.b[noise])[None] - hat @ qn.T))
         d_hat = up[:, None] * qt + fake @ qn
         place = np.arange(size)
-        added = lambda at, v: np.bincount((at[:, None] * size + place).ravel(), v.ravel(), outputs * size).reshape(outputs, size)
+        added = lambda at, v: np.bincount((at.astype(np.int64)[:, None] * size + place).ravel(), v.ravel(), outputs * size).reshape(outputs, size)
         grad_q = added(target, up[:, None] * hat) + added(noise, fake.T @ hat)
         grad_b = np.bincount(target, up, outputs) + np.bincount(noise, fake.sum(axis=0), outputs)
         grad_r = sum(added(before[:, k], d_hat) * self.c[k] for k in range(len(near)))
@@ -206,7 +214,10 @@ class Parameters:
 
 
 def log_probabilities(tables, target: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Normalised natural log-probabilities of the targets."""
+    """Normalised natural log-probabilities of the targets.
+
+    Products are of one shape, the last block's too, so that a position's digits don't depend on its place.
+    """
     scaled, q, b = tables
     biased, ones = np.vstack([q, b[None]]), np.ones(len(b), np.float32)
     out = np.empty(len(target))
@@ -217,14 +228,14 @@ def log_probabilities(tables, target: np.ndarray, before: np.ndarray) -> np.ndar
         part[:, :-1] = scaled[0][c[:, 0]]
         for k in range(1, len(scaled)):
             part[:, :-1] += scaled[k][c[:, k]]
-        logits = part @ biased
+        logits = hat @ biased
         own = logits[np.arange(len(t)), t].astype(float)
         top = 0.0
         with np.errstate(over="ignore"):
-            total = np.exp(logits) @ ones
+            total = (np.exp(logits) @ ones)[: len(t)]
         if not (np.isfinite(total) & (total > 1e-30)).all():  # out of the range of floats without a shift
-            top = logits.max(axis=1)
-            total = np.exp(logits - top[:, None]) @ ones
+            top = logits.max(axis=1)[: len(t)]
+            total = np.exp(logits[: len(t)] - top[:, None]).sum(axis=1)
         out[lo : lo + _SCORE_ROWS] = own - top - np.log(total.astype(float))
     return out
 
@@ -275,12 +286,17 @@ def _trainer(flat: np.ndarray, probabilities: np.ndarray, size: int, context: in
         def learn():
             nonlocal held, waiting, steps
             first = np.concatenate([[0], np.cumsum([len(x) for x in held])])
-            target, before, _ = _contexts(np.concatenate(held).astype(np.int64), first, context)
-            order = rng.permutation(len(target))
-            for lo in range(0, len(order), BATCH):
-                part = order[lo : lo + BATCH]
-                noise = np.minimum(np.searchsorted(seat, rng.random(NOISE)), outputs - 1)
-                model.nce(target[part], before[part], noise, log_noise, rate, seen)
+            target, at = _targets(np.concatenate(held), first)
+            # a text of any length is mixed in slices
+            cuts = np.linspace(0, len(target), max(1, len(target) // MIXED) + 1).astype(np.int64)
+            for begin, stop in zip(cuts, cuts[1:]):
+                order = begin + rng.permutation(stop - begin)
+                place = order - at[np.searchsorted(at, order, "right") - 1]
+                before = np.stack([np.where(place > k, target[order - k - 1], 0) for k in range(context)], axis=1)
+                for lo in range(0, len(order), BATCH):
+                    part = order[lo : lo + BATCH]
+                    noise = np.minimum(np.searchsorted(seat, rng.random(NOISE)), outputs - 1)
+                    model.nce(target[part], before[lo : lo + BATCH], noise, log_noise, rate, seen)
             steps += len(target)
             held, waiting = [], 0
 
