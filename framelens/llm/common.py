@@ -72,9 +72,13 @@ def unstage(*tables: DataFrame) -> None:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """A staged table that outlives the scope it was made in."""
-    for scope in _scopes:
-        scope[:] = [x for x in scope if x is not df]
+    """A staged table that outlives the scope it was made in: it goes with the next outer one, if there is one."""
+    for i, scope in enumerate(_scopes):
+        if any(x is df for x in scope):
+            scope[:] = [x for x in scope if x is not df]
+            if i:
+                _scopes[i - 1].append(df)
+            break
     return df
 
 

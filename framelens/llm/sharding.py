@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.llm.common import stage, text_or_empty
+from framelens.llm.common import stage, text_or_empty, unstage
 
 DIGIT_BITS = 12
 FANOUT = 1 << DIGIT_BITS
@@ -148,6 +148,7 @@ def shard(docs: DataFrame, shards: int = 16, rows_per_bucket: int = 10_000, whol
     rows = stage(docs.select(*columns), "sizes")
     groups = stage(rows.groupBy(F.col("text_key").alias("key")).agg(F.sum("size").alias("bytes")).sort("key"), "groups")
     _, cuts = minimax_cuts(groups, shards)
+    unstage(groups)
     number = F.lit(0)
     for c in cuts:
         number = number + F.when(F.col("text_key") >= c, 1).otherwise(0)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import stage, text_buffers, text_groups
+from framelens.llm.common import keep, stage, staging, text_buffers, text_groups
 from framelens.llm.graph import components
 
 #: Generator polynomial of the binary Golay code, a fixed value.
@@ -171,7 +171,8 @@ def links(prints: DataFrame, threshold: int = 2, home_limit: int = 256) -> DataF
 def _labels(prints: DataFrame, threshold: int, home_limit: int) -> DataFrame:
     """(fp, component_id) for every fingerprint of ``prints`` (doc_id, fp)."""
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, threshold, home_limit))
+    with staging():
+        roots = keep(stage(components(links(distinct, threshold, home_limit)), "roots"))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")

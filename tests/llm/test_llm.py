@@ -837,7 +837,11 @@ def test_staged_tables_go_with_their_scope(spark):
         paths = [common._PATHS[x].removeprefix("file:") for x in (kept, gone)]
         common.unstage(gone)
         assert os.path.isdir(paths[0]) and not os.path.isdir(paths[1]) and kept.count() == 3
-    assert not os.path.isdir(paths[0]) and stays.count() == 4
+        with common.staging():
+            inner = common.keep(common.stage(spark.range(2), "inner"))
+        assert inner.count() == 2
+        paths.append(common._PATHS[inner].removeprefix("file:"))
+    assert not os.path.isdir(paths[0]) and not os.path.isdir(paths[2]) and stays.count() == 4
     common.unstage(stays)
 
 
@@ -848,3 +852,51 @@ def test_cuts_need_few_jobs(spark):
     for cap in (low + 50, low + 2000):
         before = order.jobs
         assert order.cuts(cap, 16) is not None and order.jobs - before <= 6
+
+
+def test_texts_beyond_a_group(spark, rows):
+    rng = np.random.default_rng(41)
+    words = np.array([f"w{i}" for i in range(3000)])[rng.integers(0, 3000, 600_000)]
+    item = prose(rng, 40)
+    near = words.copy()
+    near[::5000] = "edit"
+    far = rng.permutation(words)
+    docs = [r for r in rows if len(r[1] or "") < 50_000][:60]
+    docs += [(9000 + i, t, "s1") for i, t in enumerate((" ".join(words), " ".join(near), f"{' '.join(far[:300_000])} {item} {' '.join(far[300_000:])}"))]
+    assert len(docs[-1][1]) > 3 << 20
+    df = frame(spark, docs)
+    kept = {r.doc_id for r in similar.representatives(df).select("doc_id").collect()}
+    assert {9000, 9002} <= kept and 9001 not in kept
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [r.doc_id for r in decontam.contaminated(df, benchmark).collect()] == [9002]
+    scored = {r.doc_id: r for r in lm.language_model(df).collect()}
+    for i, t, _ in docs[-3:]:
+        assert scored[i].n_tokens == len(t.split()) + 1 and np.isfinite(scored[i].score) and scored[i].score < 0
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i, _, _ in docs if i is not None], "doc_id long, quality int, toxic int")
+    found = quality.scored(df, quality.train(df, labels)).collect()
+    assert len(found) == len(docs) and all(0 <= r.score <= 1 for r in found)
+    taken = {r.doc_id: r for r in mixing.mix(df).collect()}
+    assert all(taken[i].size == len(t.split()) for i, t, _ in docs[-3:])
+
+
+def test_a_log_probability_does_not_depend_on_its_place():
+    rng = np.random.default_rng(43)
+    model = lm.Parameters(40, 16, 3, rng.normal(size=40))
+    target, before = rng.integers(0, 40, 9001), rng.integers(0, 40, (9001, 3))
+    whole, order = lm.log_probabilities(model.tables(), target, before), rng.permutation(9001)
+    assert (lm.log_probabilities(model.tables(), target[order], before[order]) == whole[order]).all()
+    assert (lm.log_probabilities(model.tables(), target[:77], before[:77]) == whole[:77]).all()
+    model.b[3] += 300  # beyond the range of floats
+    far = lm.log_probabilities(model.tables(), target, before)
+    assert np.isfinite(far).all() and (far[target != 3] < -200).all()
+
+
+def test_contexts_are_the_words_before():
+    rng = np.random.default_rng(42)
+    for n in ([], [0], [1, 0, 5, 2, 0], [0, 0, 3]):
+        out = rng.integers(1, 9, sum(n))
+        first = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        target, before, at = lm._contexts(out, first, 3)
+        expected = [(list(out[a:b]) + [0]) for a, b in zip(first, first[1:])]
+        assert target.tolist() == [int(x) for d in expected for x in d] and at.tolist() == np.concatenate([[0], np.cumsum([len(d) for d in expected])]).tolist()
+        assert before.tolist() == [[int(d[p - k - 1]) if p > k else 0 for k in range(3)] for d in expected for p in range(len(d))]
