@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framelens.functions import numeric, text
 from framelens.operators import enrich, selection, shards
+from framelens.plans import registry
 from framelens.queries import fixtures as fx
 from framelens.queries.base import query, r6
 from framelens.queries.fixtures import SQL
@@ -137,6 +138,20 @@ def str4_valid(spark, sf):
     return _resolved(spark, sf, 8)
 
 
+@query("STR7", f"{SEEN} SELECT sample_id, reasons AS joined, CASE WHEN reasons = '' THEN 0 ELSE length(reasons) - length(replace(reasons, ';', '')) + 1 END AS n FROM r")
+def str7(spark, sf):
+    """Lists of reasons, joined."""
+    return manifest.inspected(fx.manifest_records(spark, sf)).select("sample_id", F.array_join("reasons", "; ").alias("joined"), F.size("reasons").alias("n"))
+
+
+@query("SET4", "SELECT left(r_name, 1) AS name, max(r_regionkey) AS rank, row_number() OVER (ORDER BY min(r_regionkey)) - 1 AS place FROM region GROUP BY 1")
+def set4(spark, sf):
+    """Configurations named by the first letters of regions: of each name the last one, at the place of the first."""
+    configs = [{"name": r.r_name[0], "rank": r.r_regionkey} for r in fx.table(spark, sf, "region").orderBy("r_regionkey").collect()]
+    found = registry.last_configs(configs)
+    return spark.createDataFrame([(c["name"], c["rank"], i) for i, c in enumerate(found)], "name string, rank long, place long")
+
+
 @query("STR5", r"""SELECT page_id, 'ds_' || coalesce(nullif(trim(regexp_replace(coalesce(nullif(trim(regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1)), ''), 'sample'), '[^a-zA-Z0-9_-]+', '_', 'g'), '_'), ''), 'sample') || '_' || substr(sha1(url), 1, 12) AS sample_id FROM pages""")
 def str5(spark, sf):
     return fx.table(spark, sf, "pages").select("page_id", text.sample_id(F.lit("ds"), F.col("url")).alias("sample_id"))

@@ -18,6 +18,7 @@ from framelens.queries import fixtures as fx
 from framelens.queries.base import ORACLE_SQL, QUERIES, query, r6
 from framelens.queries.fixtures import SQL
 from framelens.sources import files, manifest, sinks
+from framelens.streaming.incremental import running_scores
 from framelens.sources.registry import build_dataset, load_config, register_datasets
 
 
@@ -263,6 +264,22 @@ def src9_files(spark, sf):
     return out.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("n_nationkey"), *r6("duration"), "readable", F.substring_index("reason", ":", 1).alias("reason"))
 
 
+@query("STREAM_IC1", ORACLE_SQL["IC1"])
+def stream(spark, sf):
+    """Objects' scores of a stream, whose files hold the earlier and the later frames and arrive one by one."""
+    folder, keys = shared(spark), ["sample_id", "view", "object_id"]
+    frames = fx.frames(spark, sf)
+    middle = frames.agg(F.avg("frame_index")).first()[0]
+    for part in (frames.where(F.col("frame_index") < middle), frames.where(F.col("frame_index") >= middle)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    rows = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    scores = running_scores(rows, keys, "frame_index", "feature")
+    write = lambda df, i: df.write.mode("append").parquet(f"{folder}/out")
+    scores.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = F.max_by(F.struct("n_frames", "score"), "n_frames").alias("x")
+    return spark.read.parquet(f"{folder}/out").groupBy(*keys).agg(last).select(*keys, "x.n_frames", "x.score").select(*keys, "n_frames", *r6("score"))
+
+
 # Plug-ins
 
 

@@ -266,3 +266,18 @@ def test_images(spark, tmp_path):
     sinks.write_images(sinks.encoded_images(df), f"file://{tmp_path}/remote")
     assert (tmp_path / "local/a.png").read_bytes() == (tmp_path / "remote/a.png").read_bytes()
     assert files.png_pixels((tmp_path / "local/a.png").read_bytes()).tolist() == [[0, 50], [255, 255]]
+
+
+def test_a_running_score_is_that_of_the_whole_clip():
+    from framelens.streaming.incremental import advanced, score_of
+
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 4, 11):
+        f = rng.normal(size=(n, 3))
+        for cuts in ([n], [1] * n, [1, n - 1] if n > 1 else [1], [n // 2, n - n // 2] if n > 1 else [1]):
+            state, at = (0, True, [], 0.0, 0.0, 0.0), 0
+            for c in cuts:
+                state = advanced(state, f[at : at + c])
+                at += c
+            assert state[0] == n and (score_of(state)[2] is None if n < 2 else score_of(state)[2] == pytest.approx(coherence_of(f)))
+    assert score_of(advanced((2, True, [1.0, 0.0, 1.0, 0.0], 0.0, 1.0, 0.0), np.array([[np.nan, 0.0]]))) == (None, None, None)
