@@ -84,8 +84,3 @@ def to_generate(wanted: DataFrame, existing: DataFrame, force: bool = False, key
 def with_frame_guard(frames: DataFrame) -> DataFrame:
     """(sample_id, view, n_frames) with the error of clips that are too short for a depth map."""
     return frames.withColumn("error", F.when(F.col("n_frames") < 2, "at least two frames are required"))
-
-
-def patch_columns(kind: str):
-    """The keys that a generator adds, for documentation and checks of patches."""
-    return {"depth": ("depth_maps", "depth_num_frames"), "semantic": ("semantic_masks", "semantic_num_classes", "semantic_ignore_label")}[kind]

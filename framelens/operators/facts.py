@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.operators import coherence, instances, semantic
+from framelens.operators import instances, semantic
 from framelens.operators.sequences import nested_mean, sequence_scores
 from framelens.schema import VIEWS
 from framelens.sources.manifest import at, kind

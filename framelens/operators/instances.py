@@ -134,11 +134,6 @@ def _first_given(field: str):
     return F.try_element_at(F.filter("h", lambda x: ~x[field].isin("null", "[]", "{}")), F.lit(1))[field]
 
 
-def with_side_maps(tracks: DataFrame, sides: DataFrame, keys=TRACK_KEYS) -> DataFrame:
-    """Full outer merge by id: unmatched ids of the side map become tracks."""
-    return tracks.join(sides, list(keys), "full_outer")
-
-
 def has_signal(boxes: str = "boxes", scores: str = "class_scores", identities: str = "identities"):
     return (F.coalesce(F.size(boxes), F.lit(0)) > 0) | (F.coalesce(F.size(scores), F.lit(0)) > 0) | (F.coalesce(F.size(identities), F.lit(0)) > 0)
 

@@ -288,12 +288,6 @@ def area_consistency(masks: DataFrame, keys: Sequence[str] = CLIP, min_iou: floa
     return clip_scores(masks, keys, min_iou=min_iou, parts=("sac",)).select(*keys, "sac")
 
 
-def tscs(lfr: DataFrame, sac: DataFrame, cds: DataFrame, keys: Sequence[str] = CLIP) -> DataFrame:
-    """keys, score = 0.5 lfr + 0.4 sac + 0.1 cds."""
-    joined = lfr.join(sac, list(keys)).join(cds, list(keys))
-    return joined.select(*keys, clamp01(0.5 * F.col("lfr") + 0.4 * F.col("sac") + 0.1 * F.col("cds")).alias("score"))
-
-
 def matching_label(clips: DataFrame, ignore: int = IGNORE) -> DataFrame:
     """Clips whose declared ignore label (a view's, else the sample's, else the default) is the configured one."""
     return clips.where(F.coalesce(F.try_element_at("label_per_view", F.col("view")), F.col("label_overall"), F.lit(ignore)) == ignore)

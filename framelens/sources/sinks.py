@@ -95,11 +95,6 @@ def write_rows(path: str, head: dict | None, field: str, rows: Iterable) -> None
         write(("\n" + " " * deep + "]" if count else "[]") + ("\n}\n" if head is not None else "\n"))
 
 
-def one_row(df: DataFrame) -> dict:
-    """A report of one row."""
-    return df.first().asDict(recursive=True)
-
-
 def write_table(df: DataFrame, path: str, kind: str = "parquet", by=()) -> None:
     """Parquet or JSON lines, in parts; ``by`` columns become folders."""
     df.write.mode("overwrite").partitionBy(*by).format(kind).save(path)

@@ -281,3 +281,11 @@ def test_a_running_score_is_that_of_the_whole_clip():
                 at += c
             assert state[0] == n and (score_of(state)[2] is None if n < 2 else score_of(state)[2] == pytest.approx(coherence_of(f)))
     assert score_of(advanced((2, True, [1.0, 0.0, 1.0, 0.0], 0.0, 1.0, 0.0), np.array([[np.nan, 0.0]]))) == (None, None, None)
+
+
+def test_tagged_indexes_and_short_clips(spark):
+    df = spark.createDataFrame([('{"a": [1, 2], "b": 3}',)], "j string").select(F.parse_json("j").alias("payload"))
+    found = df.select(F.explode(manifest.tagged_items(F.col("payload"))).alias("e")).select("e.key", F.to_json("e.value").alias("v")).collect()
+    assert {r.key: r.v for r in found} == {"a": "[1,2]", "b": "3"}
+    clips = spark.createDataFrame([("s", "v", 1), ("s", "w", 2)], "sample_id string, view string, n_frames int")
+    assert {r.view: r.error for r in enrich.with_frame_guard(clips).collect()} == {"v": "at least two frames are required", "w": None}
