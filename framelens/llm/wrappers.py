@@ -47,8 +47,12 @@ BOUNDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 NO_TEXT = frozenset("head nav footer aside form button select menu dialog iframe object embed script style noscript template textarea title svg noembed noframes xmp canvas audio video map".split())
 CONTAINERS = ("article", "main")
 #: Words of class, id or role that mark what is no main text, and words that may stand beside them.
-NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments respond reply replies disqus consent cookie cookies gdpr footer header masthead nav navbar navigation menu sidebar aside notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended promo promotion promoted sponsor sponsored toolbar widget pagination pager skip search form disclaimer complementary contentinfo hidden".split())
-BESIDE = frozenset("area bar block body bottom box button buttons col column container content div element first global group holder inner item items last left link links list main page panel post posts primary right row section secondary site slot text top unit wrap wrapper".split())
+NOISE = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising aside alert alerts banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disclaimer disqus footer footers form forms gdpr header headers hidden login masthead menu menus modal nav navbar navigation newsletter newsletters notice notices overlay pager pagination popup popups promo promos promotion promoted recommended recommendations related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
+)
+BESIDE = frozenset(
+    "a area article bar big block blog body bottom box boxes button buttons by card cards col column container content count desktop div element entry first fixed float floating global google grid group holder icon icons id inline inner item items large last left link links list main mini mobile new news of outer page panel post posts primary reader readers right row section secondary site slot small sticky story text the thread title top unit user users visitor wide wrap wrapper".split()
+)
 CONTENT = frozenset("article post entry story content main body text".split())
 #: Children of an element, and different labels, beyond which they are generalised; depth of expressions.
 WIDEST, DEEPEST = 64, 40
@@ -275,7 +279,7 @@ def noisy(tag: str, marks, inside: bool) -> bool:
         return True
     if tag in CONTAINERS or tag in ("body", "html"):
         return "hidden" in marks
-    return any(noise_mark(m, NOISE - {"header", "masthead"} if inside else NOISE) for m in marks)
+    return any(noise_mark(m, NOISE - {"header", "headers", "masthead"} if inside else NOISE) for m in marks)
 
 
 def _mass(x: list) -> tuple[int, int]:

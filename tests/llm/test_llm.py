@@ -610,6 +610,13 @@ def test_main_texts_are_those_of_a_plain_extractor_in_every_layout(spark):
         assert found[0][i] == plain.text()
 
 
+def test_names_of_blocks():
+    noise = "ad ad-box banner-top user-comments article-share related-posts cookie-notice site-header sidebar-left comment-body newsletter-signup"
+    assert all(wrappers.noise_mark(m) for m in noise.split())
+    assert not any(wrappers.noise_mark(m) for m in (*KEPT, "adventure", "content", "article-body", "main-text", "story", "post", "formal", "header-files-explained"))
+    assert wrappers._marks('class="Ad3 mainText ad_box" id=post-12 role="main"') == ("ad", "ad-box", "main", "main-text", "post")
+
+
 def test_deep_and_wide_pages():
     deep = '<div class="page"><article><h1>T</h1>' + "<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000 + "<p>one</p><p>two</p></article></div><p>out</p>"
     wide = "<article>" + "".join(f'<{t} class="c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}">{i}</{t}>' for i, t in enumerate(np.random.default_rng(3).choice(["p", "h2", "ul", "div"], 20_000))) + "</article>"
