@@ -262,6 +262,28 @@ def test_similar_texts_link_by_their_exact_sets(spark):
     assert {r.doc_id for r in similar.representatives(frame(spark, rows)).collect()} == kept
 
 
+@pytest.mark.parametrize("block", [2, 4096])
+def test_bands_of_several_components(spark, monkeypatch, block):
+    """Texts that share bands but not all links: half of them grow out of one base by edits, so that some pairs reach 0.8 and many don't."""
+    monkeypatch.setattr(similar, "BLOCK_ROWS", block)
+    monkeypatch.setattr(similar, "STAR_ROWS", block)
+    rng = np.random.default_rng(51)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for i in range(160):
+        w = list(base) if i % 4 else [f"c{i % 3}x{j}" for j in range(50)]
+        for at in rng.choice(len(w), int(rng.integers(0, 4)), replace=False):
+            w[at] = f"e{rng.integers(0, 40)}"
+        texts.append(" ".join(w))
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    sets = [shingle_set(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    node, root = graph.local_roots(*np.array(near).T)
+    expected = set(range(len(texts))) - {int(n) for n, r in zip(node, root) if n != r}
+    assert 3 < len(expected) < 120
+    assert {r.doc_id for r in similar.representatives(frame(spark, rows)).collect()} == expected
+
+
 # containment
 
 
