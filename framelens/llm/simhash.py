@@ -155,7 +155,8 @@ def links(prints: DataFrame, threshold: int = 2, home_limit: int = 256) -> DataF
     homes = homes.join(crowded, "anchor", "left").where("crowded IS NULL").select("anchor", F.col("fp").alias("home"))
     homes = stage(homes.unionByName(crowded.select("anchor", F.lit(None).cast("long").alias("home"))), "homes")
     guests = prints.select("fp").mapInArrow(_replicas(threshold, False), "anchor long, fp long")
-    met = guests.join(homes, "anchor").where(F.col("home").isNull() | ((F.bit_count(F.col("fp").bitwiseXOR(F.col("home"))) <= threshold) & (F.col("fp") != F.col("home"))))
+    # not by broadcast: Spark takes the replicas, many a fingerprint, for as small as what they are made of
+    met = guests.hint("merge").join(homes, "anchor").where(F.col("home").isNull() | ((F.bit_count(F.col("fp").bitwiseXOR(F.col("home"))) <= threshold) & (F.col("fp") != F.col("home"))))
     met = stage(met.select("fp", "home"), "met")
     direct = met.where("home IS NOT NULL").select(F.col("fp").alias("a"), F.col("home").alias("b"))
     hot = met.where("home IS NULL").select("fp").distinct()

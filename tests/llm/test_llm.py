@@ -163,6 +163,18 @@ def test_every_near_pair_meets_at_a_home_anchor():
         assert home[i] in own and len(set(own.tolist())) == len(own) and is_home[row == i].sum() == 1
 
 
+def test_replicas_are_not_broadcast(spark, rows, monkeypatch):
+    plans = {}
+
+    def staged(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return common.stage(df, name)
+
+    monkeypatch.setattr(simhash, "stage", staged)
+    simhash.near_duplicates(frame(spark, rows))
+    assert "SortMergeJoin" in plans["met"] and "Broadcast" not in plans["met"]
+
+
 def shingle_set(text, k=5):
     w = words_of(text)
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
