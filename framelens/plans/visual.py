@@ -23,14 +23,16 @@ def mosaic(tiles: DataFrame, names=VIEWS) -> DataFrame:
 
     ``tiles``: sample_id, view, h, w, y, x, value.  The first view's size is the size of all tiles: a
     pixel of another view takes the nearest one of its own.  Samples without all views are left out.
+
+    Joins merge: Spark takes exploded pixels for as small as what they are made of, and would broadcast them.
     """
     size = tiles.where(F.col("view") == names[0]).groupBy("sample_id").agg(F.max("h").alias("th"), F.max("w").alias("tw"))
     complete = tiles.groupBy("sample_id").agg(F.count_distinct(F.when(F.col("view").isin(*names), F.col("view"))).alias("n")).where(F.col("n") == len(names)).select("sample_id")
-    at = each_view(size.join(complete, "sample_id"), names)
+    at = each_view(size.hint("merge").join(complete, "sample_id"), names)
     at = at.withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("th") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("tw") - 1)))
     shape = tiles.groupBy("sample_id", "view").agg(F.max("h").alias("vh"), F.max("w").alias("vw"))
-    at = at.join(shape, ["sample_id", "view"]).withColumn("y", F.floor((F.col("ty") + 0.5) * F.col("vh") / F.col("th")).cast("int")).withColumn("x", F.floor((F.col("tx") + 0.5) * F.col("vw") / F.col("tw")).cast("int"))
-    out = at.join(tiles.select("sample_id", "view", "y", "x", "value"), ["sample_id", "view", "y", "x"])
+    at = at.hint("merge").join(shape, ["sample_id", "view"]).withColumn("y", F.floor((F.col("ty") + 0.5) * F.col("vh") / F.col("th")).cast("int")).withColumn("x", F.floor((F.col("tx") + 0.5) * F.col("vw") / F.col("tw")).cast("int"))
+    out = at.hint("merge").join(tiles.select("sample_id", "view", "y", "x", "value"), ["sample_id", "view", "y", "x"])
     return out.select("sample_id", (F.floor(F.col("view_rank") / 3) * F.col("th") + F.col("ty")).cast("int").alias("y"), ((F.col("view_rank") % 3) * F.col("tw") + F.col("tx")).cast("int").alias("x"), "value")
 
 

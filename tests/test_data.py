@@ -202,6 +202,15 @@ def test_mosaic_and_target_status(spark):
     assert {r.sample_id: (r.status, r.reason) for r in visual.target_status_of_parts(parts).collect()} == {"a": ("success", "r1"), "b": ("partial", "r0"), "c": ("skipped", None)}
 
 
+def test_a_mosaic_does_not_broadcast_pixels(spark):
+    tiles = spark.range(12).select(F.expr("CAST(id div 6 AS string)").alias("sample_id"), F.element_at(F.array(*map(F.lit, VIEWS)), (F.col("id") % 6 + 1).cast("int")).alias("view"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("id").alias("value"))
+    for axis in ("y", "x"):
+        tiles = tiles.withColumn(axis, F.explode(F.sequence(F.lit(0), F.lit(7))))
+    out = visual.mosaic(tiles)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 2 * 6 * 64 == out.select("sample_id", "y", "x").distinct().count()
+
+
 def test_scores_of_a_stream(spark, tmp_path):
     rng = np.random.default_rng(9)
     kind = "sample_id string, view string, frame_index int, feature array<double>"
