@@ -120,8 +120,8 @@ def snk5(spark, sf):
     pick = lambda df, kind, n: df.select("dataset_name", F.lit(kind).alias("kind"), "metric", F.try_variant_get("m", "$.status", "string").alias("status"), F.lit(None).cast("string").alias("sample_id"), F.lit(None).cast("string").alias("reason"), F.try_variant_get("m", f"$.{n}", "long").alias("n"))
     metrics_ = pick(body.where("metric <> '_failed_metrics'"), "summary", "valid_sample_count")
     bad = body.where("metric = '_failed_metrics'").select("dataset_name", F.explode(F.try_variant_get("m", "$", "map<string,variant>")).alias("metric", "m"))
-    samples = _report(spark, f"{folder}/failed_samples.json", dataset_name="string", failed_samples="array<struct<metric string, status string, sample_id string, reason string>>")
-    samples = samples.select("dataset_name", F.lit("failed sample").alias("kind"), F.explode("failed_samples").alias("x")).select("dataset_name", "kind", "x.metric", "x.status", "x.sample_id", "x.reason", F.lit(None).cast("long").alias("n"))
+    head, samples = manifest.read_report(spark, f"{folder}/failed_samples.json", "failed_samples", "metric string, status string, sample_id string, reason string", f"{folder}/read")
+    samples = samples.select(F.lit(head["dataset_name"]).alias("dataset_name"), F.lit("failed sample").alias("kind"), "metric", "status", "sample_id", "reason", F.lit(None).cast("long").alias("n"))
     return metrics_.unionByName(pick(bad, "failed metric", "failed_sample_count")).unionByName(samples)
 
 

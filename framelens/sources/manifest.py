@@ -5,11 +5,15 @@ A record is a VARIANT, so that missing, null and wrongly typed values can be tol
 
 from __future__ import annotations
 
+import codecs
+import json
+from collections.abc import Iterable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.schema import VIEWS
-from framelens.sources.sinks import exists
+from framelens.sources.sinks import exists, open_text, read_chunks
 
 #: Keys that can hold the list of an index, in the order of trial.
 CONTAINERS = ("samples", "data", "items", "records", "infos", "entries")
@@ -33,6 +37,81 @@ def read_payload(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.parse_json("value").alias("payload"))
 
 
+def entries(chunks: Iterable[bytes], field: str) -> Iterator[tuple]:
+    """(key, value) of a JSON object that comes in chunks; for ``field``, if it holds a list, (field, item) by item."""
+    chunks, decoder, scan = iter(chunks), codecs.getincrementaldecoder("utf-8")(), json.JSONDecoder().raw_decode
+    text, at, ended = "", 0, False
+
+    def more() -> None:
+        nonlocal text, at, ended
+        data = next(chunks, b"")
+        ended = not data
+        text, at = text[at:] + decoder.decode(data, ended), 0
+
+    def ahead() -> str:
+        nonlocal at
+        while True:
+            while at < len(text) and text[at] in " \t\n\r":
+                at += 1
+            if at < len(text) or ended:
+                return text[at : at + 1]
+            more()
+
+    def taken(of: str) -> str:
+        nonlocal at
+        if not (found := ahead()) or found not in of:
+            raise ValueError(f"no JSON object: {found!r} where one of {of!r} should be")
+        at += 1
+        return found
+
+    def value():
+        nonlocal at
+        while True:
+            ahead()
+            try:
+                found, end = scan(text, at)
+            except json.JSONDecodeError:
+                if ended:
+                    raise
+            else:
+                if ended or text[end : end + 1] in (*" \t\n\r,:]}",):  # else a number could go on
+                    at = end
+                    return found
+            more()
+
+    taken("{")
+    after = "," if ahead() != "}" else taken("}")
+    while after == ",":
+        key = value()
+        taken(":")
+        if key == field and ahead() == "[":
+            taken("[")
+            after = "," if ahead() != "]" else taken("]")
+            while after == ",":
+                yield key, value()
+                after = taken(",]")
+        else:
+            yield key, value()
+        after = taken(",}")
+    if ahead():
+        raise ValueError("no JSON object: there is more after it")
+
+
+def read_report(spark: SparkSession, path: str, field: str, schema: str, folder: str) -> tuple[dict, DataFrame]:
+    """What a JSON report holds beside the list ``field``, and the list's rows, however many.
+
+    The driver reads a chunk at a time and hands the rows on as JSON lines in ``folder``, which it shares with the executors.
+    """
+    head, lines = {}, f"{folder.rstrip('/')}/{field}.jsonl"
+    with open_text(lines) as write:
+        for key, value in entries(read_chunks(path), field):
+            if key == field:
+                write(json.dumps(value, ensure_ascii=False) + "\n")
+            else:
+                head[key] = value
+    return head, spark.read.schema(schema).json(lines, mode="FAILFAST")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(index, record) of a manifest: a JSON file, or a folder of Parquet with index and JSON text."""
     if path.endswith("/"):

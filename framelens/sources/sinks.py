@@ -8,15 +8,18 @@ import json
 import re
 import struct
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes that go through Spark's file systems in one call, and rows that an executor renders as one text.
+CHUNK, RENDERED = 1 << 20, 4096
 LAYOUT = ("logs", "metrics", "summaries", "failed_samples", "references/depth", "references/semantic", "references/tracks", "visualizations/depth", "visualizations/semantic", "visualizations/match")
 
 
@@ -58,9 +61,33 @@ def open_bytes(path: str):
             yield file.write
         return
     target, fs = _remote(path)
-    stream = fs.create(target, True)
+    stream, held = fs.create(target, True), bytearray()
+
+    def write(data: bytes) -> None:
+        held.extend(data)
+        if len(held) >= CHUNK:
+            stream.write(held)
+            held.clear()
+
+    try:
+        yield write
+        stream.write(held)
+    finally:
+        stream.close()
+
+
+def read_chunks(path: str) -> Iterator[bytes]:
+    """The bytes of a file, a chunk at a time; a path with a scheme goes through Spark's file systems."""
+    if is_remote(path):
+        target, fs = _remote(path)
+        stream = fs.open(target)
+        read = lambda: bytes(stream.readNBytes(CHUNK))
+    else:
+        stream = Path(path).open("rb")
+        read = lambda: stream.read(CHUNK)
     try:
-        yield lambda data: stream.write(bytearray(data))
+        while data := read():
+            yield data
     finally:
         stream.close()
 
@@ -82,19 +109,38 @@ def write_report(path: str, value) -> None:
         write(_json(value) + "\n")
 
 
-def write_rows(path: str, head: dict | None, field: str, rows: Iterable) -> None:
-    """A report with a list that is written row by row: under ``field`` after ``head``, or the list alone."""
+def _item(row, deep: int) -> str:
+    return "\n" + " " * (deep + 2) + _json(row, deep + 2)
+
+
+def _write_items(path: str, head: dict | None, field: str, items: Iterable[str]) -> None:
     deep = 2 if head is not None else 0
     with open_text(path) as write:
         if head is not None:
             write("{\n" + "".join(f"  {_json(k)}: {_json(v, 2)},\n" for k, v in head.items()) + f"  {_json(field)}: ")
         count = 0
-        for row in rows:
-            write(("[" if not count else ",") + "\n" + " " * (deep + 2) + _json(row, deep + 2))
+        for item in items:
+            write(("[" if not count else ",") + item)
             count += 1
         write(("\n" + " " * deep + "]" if count else "[]") + ("\n}\n" if head is not None else "\n"))
 
 
+def write_rows(path: str, head: dict | None, field: str, rows: Iterable) -> None:
+    """A report with a list that is written row by row: under ``field`` after ``head``, or the list alone."""
+    _write_items(path, head, field, (_item(row, 2 if head is not None else 0) for row in rows))
+
+
+def write_frame(path: str, head: dict, field: str, rows: DataFrame) -> None:
+    """The same report of the rows of a table, in their order: executors render them, the driver holds a partition's text at a time."""
+
+    def render(batches):
+        for batch in batches:
+            texts = [",".join(_item(row, 2) for row in batch.slice(lo, RENDERED).to_pylist()) for lo in range(0, batch.num_rows, RENDERED)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+
+    _write_items(path, head, field, (r.text for r in rows.mapInArrow(render, "text string").toLocalIterator()))
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet", by=()) -> None:
     """Parquet or JSON lines, in parts; ``by`` columns become folders."""
     df.write.mode("overwrite").partitionBy(*by).format(kind).save(path)
@@ -132,8 +178,7 @@ def summary_reports(summary: DataFrame, failed: DataFrame, folder: str, context:
     head = counts | (context or {})
     write_report(f"{folder}/summary.json", head | {"summary": body | {"_failed_metrics": {m: r for m, r in body.items() if r["status"] == "failed"}}})
     write_table(failed, f"{folder}/failed_samples", "json")
-    rows = (r.asDict() for r in failed.orderBy("metric", "status", "sample_id").toLocalIterator())
-    write_rows(f"{folder}/failed_samples.json", head, "failed_samples", rows)
+    write_frame(f"{folder}/failed_samples.json", head, "failed_samples", failed.orderBy("metric", "status", "sample_id"))
 
 
 def write_tensors(frames: DataFrame, folder: str, keys=("generator", "sample_id", "view")) -> DataFrame:

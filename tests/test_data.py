@@ -211,6 +211,39 @@ def test_a_mosaic_does_not_broadcast_pixels(spark):
     assert out.count() == 2 * 6 * 64 == out.select("sample_id", "y", "x").distinct().count()
 
 
+def test_reports_of_any_length_are_read_and_written_by_pieces(spark, tmp_path, monkeypatch):
+    rows = [{"s": f"é\n \"{i}", "v": None if i % 3 else f"{i}"} for i in range(25)]
+    whole = {"n": 12, "rows": rows, "deep": {"rows": [1]}, "last": 1.5e3}
+    for shown in (json.dumps(whole, indent=2, ensure_ascii=False), json.dumps(whole)):
+        data = shown.encode()
+        for size in (1, 7, 1 << 20):
+            found = list(manifest.entries((data[i : i + size] for i in range(0, len(data), size)), "rows"))
+            assert found == [("n", 12), *(("rows", r) for r in rows), ("deep", {"rows": [1]}), ("last", 1500.0)]
+    assert list(manifest.entries([b'{"rows": [], "a": [1]} '], "rows")) == [("a", [1])] and not list(manifest.entries([b"{}"], "rows"))
+    for bad in (b"", b"[1]", b'{"rows": [1', b'{"rows": [1}', b'{"a": 1} 2', b'{"a" 1}'):
+        with pytest.raises(ValueError):
+            list(manifest.entries([bad], "rows"))
+    monkeypatch.setattr(sinks, "CHUNK", 50)
+    monkeypatch.setattr(sinks, "RENDERED", 4)
+    for root in (str(tmp_path / "plain"), f"file://{tmp_path}/scheme"):
+        df = spark.createDataFrame(rows, "s string, v string").coalesce(1)
+        sinks.write_frame(f"{root}/r.json", {"n": 12}, "rows", df)
+        sinks.write_rows(f"{root}/same.json", {"n": 12}, "rows", rows)
+        assert b"".join(sinks.read_chunks(f"{root}/r.json")) == b"".join(sinks.read_chunks(f"{root}/same.json"))
+        head, read = manifest.read_report(spark, f"{root}/r.json", "rows", "s string, v string", f"{root}/read")
+        assert head == {"n": 12} and sorted(map(tuple, read.collect())) == sorted((r["s"], r["v"]) for r in rows)
+
+
+def test_the_list_of_failed_samples_is_not_one_value(spark, tmp_path, monkeypatch):
+    from framelens.queries import base, roundtrips
+
+    spark.range(700).selectExpr("id AS o_orderkey", "IF(id % 2 = 0, '5-LOW', '1-URGENT') AS o_orderpriority", "id * 1.5D AS o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    read = manifest.read_payload
+    monkeypatch.setattr(roundtrips.manifest, "read_payload", lambda s, path: read(s, path).where(F.octet_length(F.to_json("payload")) < 20_000))
+    out = base.QUERIES["SNK5"](spark, str(tmp_path)).groupBy("kind").count().collect()
+    assert {r[0]: r[1] for r in out} == {"summary": 2, "failed metric": 1, "failed sample": 350 + 350 // 7 + 27}
+
+
 def test_scores_of_a_stream(spark, tmp_path):
     rng = np.random.default_rng(9)
     kind = "sample_id string, view string, frame_index int, feature array<double>"
