@@ -25,8 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more, by SimHash.
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more.
 
+    By SimHash with covering-code anchors, as op8; MinHash bands add pairs beyond two bits, exact sets decide.
     Texts without words are copies of each other, so one of them stays.
     """
     return representatives(docs)

@@ -169,11 +169,16 @@ def links(prints: DataFrame, threshold: int = 2, home_limit: int = 256) -> DataF
     return direct.unionByName(through)
 
 
+def linked(prints: DataFrame, threshold: int = 2, home_limit: int = 256) -> DataFrame:
+    """(node, root), staged, for every fingerprint of ``prints`` (fp, all different) that isn't its component's smallest."""
+    with staging():
+        return keep(stage(components(links(prints, threshold, home_limit)), "roots"))
+
+
 def _labels(prints: DataFrame, threshold: int, home_limit: int) -> DataFrame:
     """(fp, component_id) for every fingerprint of ``prints`` (doc_id, fp)."""
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    with staging():
-        roots = keep(stage(components(links(distinct, threshold, home_limit)), "roots"))
+    roots = linked(distinct, threshold, home_limit)
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")

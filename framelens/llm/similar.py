@@ -1,10 +1,13 @@
-"""Near-duplicates at a Jaccard similarity of word shingles: MinHash bands and SimHash for candidates, exact sets to decide.
+"""Near-duplicates at a Jaccard similarity of word shingles: SimHash by covering-code anchors, then MinHash bands, for candidates, exact sets to decide.
 
 Two texts link when their whole sets of shingles (64-bit hashes) have a similarity of 0.8 or more;
-texts of one set are one node.  Candidates share one of 24 bands of four MinHash values, which a pair
-of similarity s misses with a chance of (1 - s^4)^24 whatever its sizes: 3e-6 for s = 0.8.
+texts of one set are one node.  Candidates are, first, all that op8's operator connects: nodes whose
+SimHashes of 64 bits differ in at most two, by the anchors of a covering code, without a miss.  A pair of
+similarity 0.8 differs in about ten, where replicas would be too many; so those that share one of 24
+bands of four MinHash values are candidates too, which a pair of similarity s misses with a chance of
+(1 - s^4)^24 whatever its sizes: 3e-6 for s = 0.8.  A component of SimHashes is one band more.
 
-Fingerprints only sort out candidates.  They have 256 bits, the majority of the hashes of a text's
+Longer fingerprints sort out candidates before.  They have 256 bits, the majority of the hashes of a text's
 distinct shingles.  Two texts of similarity 0.8 differ in 0.15 of the bits, in small sets in up to
 0.19 (four of five shingles shared, 48 +- 6.2 bits), so ``THRESHOLD`` leaves five standard
 deviations; 64 of the bits, in turn by band, part the rows of a band before.
@@ -25,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.llm.common import ranges, stage, text_buffers, text_groups, unstage
+from framelens.llm.common import keep, ranges, stage, staging, text_buffers, text_groups, unstage
 from framelens.llm.graph import components, local_roots
+from framelens.llm.simhash import linked
 from framelens.llm.tokens import mix, shingles, tokenize
 
 BITS, BANDS, BAND_VALUES = 256, 24, 4
@@ -281,6 +285,23 @@ def meetings(nodes: DataFrame) -> DataFrame:
     return homes.repartition("key").sortWithinPartitions("key", "root").mapInArrow(_meetings, "key long, n long, node long")
 
 
+def _simhashes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ascontiguousarray(_matrix(batch.column(1))[:, 0]).view(np.int64))], ["node", "fp"])
+
+
+def anchored(nodes: DataFrame) -> DataFrame:
+    """(key, node), staged: of ``nodes`` (node, print, bands) all whose SimHash, the first 64 bits, is that of another or linked with one."""
+    with staging():
+        prints = stage(nodes.where(F.length("bands") > 0).select("node", "print").mapInArrow(_simhashes, "node long, fp long"), "simhashes")
+        roots = linked(stage(prints.select("fp").distinct(), "distinct")).withColumnRenamed("node", "a")
+        root = F.coalesce("root", "fp")
+        key = F.lit(BANDS << 58).bitwiseOR(F.shiftrightunsigned(F.xxhash64(root), 6)).alias("key")
+        own = stage(prints.join(roots, F.col("fp") == F.col("a"), "left").select(key, "node"), "classes")
+        several = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        return keep(stage(own.join(several, "key"), "anchored"))
+
+
 def stars(met: DataFrame, texts: DataFrame, k: int = 5) -> DataFrame:
     """(a, b): links between each node of ``met`` (key, node) and the smallest node of those keys that it shares with most."""
     hubs = met.groupBy("key").agg(F.min("node").alias("hub"))
@@ -336,7 +357,9 @@ def labels(docs: DataFrame, prints: DataFrame, k: int = 5, threshold: int = THRE
     """(root, and KEYS of a row) for every set of ``prints`` (KEYS, fp, print, bands), made of ``docs``: those with one root are connected."""
     nodes = prints.groupBy("fp").agg(F.min(F.struct(*KEYS)).alias("of"), F.any_value("print").alias("print"), F.any_value("bands").alias("bands"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    met = stage(meetings(nodes).select("key", "node"), "met")
+    near = anchored(nodes)
+    met = stage(meetings(nodes).select("key", "node").unionByName(near), "met")
+    unstage(near)
     wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "print", "of.*")
     texts = docs.select(*_row_keys(docs), F.coalesce("text", F.lit("")).alias("text")).join(wanted, KEYS)
     texts = stage(texts.select("node", "print", "text").dropDuplicates(["node"]), "texts")

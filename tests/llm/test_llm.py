@@ -274,6 +274,23 @@ def test_similar_texts_link_by_their_exact_sets(spark):
     assert {r.doc_id for r in similar.representatives(frame(spark, rows)).collect()} == kept
 
 
+def test_simhashes_near_by_anchors_are_candidates(spark, monkeypatch):
+    """Without any MinHash band: what the anchors find is what all pairs of fingerprints give."""
+    monkeypatch.setattr(similar, "meetings", lambda nodes: nodes.select(F.col("node").alias("key"), "node").where("node < 0"))
+    rng = np.random.default_rng(61)
+    texts = []
+    for i in range(40):
+        w = prose(rng, 300 + i).split()
+        texts += [" ".join(w), " ".join([*w[:-1], f"edit{i}"]), " ".join([*w[:20], f"edit{i}", *w[21:]])]
+    sets = [similar._sets(similar.pa.RecordBatch.from_arrays([similar.pa.array([t])], ["text"]), "text", 5)[0] for t in texts]
+    prints = [int.from_bytes(similar.fingerprint(s)[:8], "little") for s in sets]
+    near = np.array([(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2])
+    node, root = graph.local_roots(*near.T)
+    expected = set(range(len(texts))) - {int(n) for n, r in zip(node, root) if n != r}
+    assert 40 <= len(expected) < 100
+    assert {r.doc_id for r in similar.representatives(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()} == expected
+
+
 @pytest.mark.parametrize("block", [2, 4096])
 def test_bands_of_several_components(spark, monkeypatch, block):
     """Texts that share bands but not all links: half of them grow out of one base by edits, so that some pairs reach 0.8 and many don't."""
